@@ -147,8 +147,11 @@ def fix_taxonomy_ids(relationships: DataFrame, taxonomy: DataFrame) -> DataFrame
 
     Where several taxonomy rows share a term_id the smallest
     term_taxonomy_id is used.  IGNORE: a row whose new pair already exists in
-    the table (unchanged) or is produced by a row with a smaller old id keeps
-    its old value.
+    the table (as an unchanged row) or is also the target of a row with a
+    smaller old id keeps its old value.
+
+    One aggregate over the target pairs (does an unchanged row hold it?
+    which changed row comes first?) and one join back; no all-pairs step.
     """
     mapped = update_from_join(
         relationships.withColumn("_old", F.col("term_taxonomy_id")),
@@ -156,18 +159,14 @@ def fix_taxonomy_ids(relationships: DataFrame, taxonomy: DataFrame) -> DataFrame
         {"term_taxonomy_id": "term_id"}, {"term_taxonomy_id": "term_taxonomy_id"},
         source_order=["term_taxonomy_id"])
     same = F.col("term_taxonomy_id").eqNullSafe(F.col("_old"))
-    changed = mapped.where(~same)
-    unchanged_pairs = mapped.where(same).select(
-        "object_id", "term_taxonomy_id")
-    # Conflicts with rows that keep their pair.
-    clash = changed.join(unchanged_pairs, ["object_id", "term_taxonomy_id"], "left_semi")
-    free = changed.join(unchanged_pairs, ["object_id", "term_taxonomy_id"], "left_anti")
-    # Among changed rows aiming at the same pair, the smallest old id wins.
-    first = pick_one(free, ["object_id", "term_taxonomy_id"], ["_old"], largest=False)
-    losers = free.join(first.select("object_id", "_old"), ["object_id", "_old"], "left_anti")
-    kept_old = clash.unionByName(losers).withColumn("term_taxonomy_id", F.col("_old"))
-    out = mapped.where(same).unionByName(first).unionByName(kept_old)
-    return out.select("object_id", "term_taxonomy_id")
+    per_target = mapped.groupBy(F.col("object_id").alias("_t_obj"), F.col("term_taxonomy_id").alias("_t_tt")).agg(
+        F.max(same.cast("int")).alias("_held"),
+        F.min(F.when(~same, F.col("_old"))).alias("_first_old"))
+    on = F.col("object_id").eqNullSafe(F.col("_t_obj")) & F.col("term_taxonomy_id").eqNullSafe(F.col("_t_tt"))
+    joined = mapped.join(per_target, on, "left")
+    applied = same | ((F.col("_held") == 0) & F.col("_old").eqNullSafe(F.col("_first_old")))
+    return joined.select("object_id", F.when(applied, F.col("term_taxonomy_id"))
+                         .otherwise(F.col("_old")).alias("term_taxonomy_id"))
 
 
 # Optional vocabulary handling ----------------------------------------------------
