@@ -58,13 +58,25 @@ def pick_one(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     keys, order = list(keys), list(order)
     if not order:
         return df
+    winners = _extreme_per_key(df, keys, order, "_pk", largest)
+    return df.join(winners, _match(keys + order, "_pk"), "left_semi")
+
+
+def _extreme_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], prefix: str,
+                     largest: bool) -> DataFrame:
+    """(key, order) of the largest/smallest-order row per key, one row per key
+    value, columns renamed ``prefix0..``.  A single order column aggregates
+    with a plain max/min (hash aggregate, map-side combined); several use a
+    struct (sort aggregate)."""
     agg = F.max if largest else F.min
-    ordc = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    winners = df.groupBy(*[F.col(k).alias(f"_pk{i}") for i, k in enumerate(keys)]).agg(agg(ordc).alias("_win"))
     n = len(keys)
-    winners = winners.select(*[F.col(f"_pk{i}") for i in range(n)],
-                             *[F.col(f"_win._o{i}").alias(f"_pk{n + i}") for i in range(len(order))])
-    return df.join(winners, _match(keys + order, "_pk"), "left_semi")
+    grouped = df.groupBy(*[F.col(k).alias(f"{prefix}{i}") for i, k in enumerate(keys)])
+    if len(order) == 1:
+        return grouped.agg(agg(order[0]).alias(f"{prefix}{n}"))
+    ordc = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
+    win = grouped.agg(agg(ordc).alias("_win"))
+    return win.select(*[F.col(f"{prefix}{i}") for i in range(n)],
+                      *[F.col(f"_win._o{i}").alias(f"{prefix}{n + i}") for i in range(len(order))])
 
 
 def with_defaults(incoming: DataFrame, like: DataFrame,
@@ -124,13 +136,7 @@ def replace_into(existing: DataFrame, incoming: DataFrame, keys: Sequence[Key],
 
 
 def _last_per_key(df: DataFrame, kc: Sequence[str], order: Sequence[str], prefix: str) -> DataFrame:
-    """(key, order) of the largest-order row per key: a partial aggregate over
-    narrow columns, one row per key value."""
-    ordc = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)])
-    n = len(kc)
-    win = df.groupBy(*[F.col(c).alias(f"{prefix}{i}") for i, c in enumerate(kc)]).agg(F.max(ordc).alias("_win"))
-    return win.select(*[F.col(f"{prefix}{i}") for i in range(n)],
-                      *[F.col(f"_win._o{i}").alias(f"{prefix}{n + i}") for i in range(len(order))])
+    return _extreme_per_key(df, kc, order, prefix, largest=True)
 
 
 # K2 ------------------------------------------------------------------------
