@@ -25,7 +25,13 @@ def comment_rows(comments: DataFrame, homepage_limit: int = HOMEPAGE_LIMIT) -> D
     )
 
 
-def comments(source: DataFrame, wp_comments: DataFrame) -> DataFrame:
-    """REPLACE DISTINCT comment rows keyed by comment id.  The source id
-    is unique, so DISTINCT folds into the keyed REPLACE (no wide shuffle)."""
-    return replace_into(wp_comments, comment_rows(source), ["comment_ID"], order=["comment_ID"])
+def comments(source: DataFrame, wp_comments: DataFrame, *, trust_source_keys: bool = True) -> DataFrame:
+    """REPLACE DISTINCT comment rows keyed by comment id.
+
+    cid is the comment table's primary key, so (default) the rows are
+    already unique on the target key: DISTINCT and the batch de-duplication
+    fold away and the comment bodies are not shuffled.  ``False`` keeps the
+    general path (rows equal in every column collapse)."""
+    if trust_source_keys:
+        return replace_into(wp_comments, comment_rows(source), ["comment_ID"], incoming_unique=True)
+    return replace_into(wp_comments, comment_rows(source), ["comment_ID"])

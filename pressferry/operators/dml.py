@@ -98,8 +98,8 @@ def with_defaults(incoming: DataFrame, like: DataFrame,
 # K1 ------------------------------------------------------------------------
 
 def replace_into(existing: DataFrame, incoming: DataFrame, keys: Sequence[Key],
-                 order: Sequence[str] = (), *, defaults: Mapping[str, object] | None = None
-                 ) -> DataFrame:
+                 order: Sequence[str] = (), *, defaults: Mapping[str, object] | None = None,
+                 incoming_unique: bool = False) -> DataFrame:
     """REPLACE INTO: each new row deletes every row equal to it on *any*
     unique key; within the batch later rows (larger ``order``) win.
 
@@ -113,12 +113,16 @@ def replace_into(existing: DataFrame, incoming: DataFrame, keys: Sequence[Key],
 
     ``existing`` appears once in the plan (chains of upserts stay linear) and
     every join is against narrow key columns or one-row-per-key winners.
+
+    ``incoming_unique``: the caller guarantees (e.g. from source primary
+    keys) that incoming rows are unique on every key, so the batch needs no
+    de-duplication and its wide rows are not shuffled for it.
     """
     order = list(order)
     # Tie-break columns that are not target columns ride along and are dropped.
     extra = [c for c in order if c not in existing.columns]
     incoming = with_defaults(incoming, existing, defaults, keep=extra)
-    if not order:
+    if not order and not incoming_unique:
         # No tie-break given: equal rows collapse, different rows order by value.
         incoming, order = incoming.distinct(), list(incoming.columns)
     kept_old = existing
@@ -127,6 +131,8 @@ def replace_into(existing: DataFrame, incoming: DataFrame, keys: Sequence[Key],
         kc = _key_cols(key)
         new_keys = _renamed(incoming.where(_not_null(kc)), kc, f"_x{n}k")
         kept_old = kept_old.join(new_keys, _match(kc, f"_x{n}k"), "left_anti")
+        if incoming_unique:
+            continue
         winners = _last_per_key(incoming.where(_not_null(kc)), kc, order, f"_w{n}k")
         hit = f"_w{n}hit"
         kept_new = (kept_new.join(winners.withColumn(hit, F.lit(True)), _match(kc + order, f"_w{n}k"), "left")

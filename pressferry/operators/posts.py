@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pressferry.functions.scalars import alias_or_id, epoch_to_ts, publish_status, strip_curly_quotes
 from pressferry.operators.dml import (
+    pick_one,
     replace_into,
     update_from_join,
     update_where,
@@ -28,12 +29,18 @@ UPLOADS_PATH = '"/wp-content/uploads/'
 def node_with_alias(node: DataFrame, node_revisions: DataFrame, url_alias: DataFrame,
                     types: Sequence[str]) -> DataFrame:
     """node JOIN node_revisions USING (vid) LEFT JOIN url_alias ON src = 'node/' || nid,
-    restricted to ``types`` (the filter sits below both joins)."""
+    restricted to ``types`` (the filter sits below both joins).
+
+    Join order: the narrow node rows meet the aliases first and the revisions
+    (which carry the bodies) last, so the wide rows cross one shuffle only.
+    The outer join touches no revision column, so the order is equivalent.
+    """
     n = node.where(F.col("type").isin(list(types)))
-    r = node_revisions.select("vid", "body", "teaser")
     a = url_alias.select(F.col("pid").alias("_alias_pid"), F.col("src").alias("_src"), F.col("dst"))
-    joined = n.join(r, "vid").withColumn("_src_key", F.concat(F.lit("node/"), F.col("nid").cast("string")))
-    return joined.join(a, F.col("_src_key") == F.col("_src"), "left").drop("_src_key", "_src")
+    keyed = n.withColumn("_src_key", F.concat(F.lit("node/"), F.col("nid").cast("string")))
+    with_alias = keyed.join(a, F.col("_src_key") == F.col("_src"), "left").drop("_src_key", "_src")
+    r = node_revisions.select("vid", "body", "teaser")
+    return with_alias.join(r, "vid")
 
 
 def post_rows(node: DataFrame, node_revisions: DataFrame, url_alias: DataFrame,
@@ -59,14 +66,24 @@ def post_rows(node: DataFrame, node_revisions: DataFrame, url_alias: DataFrame,
 
 
 def posts(node: DataFrame, node_revisions: DataFrame, url_alias: DataFrame, wp_posts: DataFrame,
-          types: Sequence[str] = POST_TYPES) -> DataFrame:
+          types: Sequence[str] = POST_TYPES, *, trust_source_keys: bool = True) -> DataFrame:
     """M10 (flagship): REPLACE DISTINCT post rows into wp_posts keyed by id.
 
     The DISTINCT is folded into the keyed REPLACE: rows equal in every
-    column are also equal on the key, so keeping one row per key gives the
-    same table without a shuffle of all the post bodies.  The row of the
-    largest alias id wins where a node has several aliases.
+    column are also equal on the key.  Where a node has several aliases the
+    row of the largest alias id wins.
+
+    ``trust_source_keys`` (default): nid is the node table's primary key and
+    vid the revision table's, so a post id repeats only through aliases.  The
+    alias table (narrow) is then reduced to its last alias per path *before*
+    the join, which picks the same winner, and no post body is shuffled for
+    de-duplication.  ``False`` de-duplicates the joined rows instead.
     """
+    if trust_source_keys:
+        last_alias = pick_one(url_alias.where(F.col("src").isNotNull()), ["src"], ["pid"], largest=True)
+        rows = post_rows(node, node_revisions, last_alias, types)
+        return replace_into(wp_posts, rows.drop("_alias_pid"), ["id"],
+                            defaults=TARGET_DEFAULTS["wp_posts"], incoming_unique=True)
     rows = post_rows(node, node_revisions, url_alias, types)
     return replace_into(wp_posts, rows, ["id"], order=["_alias_pid"],
                         defaults=TARGET_DEFAULTS["wp_posts"]).drop("_alias_pid")

@@ -86,9 +86,21 @@ class Runbook:
 
 # The standard pass ------------------------------------------------------------
 
-def _set(name: str, fn: Callable[[Tables], DataFrame]) -> StepFn:
+def _set(name: str, fn: Callable[[Tables], DataFrame], cut: bool = False) -> StepFn:
+    """Step that (re)defines table ``name``.  ``cut`` materialises it with a
+    reliable checkpoint (the shared ``spark.checkpoint.dir``): used after the
+    statements whose plan reads its input twice (INSERT IGNORE, INSERT with a
+    key check, generated ids), so a long chain of statements keeps a plan of
+    bounded size and a lost executor recomputes from the checkpoint, not from
+    the start of the pass.  Chains of single-use updates stay fused."""
     def run(t: Tables) -> Tables:
-        t[name] = fn(t)
+        df = fn(t)
+        if cut:
+            from pressferry.session import ensure_checkpoint_dir
+
+            ensure_checkpoint_dir(df.sparkSession)
+            df = df.checkpoint(eager=True)
+        t[name] = df
         return t
     return run
 
@@ -121,8 +133,8 @@ def migrate_steps(secret: str, default_category: int = 159) -> list[Step]:
     """M2-M36 in the sample's order, on the canonical tables."""
     s: list[Step] = []
 
-    def add(name, target, fn):
-        s.append(Step(name, _set(target, fn)))
+    def add(name, target, fn, cut=False):
+        s.append(Step(name, _set(target, fn, cut)))
 
     for name in ("wp_comments", "wp_posts", "wp_term_relationships", "wp_term_taxonomy", "wp_terms", "wp_users"):
         add(f"truncate.{name}", name, lambda t, n=name: empty_target(t["node"].sparkSession, n))
@@ -135,13 +147,13 @@ def migrate_steps(secret: str, default_category: int = 159) -> list[Step]:
         lambda t: terms.category_terms(t["term_data"], t["acc_categories"], t["wp_terms"]))
     add("categories.taxonomy", "wp_term_taxonomy",
         lambda t: terms.category_taxonomy(t["term_data"], t["acc_categories"], t["wp_term_taxonomy"]))
-    add("uncategorized.term", "wp_terms", lambda t: terms.uncategorized_term(t["wp_terms"]))
+    add("uncategorized.term", "wp_terms", lambda t: terms.uncategorized_term(t["wp_terms"]), cut=True)
     add("uncategorized.taxonomy", "wp_term_taxonomy",
-        lambda t: terms.uncategorized_taxonomy(t["wp_terms"], t["wp_term_taxonomy"]))
+        lambda t: terms.uncategorized_taxonomy(t["wp_terms"], t["wp_term_taxonomy"]), cut=True)
     add("posts", "wp_posts", lambda t: posts.posts(t["node"], t["node_revisions"], t["url_alias"], t["wp_posts"]))
     add("posts.types", "wp_posts", lambda t: posts.post_type_rest(posts.post_type_map(t["wp_posts"])))
     add("relationships", "wp_term_relationships",
-        lambda t: terms.term_relationships(t["term_node"], t["wp_term_relationships"]))
+        lambda t: terms.term_relationships(t["term_node"], t["wp_term_relationships"]), cut=True)
     add("term.counts", "wp_term_taxonomy", lambda t: terms.term_counts(t["wp_term_taxonomy"], t["wp_term_relationships"]))
     add("default.category", "wp_options", lambda t: options.default_category_option(t["wp_options"], str(default_category)))
     add("default.taxonomy", "wp_term_taxonomy",
@@ -152,7 +164,7 @@ def migrate_steps(secret: str, default_category: int = 159) -> list[Step]:
     add("purge.usermeta", "wp_usermeta", lambda t: users.purge_usermeta(t["wp_usermeta"]))
     add("reset.secret", "users", lambda t: users.reset_secret(t["users"], secret))
     add("authors.list", "acc_users_post_count", lambda t: users.authors_with_posts(t["node"], t["users"]))
-    add("authors", "wp_users", lambda t: users.authors(t["users"], t["acc_users_post_count"], t["wp_users"]))
+    add("authors", "wp_users", lambda t: users.authors(t["users"], t["acc_users_post_count"], t["wp_users"]), cut=True)
     add("authors.capabilities", "wp_usermeta",
         lambda t: users.author_capabilities(t["users"], t["acc_users_post_count"], t["wp_usermeta"]))
     add("authors.level", "wp_usermeta",
@@ -163,10 +175,11 @@ def migrate_steps(secret: str, default_category: int = 159) -> list[Step]:
     add("site.slogan", "wp_options", lambda t: options.site_slogan_option(t["wp_options"], t["variable"]))
     add("site.mail", "wp_options", lambda t: options.site_mail_option(t["wp_options"], t["variable"]))
     add("permalinks", "wp_options", lambda t: options.permalink_option(t["wp_options"]))
-    add("users.copy", "acc_wp_users", lambda t: sinks.copy_append(sinks.create_like(t["wp_users"]), t["wp_users"]))
+    add("users.copy", "acc_wp_users", lambda t: sinks.copy_append(sinks.create_like(t["wp_users"]), t["wp_users"]), cut=True)
     add("commenters.list", "acc_users_comment_count", lambda t: users.commenters(t["comments"], t["users"]))
     add("commenters", "acc_users_with_comments",
-        lambda t: users.authors(t["users"], t["acc_users_comment_count"], sinks.create_like(t["acc_wp_users"])))
+        lambda t: users.authors(t["users"], t["acc_users_comment_count"], sinks.create_like(t["acc_wp_users"])),
+        cut=True)
     add("commenters.new", "acc_users_add_commenters",
         lambda t: users.commenters_to_add(t["acc_users_with_comments"], t["acc_wp_users"],
                                           sinks.create_like(t["acc_wp_users"])))

@@ -200,6 +200,32 @@ def _decode_system_info(r: Run) -> DataFrame:
     return r.t["system"].select("name", m["name"].alias("module_name"), m["version"].alias("version"))
 
 
+def _x1(r: Run) -> DataFrame:
+    """Statements as Spark SQL text, run in order, fail-fast."""
+    from pressferry.plans import runbook
+
+    book = runbook.Runbook([
+        runbook.sql_step("authors.list", "acc_users_post_count", """
+            SELECT u.uid, u.name, u.mail, count(n.uid) AS node_count
+            FROM node n JOIN users u ON n.uid = u.uid GROUP BY u.uid, u.name, u.mail"""),
+        runbook.sql_step("authors.capabilities", "acc_author_meta", """
+            SELECT DISTINCT uid AS user_id, 'wp_capabilities' AS meta_key,
+                   'a:1:{s:6:"author";s:1:"1";}' AS meta_value
+            FROM users WHERE uid IN (SELECT uid FROM acc_users_post_count)"""),
+    ])
+    out = book.run({"node": r.t["node"], "users": r.t["users"]})
+    if not out.ok:
+        raise RuntimeError(f"run failed: {out.stages}")
+    return out.tables["acc_author_meta"]
+
+
+def _x3(r: Run) -> DataFrame:
+    """Prepare -> gate -> migrate; the report of the stages that ran."""
+    from pressferry.plans import runbook
+
+    return runbook.migrate(dict(r.t), secret=ADMIN_SECRET).report(r.spark)
+
+
 def _k1(r: Run) -> DataFrame:
     """REPLACE with two unique keys (term_id and slug) over every term."""
     rows = terms._term_rows(r.t["term_data"], r.t["term_data"])
@@ -311,6 +337,9 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "o17_rekey_prefix": lambda r: options.rekey_prefix(r.t["wp_options"], "option_name", OLD_PREFIX, NEW_PREFIX),
     "o18_rename_keys": lambda r: options.rename_keys(r.m25, "meta_key", options.META_KEY_RENAMES),
     "o19_authors_of_types": lambda r: users.authors_with_posts(r.t["node"], r.t["users"], posts.POST_TYPES),
+    # runs
+    "x1_run_steps": _x1,
+    "x3_migrate": _x3,
     # kernel, stand-alone
     "k1_replace_into": _k1,
     "k2_insert_ignore": _k2,
