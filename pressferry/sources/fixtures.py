@@ -42,7 +42,7 @@ SYSTEM_ROW = ("system", 'a:3:{s:4:"name";s:6:"System";s:7:"version";s:4:"6.37";s
 WP_OPTION_ROWS = [
     ("siteurl", "http://example.org"),
     ("blogname", "My Blog"),
-    ("blogdescription", "Just another WordPress site"),
+    ("blogdescription", "Just another content site"),
     ("admin_email", "admin@example.com"),
     ("default_category", "1"),
     ("permalink_structure", ""),
