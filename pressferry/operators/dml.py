@@ -148,15 +148,20 @@ def _last_per_key(df: DataFrame, kc: Sequence[str], order: Sequence[str], prefix
 # K2 ------------------------------------------------------------------------
 
 def insert_ignore(existing: DataFrame, incoming: DataFrame, key: Key | None = None,
-                  order: Sequence[str] = (), *, defaults: Mapping[str, object] | None = None
-                  ) -> DataFrame:
+                  order: Sequence[str] = (), *, defaults: Mapping[str, object] | None = None,
+                  incoming_unique: bool = False) -> DataFrame:
     """INSERT IGNORE with one unique key: an existing row is kept; inside the
     batch the first row (smallest ``order``) wins; NULL keys never conflict.
-    Without a key it is a plain append."""
+    Without a key it is a plain append.  ``incoming_unique``: the caller
+    guarantees unique batch keys (source primary key), so the batch needs no
+    pick and is read once."""
     incoming = with_defaults(incoming, existing, defaults)
     if key is None:
         return existing.unionByName(incoming)
     kc = _key_cols(key)
+    if incoming_unique:
+        fresh = incoming.join(_renamed(existing.where(_not_null(kc)), kc, "_ek"), _match(kc, "_ek"), "left_anti")
+        return existing.unionByName(fresh)
     keyed = incoming.where(_not_null(kc))
     if not order:
         # No tie-break given: equal rows collapse, different rows order by value.
@@ -231,9 +236,17 @@ def update_where(df: DataFrame, predicate: Column | None,
     """UPDATE ... SET col = value WHERE predicate.  The predicate is evaluated
     on the original row; a NULL predicate changes nothing; assignments apply
     left to right (a later one sees the earlier new value), as MySQL does."""
-    pred = F.lit(True) if predicate is None else predicate
-    out = df.withColumn("_upd", F.coalesce(pred, F.lit(False)))
-    for name, value in assignments.items():
+    pred = F.lit(True) if predicate is None else F.coalesce(predicate, F.lit(False))
+    items = list(assignments.items())
+    if len(items) == 1:
+        # One projection: no helper column, one analysis of the plan.
+        name, value = items[0]
+        value = value if isinstance(value, Column) else F.lit(value)
+        dtype = df.schema[name].dataType
+        new = F.when(pred, value.cast(dtype)).otherwise(F.col(name)).alias(name)
+        return df.select(*[new if c == name else F.col(c) for c in df.columns])
+    out = df.withColumn("_upd", pred)
+    for name, value in items:
         value = value if isinstance(value, Column) else F.lit(value)
         dtype = df.schema[name].dataType
         out = out.withColumn(name, F.when(F.col("_upd"), value.cast(dtype)).otherwise(F.col(name)))
@@ -323,8 +336,12 @@ def not_in_flag(df: DataFrame, probe: str, values: DataFrame, value_col: str,
     ids = values.where(F.col(value_col).isNotNull()).select(
         F.col(value_col).alias("_nin_v")).distinct().withColumn("_nin_hit", F.lit(True))
     joined = df.join(ids, F.col(probe) == F.col("_nin_v"), "left")
-    has_null = values.where(F.col(value_col).isNull()).exists()
-    non_empty = values.exists()
+    # One narrow aggregate of the list answers both NULL rules (a single
+    # scalar subquery, evaluated once).
+    stats = values.agg(F.struct(F.count(F.lit(1)).alias("n"),
+                                F.count_if(F.col(value_col).isNull()).alias("nulls"))).scalar()
+    has_null = stats["nulls"] > 0
+    non_empty = stats["n"] > 0
     flag = (F.when(~non_empty, F.lit(True))
             .when(F.col(probe).isNull(), F.lit(None).cast("boolean"))
             .when(F.col("_nin_hit"), F.lit(False))

@@ -57,10 +57,14 @@ def user_rows(users: DataFrame) -> DataFrame:
         F.lit(0).alias("user_status"), F.col("name").alias("display_name"))
 
 
-def authors(users: DataFrame, author_list: DataFrame, wp_users: DataFrame) -> DataFrame:
-    """INSERT IGNORE DISTINCT user rows for uid IN the list."""
+def authors(users: DataFrame, author_list: DataFrame, wp_users: DataFrame, *,
+            trust_source_keys: bool = True) -> DataFrame:
+    """INSERT IGNORE DISTINCT user rows for uid IN the list.
+
+    uid is the users table's primary key, so (default) the selected rows are
+    unique on ID and DISTINCT / the batch pick fold away."""
     chosen = users.join(author_list.select("uid"), "uid", "left_semi")
-    return insert_ignore(wp_users, user_rows(chosen), "ID")
+    return insert_ignore(wp_users, user_rows(chosen), "ID", incoming_unique=trust_source_keys)
 
 
 def author_meta(users: DataFrame, author_list: DataFrame, wp_usermeta: DataFrame,
@@ -81,15 +85,19 @@ def author_level(users, author_list, wp_usermeta, value: str = AUTHOR_LEVEL):
     return author_meta(users, author_list, wp_usermeta, "wp_user_level", value)
 
 
-def commenters_to_add(with_comments: DataFrame, wp_users: DataFrame, like: DataFrame) -> DataFrame:
+def commenters_to_add(with_comments: DataFrame, wp_users: DataFrame, like: DataFrame, *,
+                      keyed_input: bool = True) -> DataFrame:
     """DISTINCT commenter rows whose ID is NOT IN wp_users (SQL NOT IN
-    rules), INSERT IGNORE into an empty copy of the users table."""
+    rules), INSERT IGNORE into an empty copy of the users table.
+    ``keyed_input``: ``with_comments`` is a table keyed by ID (the output of
+    M34), so its rows are already unique on ID."""
     flagged = not_in_flag(with_comments, "ID", wp_users, "ID", out="_nin")
     rows = flagged.where(F.col("_nin")).drop("_nin").withColumn(
         "user_activation_key", F.lit("")).withColumn("user_status", F.lit(0))
-    return insert_ignore(like, rows, "ID")
+    return insert_ignore(like, rows, "ID", incoming_unique=keyed_input)
 
 
-def merge_users(wp_users: DataFrame, to_add: DataFrame) -> DataFrame:
-    """INSERT IGNORE ... SELECT * (existing rows kept)."""
-    return insert_ignore(wp_users, to_add, "ID")
+def merge_users(wp_users: DataFrame, to_add: DataFrame, *, keyed_input: bool = True) -> DataFrame:
+    """INSERT IGNORE ... SELECT * (existing rows kept); ``to_add`` is a
+    table keyed by ID (M35's output)."""
+    return insert_ignore(wp_users, to_add, "ID", incoming_unique=keyed_input)

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def create_like(df: DataFrame) -> DataFrame:
-    """CREATE TABLE x LIKE y (an empty table with y's schema)."""
-    return df.limit(0)
+    """CREATE TABLE x LIKE y (an empty table with y's schema, no lineage)."""
+    return df.sparkSession.createDataFrame([], df.schema)
 
 
 def copy_append(target: DataFrame, source: DataFrame) -> DataFrame:

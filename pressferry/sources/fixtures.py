@@ -13,6 +13,7 @@ the two must stay in step.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -268,5 +269,15 @@ class Tables(Mapping):
         return u.select(F.col("ID").alias("user_id"), F.inline(rows))
 
 
+_SESSIONS: "weakref.WeakKeyDictionary[SparkSession, dict[str, Tables]]" = weakref.WeakKeyDictionary()
+
+
 def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(spark, sf_dir)
+    """The views of one directory, shared by every query of one session.
+    Only plans are shared (DataFrames are immutable and lazy); no data is
+    cached, so each query still reads the files it needs."""
+    per_session = _SESSIONS.setdefault(spark, {})
+    key = sf_dir.rstrip("/")
+    if key not in per_session:
+        per_session[key] = Tables(spark, key)
+    return per_session[key]
