@@ -100,9 +100,20 @@ def count_by_type(node: DataFrame, node_type: DataFrame) -> DataFrame:
 
 # D8 - D11 ------------------------------------------------------------------
 
-def dup_term_names(term_data: DataFrame, *, strict: bool = False) -> DataFrame:
+# Collation that makes 'Foo' and 'foo ' equal (case and trailing spaces ignored).
+CI_COLLATION = "UTF8_LCASE_RTRIM"
+
+
+def dup_term_names(term_data: DataFrame, *, strict: bool = False, collation: str | None = None) -> DataFrame:
     """One row per duplicated name (the NULL name counts as a group);
-    ``tid`` is the group's smallest.  ``strict`` groups by (name, tid)."""
+    ``tid`` is the group's smallest.  ``strict`` groups by (name, tid).
+    ``collation='ci'`` compares names as a case-insensitive database would
+    (the name reported is the group's lower-cased, right-trimmed form)."""
+    if collation == "ci":
+        g = term_data.groupBy(F.collate("name", CI_COLLATION).alias("_k")).agg(
+            F.count(F.lit(1)).alias("c"), F.min("tid").alias("tid"))
+        return g.where(F.col("c") > 1).select(
+            "tid", F.collate(F.lower(F.rtrim("_k")), "UTF8_BINARY").alias("name"), "c")
     keys = ["name", "tid"] if strict else ["name"]
     g = term_data.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min("tid").alias("_tid"))
     return g.where(F.col("c") > 1).select(F.col("_tid").alias("tid"), "name", "c")

@@ -176,20 +176,29 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, key: Key | None = No
 def insert(existing: DataFrame, incoming: DataFrame, key: Key | None = None, *,
            defaults: Mapping[str, object] | None = None, check: bool = True) -> DataFrame:
     """INSERT: append; a duplicate key is an error (raised when the result is
-    computed).  The check is a partial aggregate over the key columns only."""
+    computed).
+
+    The existing table already satisfies its key, so only incoming rows are
+    checked: is the key already present (a semi join against the narrow
+    existing keys) or repeated within the batch (a partial aggregate)?  The
+    existing rows pass through untouched.
+    """
     incoming = with_defaults(incoming, existing, defaults)
-    out = existing.unionByName(incoming)
     if key is None or not check:
-        return out
+        return existing.unionByName(incoming)
     kc = _key_cols(key)
-    dups = (out.where(_not_null(kc)).groupBy(*[F.col(c).alias(f"_dk{i}") for i, c in enumerate(kc)])
-            .count().where(F.col("count") > 1).select(*[f"_dk{i}" for i in range(len(kc))],
-                                                     F.lit(True).alias("_dup")))
+    inc_keys = incoming.where(_not_null(kc)).select(*[F.col(c).alias(f"_dk{i}") for i, c in enumerate(kc)])
+    dk = [f"_dk{i}" for i in range(len(kc))]
+    present = inc_keys.join(_renamed(existing.where(_not_null(kc)), kc, "_ok"),
+                            reduce(lambda a, b: a & b, [F.col(d) == F.col(f"_ok{i}") for i, d in enumerate(dk)]),
+                            "left_semi")
+    repeated = inc_keys.groupBy(*dk).count().where(F.col("count") > 1).select(*dk)
+    bad = present.unionByName(repeated).distinct().withColumn("_dup", F.lit(True))
     on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_dk{i}") for i, c in enumerate(kc)])
-    checked = out.join(dups, on, "left")
     guard = F.when(F.col("_dup"), F.raise_error(F.lit(f"duplicate key {kc} on INSERT"))
                    ).otherwise(F.lit(True))
-    return checked.where(guard.cast("boolean")).select(*out.columns)
+    checked = incoming.join(bad, on, "left").where(guard.cast("boolean")).select(*incoming.columns)
+    return existing.unionByName(checked)
 
 
 # K4 ------------------------------------------------------------------------

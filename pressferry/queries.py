@@ -20,6 +20,7 @@ from pressferry.operators import audit, comments, options, posts, repair, terms,
 from pressferry.operators.dml import insert, insert_auto_id, insert_ignore, replace_into
 from pressferry.plans import sinks
 from pressferry.schemas import REQUIRED_TABLES_V6, TARGET_DEFAULTS, empty_target
+from pressferry.sources.catalog import read_table
 from pressferry.sources.fixtures import load_tables
 
 # Parameters of the registered instances (the sample's literals, or values
@@ -249,7 +250,7 @@ def _k4(r: Run) -> DataFrame:
 
 QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     # sources / sinks
-    "s1_read_table": lambda r: r.t["node"],
+    "s1_read_table": lambda r: read_table(r.t, "node"),
     "s2_table_exists": lambda r: audit.table_exists(r.spark, r.t, REQUIRED_TABLES_V6 + [MISSING_TABLE]),
     "s5_create_like": lambda r: sinks.create_like(r.t["wp_users"]),
     "s8_archive_swap": lambda r: sinks.archive_swap(r.aliases, r.t["url_alias"])[1],
@@ -265,6 +266,7 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "d7_count_by_type": lambda r: audit.count_by_type(r.t["node"], r.t["node_type"]),
     "d8_dup_term_names": lambda r: audit.dup_term_names(r.t["term_data"]),
     "d8b_dup_term_names_strict": lambda r: audit.dup_term_names(r.t["term_data"], strict=True),
+    "d8c_dup_term_names_ci": lambda r: audit.dup_term_names(r.t["term_data"], collation="ci"),
     "d9_dup_term_members": lambda r: audit.dup_term_members(r.t["term_data"]),
     "d9b_dup_term_members_strict": lambda r: audit.dup_term_members(r.t["term_data"], strict=True),
     "d10_terms_too_long": lambda r: audit.terms_too_long(r.t["term_data"]),

@@ -83,3 +83,20 @@ def test_safe_uniquify_keeps_names_within_limit(spark):
     assert safe.where(F.char_length("name") > 200).count() == 0
     long_members = repair.uniquify_terms(terms, safe=True).where(F.col("name").endswith("_201"))
     assert long_members.where(F.char_length("name") > 200).count() == 0
+
+
+def test_read_table_v7_parquet_root(spark, tmpdir_path):
+    from pressferry.sources.catalog import read_table
+
+    spark.createDataFrame([(1, "node/1", "a/b")], "pid bigint, source string, alias string") \
+        .write.parquet(f"{tmpdir_path}/url_alias")
+    spark.createDataFrame([(1, 2, "x", "d")], "tid bigint, vid bigint, name string, description string") \
+        .write.parquet(f"{tmpdir_path}/taxonomy_term_data")
+    assert read_table(tmpdir_path, "url_alias", version="7.1", spark=spark).columns == ["pid", "src", "dst"]
+    assert read_table(tmpdir_path, "term_data", version="7.1", spark=spark).count() == 1
+
+
+def test_ci_duplicate_names(spark):
+    d = spark.createDataFrame([(1, "Foo"), (2, "foo "), (3, "bar")], "tid bigint, name string")
+    got = [tuple(r) for r in audit.dup_term_names(d, collation="ci").collect()]
+    assert got == [(1, "foo", 2)]
