@@ -129,7 +129,9 @@ def replace_into(existing: DataFrame, incoming: DataFrame, keys: Sequence[Key],
     kept_new = incoming
     for n, key in enumerate(keys):
         kc = _key_cols(key)
-        new_keys = _renamed(incoming.where(_not_null(kc)), kc, f"_x{n}k")
+        # Distinct keys: a hot key reaches the anti join once (the aggregate's
+        # hash partitioning is the one the join needs, so no extra shuffle).
+        new_keys = _renamed(incoming.where(_not_null(kc)), kc, f"_x{n}k").distinct()
         kept_old = kept_old.join(new_keys, _match(kc, f"_x{n}k"), "left_anti")
         if incoming_unique:
             continue
