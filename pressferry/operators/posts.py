@@ -155,3 +155,53 @@ def redirects(node: DataFrame, node_revisions: DataFrame, url_alias: DataFrame,
                    .otherwise(F.col("dst")))
     return j.select(old.alias("old_url"), alias_or_id("dst", "nid").alias("new_url"),
                     F.lit("301").alias("redirect_code"))
+
+
+def posts_pass(node: DataFrame, node_revisions: DataFrame, url_alias: DataFrame, wp_posts: DataFrame,
+               wp_comments: DataFrame, wp_users: DataFrame, *, types: Sequence[str] = POST_TYPES,
+               admin_id: int = 1, old: str = FILES_PATH, new: str = UPLOADS_PATH) -> DataFrame:
+    """M10 -> M11 -> M12 -> M18 -> M26 -> M27 as one plan (same table as the
+    statements run in order).
+
+    For the incoming posts every per-row look-up runs on the narrow node
+    side, keyed by nid / uid: alias, comment count (M18), orphaned author
+    (M26).  The revisions, which carry the bodies, are joined last, so post
+    bodies cross exactly one shuffle in the whole pass; the type mapping and
+    the path rewrite are projections.  Existing posts that survive the
+    REPLACE (none after the usual truncation) take the statements one by one.
+    """
+    last_alias = pick_one(url_alias.where(F.col("src").isNotNull()), ["src"], ["pid"], largest=True)
+    n = node.where(F.col("type").isin(list(types)))
+    a = last_alias.select(F.col("src").alias("_src"), F.col("dst"))
+    narrow = (n.withColumn("_src_key", F.concat(F.lit("node/"), F.col("nid").cast("string")))
+              .join(a, F.col("_src_key") == F.col("_src"), "left").drop("_src_key", "_src"))
+    counts = (wp_comments.groupBy(F.col("comment_post_ID").alias("_cp"))
+              .agg(F.count("comment_post_ID").alias("_cc")))
+    narrow = narrow.join(counts, F.col("nid") == F.col("_cp"), "left")
+    from pressferry.operators.dml import not_in_flag
+
+    narrow = not_in_flag(narrow, "uid", wp_users, "ID", out="_orphan")
+    wide = narrow.join(node_revisions.select("vid", "body", "teaser"), "vid")
+    mapped_type = F.when(F.col("type").isin(list(types)), F.lit("post")).otherwise(F.col("type"))
+    final_type = F.when(~mapped_type.isin("post"), F.lit("page")).otherwise(mapped_type)
+    fresh = wide.select(
+        F.col("nid").alias("id"),
+        F.when(F.coalesce(F.col("_orphan"), F.lit(False)), F.lit(admin_id).cast("bigint"))
+        .otherwise(F.col("uid")).alias("post_author"),
+        epoch_to_ts("created").alias("post_date"),
+        F.replace(F.col("body"), F.lit(old), F.lit(new)).alias("post_content"),
+        F.col("title").alias("post_title"),
+        F.col("teaser").alias("post_excerpt"),
+        alias_or_id("dst", "nid").alias("post_name"),
+        epoch_to_ts("changed").alias("post_modified"),
+        final_type.alias("post_type"),
+        publish_status("status").alias("post_status"),
+        F.lit(" ").alias("to_ping"), F.lit(" ").alias("pinged"), F.lit(" ").alias("post_content_filtered"),
+        F.coalesce(F.col("_cc"), F.lit(0)).cast("bigint").alias("comment_count"),
+    )
+    # Existing rows that no incoming id replaces go through the statements.
+    kept = wp_posts.join(fresh.select(F.col("id").alias("_fid")).distinct(),
+                         F.col("id") == F.col("_fid"), "left_anti")
+    kept = post_type_rest(post_type_map(kept, types))
+    kept = rewrite_paths(reassign_orphans(comment_counts(kept, wp_comments), wp_users, admin_id), old, new)
+    return kept.unionByName(fresh.select(*wp_posts.columns))

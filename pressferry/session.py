@@ -68,3 +68,32 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="pressferry-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
+
+
+def size_shuffle_partitions(spark: SparkSession, input_bytes: int,
+                            target_bytes: int = 256 * 1024 * 1024, minimum: int = 200) -> int:
+    """Shuffle partitions for a job reading ``input_bytes``: about
+    ``target_bytes`` of shuffle input per task so partitions fit executor
+    memory without spilling much (100 TB at 256 MB -> ~400k is too many files
+    per map task, so AQE starts from this number and coalesces small ones).
+    Sets ``spark.sql.shuffle.partitions`` and AQE's initial partition number."""
+    n = max(minimum, int(input_bytes // target_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(n))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(n))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(target_bytes // 2))
+    return n
+
+
+def input_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Total size of the files under ``paths`` (Hadoop file system listing on
+    the driver: metadata only, no data read)."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    total = 0
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        if fs.exists(p):
+            total += fs.getContentSummary(p).getLength()
+    return int(total)
+

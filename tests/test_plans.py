@@ -77,3 +77,28 @@ def test_migrate_full_pass_after_clean_terms(spark, tmpdir_path):
     assert posts.where(F.col("post_content").contains('"/files/')).count() == 0
     assert wh.read("wp_users").count() > 0
     assert wh.read("acc_wp_users").count() >= wh.read("wp_users").count()
+
+
+def test_fused_posts_pass_equals_statement_chain(spark):
+    from pressferry.operators import posts
+    from pressferry.queries import Run
+
+    r = Run(spark, SF_SMALL)
+    chain = posts.rewrite_paths(r.m26)
+    fused = posts.posts_pass(r.t["node"], r.t["node_revisions"], r.aliases, r.empty("wp_posts"),
+                             r.m17, r.m23)
+    assert fused.columns == chain.columns
+    assert fused.count() == chain.count() == 158
+    assert fused.exceptAll(chain).count() == 0 and chain.exceptAll(fused).count() == 0
+    # With existing posts (some replaced, one kept) the two agree as well.
+    kept_row = (chain.where("id = 2").withColumn("id", F.lit(-5).cast("bigint"))
+                .withColumn("post_type", F.lit("story")).withColumn("post_author", F.lit(999999).cast("bigint")))
+    existing = chain.where("id % 2 = 0").withColumn("post_title", F.lit("old")).unionByName(kept_row)
+    t = r.t
+    expected = posts.rewrite_paths(posts.reassign_orphans(posts.comment_counts(posts.post_type_rest(
+        posts.post_type_map(posts.posts(t["node"], t["node_revisions"], r.aliases, existing))), r.m17), r.m23))
+    fused2 = posts.posts_pass(t["node"], t["node_revisions"], r.aliases, existing, r.m17, r.m23)
+    assert fused2.count() == expected.count() == 159
+    assert fused2.exceptAll(expected).count() == 0 and expected.exceptAll(fused2).count() == 0
+    got = fused2.where("id = -5").first()
+    assert got["post_type"] == "post" and got["post_author"] == 1 and got["comment_count"] == 0
