@@ -17,7 +17,14 @@ from pyspark.sql import functions as F
 
 from pressferry.functions.serialized import decode_array
 from pressferry.operators import audit, comments, options, posts, repair, terms, users
-from pressferry.operators.dml import insert, insert_auto_id, insert_ignore, replace_into
+from pressferry.operators.dml import (
+    insert,
+    insert_auto_id,
+    insert_ignore,
+    not_in_flag,
+    replace_into,
+    update_with_count,
+)
 from pressferry.plans import sinks
 from pressferry.schemas import REQUIRED_TABLES_V6, TARGET_DEFAULTS, empty_target
 from pressferry.sources.catalog import read_table
@@ -238,10 +245,23 @@ def _k2(r: Run) -> DataFrame:
 
 
 def _k3(r: Run) -> DataFrame:
-    return insert(users.purge_users(r.t["wp_users"]), users.user_rows(r.t["users"]), "ID",
+    """Plain INSERT (key checked) of the commenters' user rows into the purged users table."""
+    chosen = r.t["users"].join(r.m33.select("uid"), "uid", "left_semi")
+    return insert(users.purge_users(r.t["wp_users"]), users.user_rows(chosen), "ID",
                   defaults=TARGET_DEFAULTS["wp_users"])
 
 
+def _k7(r: Run) -> DataFrame:
+    """Correlated COUNT over every node: comments per node, 0 when none."""
+    nodes = r.t["node"].select("nid", F.lit(0).cast("bigint").alias("comment_count"))
+    return update_with_count(nodes, "nid", r.t["comments"], "nid", "comment_count", count_col="cid")
+
+
+def _k10(r: Run) -> DataFrame:
+    """NOT IN with SQL NULL rules: comments whose author is not a known user."""
+    return not_in_flag(r.t["comments"].select("cid", "uid"), "uid", r.t["users"], "uid", out="uid_not_in_users")
+
+
 def _k4(r: Run) -> DataFrame:
     rows = r.t["term_data"].select("name", F.replace(F.lower("name"), F.lit(" "), F.lit("_")).alias("slug"),
                                    F.col("vid").alias("term_group"))
@@ -345,8 +365,11 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     # kernel, stand-alone
     "k1_replace_into": _k1,
     "k2_insert_ignore": _k2,
+    "k3_insert": _k3,
     "k4_insert_auto_id": _k4,
     "k6_update_from_join": lambda r: posts.update_posts_from(r.m10, r.o12, key="vid"),
+    "k7_update_with_count": _k7,
+    "k10_not_in": _k10,
 }
 
 
