@@ -13,7 +13,6 @@ from pressferry.operators.dml import (
     delete_where,
     insert,
     insert_auto_id,
-    pick_one,
     replace_into,
     update_from_join,
     update_where,

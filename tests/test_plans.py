@@ -102,3 +102,27 @@ def test_fused_posts_pass_equals_statement_chain(spark):
     assert fused2.exceptAll(expected).count() == 0 and expected.exceptAll(fused2).count() == 0
     got = fused2.where("id = -5").first()
     assert got["post_type"] == "post" and got["post_author"] == 1 and got["comment_count"] == 0
+
+
+def test_cleanup_working_drops_each_name_once(spark, tmpdir_path):
+    wh = sinks.Warehouse(spark, tmpdir_path)
+    for name in ("acc_tags", "acc_categories", "wp_posts"):
+        wh.write(name, spark.range(1))
+    wh.cleanup_working(["acc_tags", "acc_categories", "acc_tags", "acc_missing"])
+    assert wh.names() == ["wp_posts"]
+
+
+def test_remap_term_groups_and_parents(spark):
+    from pressferry.operators import terms
+    from pressferry.queries import CATEGORY_VIDS, VOCAB_VIDS, Run
+
+    r = Run(spark, SF_SMALL)
+    id_map = terms.vocab_id_map(r.o9, r.m6)
+    mapping = {row["vid"]: row["new_id"] for row in id_map.collect()}
+    assert sorted(mapping) == sorted(VOCAB_VIDS)
+    remapped = terms.remap_term_groups(r.o9, id_map)
+    groups = {row["term_group"] for row in remapped.collect()}
+    assert not groups & set(VOCAB_VIDS) - set(mapping.values())
+    parents = terms.remap_parents(r.o8, id_map)
+    sub = parents.where(F.col("parent") != 0).select("parent").distinct().collect()
+    assert {row["parent"] for row in sub} <= {mapping[v] for v in CATEGORY_VIDS}
