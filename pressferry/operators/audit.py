@@ -144,16 +144,17 @@ def dup_aliases(url_alias: DataFrame, *, strict: bool = False) -> DataFrame:
 # D12 / X2 ------------------------------------------------------------------
 
 def term_health(term_data: DataFrame, limit: int = TERM_NAME_LIMIT) -> DataFrame:
-    """One scan of term_data for three numbers: distinct terms, duplicated
-    names (groups), names over the limit."""
-    per_name = term_data.groupBy("name").agg(
-        F.count(F.lit(1)).alias("c"),
-        F.count_distinct("tid").alias("tids"),
-        F.max(F.when(F.col("tid").isNull(), 1).otherwise(0)).alias("null_tid"),
-        F.sum(F.when(F.char_length("name") > limit, 1).otherwise(0)).alias("long"),
-    )
+    """One scan of term_data for three numbers: distinct (tid, name) terms,
+    duplicated names (groups, the NULL name included), names over the limit.
+
+    Two plain group-bys (by (name, tid), then by name), both map-side
+    combined; no distinct aggregate, so no Expand doubling the rows."""
+    long = F.when(F.char_length("name") > limit, 1).otherwise(0)
+    per_pair = term_data.groupBy("name", "tid").agg(F.count(F.lit(1)).alias("n"), F.sum(long).alias("long"))
+    per_name = per_pair.groupBy("name").agg(
+        F.count(F.lit(1)).alias("pairs"), F.sum("n").alias("c"), F.sum("long").alias("long"))
     return per_name.agg(
-        F.coalesce(F.sum(F.col("tids") + F.col("null_tid")), F.lit(0)).cast("bigint").alias("terms_count"),
+        F.coalesce(F.sum("pairs"), F.lit(0)).cast("bigint").alias("terms_count"),
         F.count_if(F.col("c") > 1).cast("bigint").alias("duplicate_terms_count"),
         F.coalesce(F.sum("long"), F.lit(0)).cast("bigint").alias("terms_exceeded_char_count"),
     )
