@@ -181,3 +181,23 @@ def test_pick_one_spreads_a_hot_key(spark):
     got = dml.pick_one(hot.unionByName(cold), ["k"], ["o"], largest=True)
     assert got.count() == 101
     assert got.where("k = 1").first()["o"] == 19999
+
+
+def simulate_insert_ignore(existing, incoming, key):
+    """Row-by-row INSERT IGNORE: skip a row whose key is already present."""
+    table = list(existing)
+    for row in sorted(incoming, key=lambda r: r[3]):
+        if row[key] is not None and any(t[key] == row[key] for t in table):
+            continue
+        table.append(row)
+    return sorted(table, key=repr)
+
+
+def test_insert_ignore_matches_sequential_simulation(spark):
+    rng = random.Random(11)
+    for _ in range(10):
+        ids = rng.sample(range(1, 9), rng.randint(0, 5))
+        existing = [(i, "e", f"e{i}", None) for i in ids]
+        incoming = [(rng.choice([None, 1, 2, 3, 4, 5, 6, 7, 8]), "n", f"n{i}", i) for i in range(rng.randint(1, 10))]
+        got = dml.insert_ignore(df(spark, existing), df(spark, incoming), "id", order=["o"])
+        assert rows(got) == simulate_insert_ignore(existing, incoming, 0)
