@@ -59,15 +59,19 @@ def _term_rows(term_data: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def tags_terms(term_data: DataFrame, tags: DataFrame, wp_terms: DataFrame,
-               keys: Sequence = TERM_KEYS) -> DataFrame:
-    """M3: REPLACE the tag terms into wp_terms."""
-    return replace_into(wp_terms, _term_rows(term_data, tags), keys, order=["term_id"])
+               keys: Sequence = TERM_KEYS, *, trust_source_keys: bool = True) -> DataFrame:
+    """M3: REPLACE the tag terms into wp_terms.  ``trust_source_keys``: one
+    row per tid (term_data's primary key), so with the default keys the
+    batch is unique and needs no de-duplication."""
+    return replace_into(wp_terms, _term_rows(term_data, tags), keys, order=["term_id"],
+                        incoming_unique=trust_source_keys and list(keys) == TERM_KEYS)
 
 
 def category_terms(term_data: DataFrame, categories: DataFrame, wp_terms: DataFrame,
-                   keys: Sequence = TERM_KEYS) -> DataFrame:
+                   keys: Sequence = TERM_KEYS, *, trust_source_keys: bool = True) -> DataFrame:
     """M6: REPLACE the category terms (DISTINCT) into wp_terms."""
-    return replace_into(wp_terms, _term_rows(term_data, categories), keys, order=["term_id"])
+    return replace_into(wp_terms, _term_rows(term_data, categories), keys, order=["term_id"],
+                        incoming_unique=trust_source_keys and list(keys) == TERM_KEYS)
 
 
 def uncategorized_term(wp_terms: DataFrame, name: str = "Uncategorized",
@@ -89,17 +93,20 @@ def _taxonomy_rows(term_data: DataFrame, selected: DataFrame, taxonomy: str,
 
 
 def tags_taxonomy(term_data: DataFrame, tags: DataFrame, taxonomy: DataFrame,
-                  keys: Sequence = TAXONOMY_KEYS) -> DataFrame:
-    """M4: REPLACE DISTINCT (tid, tid, 'post_tag', description, 0)."""
+                  keys: Sequence = TAXONOMY_KEYS, *, trust_source_keys: bool = True) -> DataFrame:
+    """M4: REPLACE DISTINCT (tid, tid, 'post_tag', description, 0).  With the
+    default keys every key is a function of tid (one row per tid)."""
     return replace_into(taxonomy, _taxonomy_rows(term_data, tags, "post_tag"), keys,
-                        order=["term_taxonomy_id"], defaults=TAX_DEFAULTS)
+                        order=["term_taxonomy_id"], defaults=TAX_DEFAULTS,
+                        incoming_unique=trust_source_keys and list(keys) == TAXONOMY_KEYS)
 
 
 def category_taxonomy(term_data: DataFrame, categories: DataFrame, taxonomy: DataFrame,
-                      keys: Sequence = TAXONOMY_KEYS) -> DataFrame:
+                      keys: Sequence = TAXONOMY_KEYS, *, trust_source_keys: bool = True) -> DataFrame:
     """M7: as M4 with 'category'; a later REPLACE wins on shared ids."""
     return replace_into(taxonomy, _taxonomy_rows(term_data, categories, "category"), keys,
-                        order=["term_taxonomy_id"], defaults=TAX_DEFAULTS)
+                        order=["term_taxonomy_id"], defaults=TAX_DEFAULTS,
+                        incoming_unique=trust_source_keys and list(keys) == TAXONOMY_KEYS)
 
 
 def subcategories(term_data: DataFrame, vids: Sequence[int], taxonomy: DataFrame,
@@ -107,7 +114,8 @@ def subcategories(term_data: DataFrame, vids: Sequence[int], taxonomy: DataFrame
     """Terms of ``vids`` as categories whose parent is their vocabulary."""
     chosen = term_data.where(F.col("vid").isin(list(vids))).select("tid")
     rows = _taxonomy_rows(term_data, chosen, "category", parent="vid")
-    return replace_into(taxonomy, rows, keys, order=["term_taxonomy_id"], defaults=TAX_DEFAULTS)
+    return replace_into(taxonomy, rows, keys, order=["term_taxonomy_id"], defaults=TAX_DEFAULTS,
+                        incoming_unique=list(keys) == TAXONOMY_KEYS)
 
 
 def uncategorized_taxonomy(wp_terms: DataFrame, taxonomy: DataFrame,
