@@ -99,7 +99,7 @@ def with_defaults(incoming: DataFrame, like: DataFrame,
 
 def replace_into(existing: DataFrame, incoming: DataFrame, keys: Sequence[Key],
                  order: Sequence[str] = (), *, defaults: Mapping[str, object] | None = None,
-                 incoming_unique: bool = False) -> DataFrame:
+                 incoming_unique: bool = False, incoming_keys: DataFrame | None = None) -> DataFrame:
     """REPLACE INTO: each new row deletes every row equal to it on *any*
     unique key; within the batch later rows (larger ``order``) win.
 
@@ -117,6 +117,8 @@ def replace_into(existing: DataFrame, incoming: DataFrame, keys: Sequence[Key],
     ``incoming_unique``: the caller guarantees (e.g. from source primary
     keys) that incoming rows are unique on every key, so the batch needs no
     de-duplication and its wide rows are not shuffled for it.
+    ``incoming_keys``: a cheaper plan giving exactly the batch's key values
+    (with the key columns' names), used for the anti join of existing rows.
     """
     order = list(order)
     # Tie-break columns that are not target columns ride along and are dropped.
@@ -131,7 +133,8 @@ def replace_into(existing: DataFrame, incoming: DataFrame, keys: Sequence[Key],
         kc = _key_cols(key)
         # Distinct keys: a hot key reaches the anti join once (the aggregate's
         # hash partitioning is the one the join needs, so no extra shuffle).
-        new_keys = _renamed(incoming.where(_not_null(kc)), kc, f"_x{n}k").distinct()
+        key_source = incoming if incoming_keys is None else incoming_keys
+        new_keys = _renamed(key_source.where(_not_null(kc)), kc, f"_x{n}k").distinct()
         kept_old = kept_old.join(new_keys, _match(kc, f"_x{n}k"), "left_anti")
         if incoming_unique:
             continue
@@ -176,14 +179,16 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, key: Key | None = No
 # K3 ------------------------------------------------------------------------
 
 def insert(existing: DataFrame, incoming: DataFrame, key: Key | None = None, *,
-           defaults: Mapping[str, object] | None = None, check: bool = True) -> DataFrame:
+           defaults: Mapping[str, object] | None = None, check: bool = True,
+           incoming_unique: bool = False) -> DataFrame:
     """INSERT: append; a duplicate key is an error (raised when the result is
     computed).
 
     The existing table already satisfies its key, so only incoming rows are
     checked: is the key already present (a semi join against the narrow
     existing keys) or repeated within the batch (a partial aggregate)?  The
-    existing rows pass through untouched.
+    existing rows pass through untouched.  ``incoming_unique`` (e.g. a
+    DISTINCT on exactly the key) leaves only the check against existing keys.
     """
     incoming = with_defaults(incoming, existing, defaults)
     if key is None or not check:
@@ -194,8 +199,11 @@ def insert(existing: DataFrame, incoming: DataFrame, key: Key | None = None, *,
     present = inc_keys.join(_renamed(existing.where(_not_null(kc)), kc, "_ok"),
                             reduce(lambda a, b: a & b, [F.col(d) == F.col(f"_ok{i}") for i, d in enumerate(dk)]),
                             "left_semi")
-    repeated = inc_keys.groupBy(*dk).count().where(F.col("count") > 1).select(*dk)
-    bad = present.unionByName(repeated).distinct().withColumn("_dup", F.lit(True))
+    if incoming_unique:
+        bad = present.distinct().withColumn("_dup", F.lit(True))
+    else:
+        repeated = inc_keys.groupBy(*dk).count().where(F.col("count") > 1).select(*dk)
+        bad = present.unionByName(repeated).distinct().withColumn("_dup", F.lit(True))
     on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_dk{i}") for i, c in enumerate(kc)])
     guard = F.when(F.col("_dup"), F.raise_error(F.lit(f"duplicate key {kc} on INSERT"))
                    ).otherwise(F.lit(True))

@@ -82,8 +82,11 @@ def posts(node: DataFrame, node_revisions: DataFrame, url_alias: DataFrame, wp_p
     if trust_source_keys:
         last_alias = pick_one(url_alias.where(F.col("src").isNotNull()), ["src"], ["pid"], largest=True)
         rows = post_rows(node, node_revisions, last_alias, types)
+        # The batch's ids without the alias join (a left join adds no ids).
+        ids = (node.where(F.col("type").isin(list(types))).select("nid", "vid")
+               .join(node_revisions.select("vid"), "vid").select(F.col("nid").alias("id")))
         return replace_into(wp_posts, rows.drop("_alias_pid"), ["id"],
-                            defaults=TARGET_DEFAULTS["wp_posts"], incoming_unique=True)
+                            defaults=TARGET_DEFAULTS["wp_posts"], incoming_unique=True, incoming_keys=ids)
     rows = post_rows(node, node_revisions, url_alias, types)
     return replace_into(wp_posts, rows, ["id"], order=["_alias_pid"],
                         defaults=TARGET_DEFAULTS["wp_posts"]).drop("_alias_pid")

@@ -139,7 +139,8 @@ def term_relationships(term_node: DataFrame, relationships: DataFrame) -> DataFr
     """INSERT DISTINCT (nid, tid) as (object_id, term_taxonomy_id)."""
     rows = term_node.select(F.col("nid").alias("object_id"),
                             F.col("tid").alias("term_taxonomy_id")).distinct()
-    return insert(relationships, rows, RELATIONSHIP_KEY)
+    # DISTINCT on exactly the key: only existing keys can collide.
+    return insert(relationships, rows, RELATIONSHIP_KEY, incoming_unique=True)
 
 
 def term_counts(taxonomy: DataFrame, relationships: DataFrame) -> DataFrame:
