@@ -44,6 +44,13 @@ def _match(cols: Sequence[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"{prefix}{i}")) for i, c in enumerate(cols)])
 
 
+def _match_eq(cols: Sequence[str], prefix: str) -> Column:
+    """Plain equality with the renamed copies: for joins whose right side has
+    no NULL keys (same result as null-safe, and the join keys equal the
+    right side's hash partitioning, so no second shuffle)."""
+    return reduce(lambda a, b: a & b, [F.col(c) == F.col(f"{prefix}{i}") for i, c in enumerate(cols)])
+
+
 def _renamed(df: DataFrame, cols: Sequence[str], prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{i}") for i, c in enumerate(cols)])
 
@@ -135,7 +142,7 @@ def replace_into(existing: DataFrame, incoming: DataFrame, keys: Sequence[Key],
         # hash partitioning is the one the join needs, so no extra shuffle).
         key_source = incoming if incoming_keys is None else incoming_keys
         new_keys = _renamed(key_source.where(_not_null(kc)), kc, f"_x{n}k").distinct()
-        kept_old = kept_old.join(new_keys, _match(kc, f"_x{n}k"), "left_anti")
+        kept_old = kept_old.join(new_keys, _match_eq(kc, f"_x{n}k"), "left_anti")
         if incoming_unique:
             continue
         winners = _last_per_key(incoming.where(_not_null(kc)), kc, order, f"_w{n}k")
@@ -165,14 +172,14 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, key: Key | None = No
         return existing.unionByName(incoming)
     kc = _key_cols(key)
     if incoming_unique:
-        fresh = incoming.join(_renamed(existing.where(_not_null(kc)), kc, "_ek"), _match(kc, "_ek"), "left_anti")
+        fresh = incoming.join(_renamed(existing.where(_not_null(kc)), kc, "_ek"), _match_eq(kc, "_ek"), "left_anti")
         return existing.unionByName(fresh)
     keyed = incoming.where(_not_null(kc))
     if not order:
         # No tie-break given: equal rows collapse, different rows order by value.
         keyed, order = keyed.distinct(), [c for c in keyed.columns if c not in kc]
     first = pick_one(keyed, kc, list(order), largest=False)
-    fresh = first.join(_renamed(existing, kc, "_ek"), _match(kc, "_ek"), "left_anti")
+    fresh = first.join(_renamed(existing.where(_not_null(kc)), kc, "_ek"), _match_eq(kc, "_ek"), "left_anti")
     return existing.unionByName(fresh).unionByName(incoming.where(~_not_null(kc)))
 
 
