@@ -126,19 +126,26 @@ def clean_slugs(wp_posts: DataFrame) -> DataFrame:
 
 
 def custom_type_merge(node: DataFrame, node_revisions: DataFrame, teaser: DataFrame,
-                      press: DataFrame, types: Sequence[str] = POST_TYPES) -> DataFrame:
-    """Body || (teaser field || link field) from two field tables joined USING (vid)."""
+                      press: DataFrame, types: Sequence[str] = POST_TYPES, *,
+                      trust_source_keys: bool = True) -> DataFrame:
+    """Body || (teaser field || link field) from two field tables joined USING (vid).
+
+    The narrow tables are joined first and the revisions (bodies) last.
+    ``trust_source_keys`` (default): vid is the primary key of every joined
+    table, so each joined row is unique and the DISTINCT needs no shuffle of
+    the bodies; ``False`` applies it."""
     n = node.where(F.col("type").isin(list(types)))
     j = (n.join(teaser, "vid").join(press, "vid")
          .join(node_revisions.select("vid", "body", "teaser"), "vid"))
-    return j.select(
+    out = j.select(
         "nid", "vid", F.col("uid").alias("post_author"), epoch_to_ts("created").alias("post_date"),
         F.concat(F.col("body"), F.concat(F.col("field_teaser_value"), F.col("field_press_link_url"))
                  ).alias("post_content"),
         "field_teaser_value", "field_press_link_url", F.col("title").alias("post_title"),
         F.col("teaser").alias("post_excerpt"), epoch_to_ts("changed").alias("post_modified"),
         F.col("type").alias("post_type"), publish_status("status").alias("post_status"),
-    ).distinct()
+    )
+    return out if trust_source_keys else out.distinct()
 
 
 def update_posts_from(wp_posts: DataFrame, merged: DataFrame, key: str = "nid",
