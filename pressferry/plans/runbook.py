@@ -44,6 +44,12 @@ def sql_step(name: str, target: str, statement: str) -> Step:
     return Step(name, run)
 
 
+def sql_script(statements: list[tuple[str, str]], name: str = "script") -> list[Step]:
+    """A user script as steps: ``(target, SELECT ...)`` pairs run in order.
+    The script is a list, never text split on ';' (a literal may hold one)."""
+    return [sql_step(f"{name}.{i}.{target}", target, sql) for i, (target, sql) in enumerate(statements)]
+
+
 @dataclass
 class Outcome:
     ok: bool

@@ -126,3 +126,16 @@ def test_remap_term_groups_and_parents(spark):
     parents = terms.remap_parents(r.o8, id_map)
     sub = parents.where(F.col("parent") != 0).select("parent").distinct().collect()
     assert {row["parent"] for row in sub} <= {mapping[v] for v in CATEGORY_VIDS}
+
+
+def test_sql_script_runs_in_order_and_fails_fast(spark):
+    t = load_tables(spark, SF_SMALL)
+    steps = runbook.sql_script([
+        ("acc_tags", "SELECT tid, vid, name FROM term_data"),
+        ("acc_tag_count", "SELECT vid, count(*) AS n FROM acc_tags GROUP BY vid"),
+    ])
+    out = runbook.Runbook(steps).run({"term_data": t["term_data"]})
+    assert out.ok and out.tables["acc_tag_count"].agg(F.sum("n")).first()[0] == 200
+    bad = runbook.sql_script([("x", "SELECT * FROM missing_table"), ("y", "SELECT 1 AS one")])
+    out = runbook.Runbook(bad).run({"term_data": t["term_data"]})
+    assert not out.ok and [s for s, _ in out.stages] == ["script.0.x"]
