@@ -24,6 +24,37 @@ SCALE_DEFAULTS = {
 }
 
 
+# Launch-time settings for a large cluster (pass to spark-submit --conf or the
+# builder; they cannot be changed on a running session).  They keep a job
+# alive through lost executors: shuffle files outlive their executor (external
+# shuffle service / decommission migration), lost tasks and stages are retried,
+# stragglers are re-launched speculatively.
+CLUSTER_LAUNCH_CONF = {
+    "spark.shuffle.service.enabled": "true",
+    "spark.dynamicAllocation.enabled": "true",
+    "spark.decommission.enabled": "true",
+    "spark.storage.decommission.enabled": "true",
+    "spark.storage.decommission.shuffleBlocks.enabled": "true",
+    "spark.storage.decommission.rddBlocks.enabled": "true",
+    "spark.task.maxFailures": "8",
+    "spark.stage.maxConsecutiveAttempts": "8",
+    "spark.speculation": "true",
+    "spark.speculation.quantile": "0.9",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.parquet.filterPushdown": "true",
+}
+
+
+def cluster_builder(app: str = "pressferry") -> SparkSession.Builder:
+    """Builder with the launch-time cluster settings and the scale defaults.
+    ``spark.checkpoint.dir`` is left to the cluster (a shared folder)."""
+    builder = SparkSession.builder.appName(app)
+    for key, value in {**CLUSTER_LAUNCH_CONF, **SCALE_DEFAULTS}.items():
+        builder = builder.config(key, value)
+    return builder
+
+
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
                   app: str = "pressferry") -> SparkSession:
     """Session for tests and the bench (local mode)."""
