@@ -45,12 +45,28 @@ def uniquify_aliases(url_alias: DataFrame, *, strict: bool = False) -> DataFrame
     return pick_one(url_alias, ["src"], ["pid"], largest=False)
 
 
+def fix_term_names(term_data: DataFrame, *, safe: bool = False,
+                   limit: int = TERM_NAME_LIMIT) -> DataFrame:
+    """R1 + R2 + R3 fused: one left join of the terms to the duplicated names
+    (one row per name, counted map-side) and a projection that suffixes and
+    truncates.  Equal to renaming by tid and writing back, without the second
+    shuffle of the terms by tid."""
+    dup = (term_data.where(F.col("name").isNotNull()).groupBy(F.col("name").alias("_dn"))
+           .agg(F.count("name").alias("_c")).where(F.col("_c") > 1).select("_dn"))
+    flagged = term_data.join(dup, F.col("name") == F.col("_dn"), "left")
+    suffix = F.concat(F.lit("_"), F.col("tid").cast("string"))
+    stem = F.col("name")
+    if safe:
+        stem = F.substring(stem, F.lit(1), F.lit(limit) - F.char_length(suffix))
+    renamed = F.when(F.col("_dn").isNotNull(), F.concat(stem, suffix)).otherwise(F.col("name"))
+    cols = [F.substring(renamed, 1, limit).alias("name") if c == "name" else F.col(c) for c in term_data.columns]
+    return flagged.select(*cols)
+
+
 def run_fix(tables: Mapping[str, DataFrame], *, safe: bool = False) -> dict[str, DataFrame]:
     """R1 -> R2 -> R3 -> R4 as one composed transformation.  Returns the
     repaired tables and the archived original aliases (S8)."""
-    terms = tables["term_data"]
-    renamed = apply_keyed_update(terms, uniquify_terms(terms, safe=safe))
-    fixed_terms = truncate_terms(renamed)
+    fixed_terms = fix_term_names(tables["term_data"], safe=safe)
     return {
         "term_data": fixed_terms,
         "url_alias": uniquify_aliases(tables["url_alias"]),

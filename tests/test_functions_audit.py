@@ -100,3 +100,13 @@ def test_ci_duplicate_names(spark):
     d = spark.createDataFrame([(1, "Foo"), (2, "foo "), (3, "bar")], "tid bigint, name string")
     got = [tuple(r) for r in audit.dup_term_names(d, collation="ci").collect()]
     assert got == [(1, "foo", 2)]
+
+
+def test_fused_term_fix_equals_r1_r2_r3(spark):
+    t = load_tables(spark, SF_SMALL)
+    terms = t["term_data"]
+    for safe in (False, True):
+        staged = repair.truncate_terms(repair.apply_keyed_update(terms, repair.uniquify_terms(terms, safe=safe)))
+        fused = repair.fix_term_names(terms, safe=safe)
+        assert fused.columns == staged.columns
+        assert fused.exceptAll(staged).count() == 0 and staged.exceptAll(fused).count() == 0
