@@ -10,9 +10,11 @@ table; the stream's own checkpoint records the progress.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pressferry.operators.dml import replace_into
@@ -38,6 +40,53 @@ def upsert_batches(warehouse: Warehouse, table: str, transform: Callable[[DataFr
     return handle
 
 
+BUCKET = "_bucket"
+
+
+def upsert_bucketed(warehouse: Warehouse, table: str, transform: Callable[[DataFrame], DataFrame],
+                    key: str, order: Sequence[str] = (), *, buckets: int = 64,
+                    empty: DataFrame | None = None,
+                    incoming_unique: bool = False) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that REPLACEs into a table partitioned by a
+    hash bucket of its single unique key and rewrites only the buckets the
+    micro-batch touches (a row can only conflict inside its own bucket).
+
+    The touched bucket numbers (at most ``buckets`` small integers, a bound
+    set by the parameter) are the only values brought to the driver; each
+    touched bucket is written to a stage and then swapped in.
+    """
+    bucket_of = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
+
+    def handle(batch: DataFrame, epoch_id: int) -> None:
+        incoming = transform(batch).withColumn(BUCKET, bucket_of)
+        touched = sorted(r[0] for r in incoming.select(BUCKET).distinct().collect())
+        if not touched:
+            return
+        if warehouse.exists(table):
+            live = warehouse.read(table)
+            existing = live.where(F.col(BUCKET).isin(touched))  # partition pruning
+        else:
+            base = empty if empty is not None else transform(batch).limit(0)
+            existing = base.withColumn(BUCKET, bucket_of)
+        result = replace_into(existing, incoming, [key], order, incoming_unique=incoming_unique)
+        stage = warehouse.path(f"_stage_{table}_{uuid.uuid4().hex}")
+        result.write.partitionBy(BUCKET).parquet(stage)
+        fs, live_path = warehouse._jvm_fs(warehouse.path(table))
+        jvm = warehouse.spark.sparkContext._jvm
+        if not fs.exists(live_path):
+            fs.mkdirs(live_path)
+        for b in touched:
+            src = jvm.org.apache.hadoop.fs.Path(f"{stage}/{BUCKET}={b}")
+            dst = jvm.org.apache.hadoop.fs.Path(f"{warehouse.path(table)}/{BUCKET}={b}")
+            if fs.exists(dst):
+                fs.delete(dst, True)
+            if fs.exists(src):
+                fs.rename(src, dst)
+        fs.delete(jvm.org.apache.hadoop.fs.Path(stage), True)
+
+    return handle
+
+
 def run(stream: DataFrame, handler: Callable[[DataFrame, int], None], checkpoint_location: str,
         *, available_now: bool = True) -> StreamingQuery:
     """Start the stream (``availableNow`` processes what is there, then stops)."""
