@@ -19,7 +19,7 @@ from pressferry.operators.dml import (
 )
 from pressferry.schemas import TARGET_DEFAULTS
 
-# The sample script's content-type lists.
+# The sample script's content-type lists and the upload path rewrite.
 POST_TYPES = ("page", "story")
 REDIRECT_TYPES = ("page", "story", "blog", "video1", "forum", "comment")
 FILES_PATH = '"/files/'
