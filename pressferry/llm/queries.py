@@ -7,12 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressferry.llm import byte_bpe, sharding
+from pressferry.llm import byte_bpe, fingerprints, sharding
 from pressferry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
@@ -25,7 +29,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op8_feistel_sharding, op9_byte_bpe)}
+    return {f.__name__: f for f in (op6_multiset_fingerprints, op8_feistel_sharding, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
