@@ -7,12 +7,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressferry.llm import byte_bpe, fingerprints, line_dedup, sharding
+from pressferry.llm import byte_bpe, fingerprints, language_id, line_dedup, sharding
 from pressferry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_kneser_ney_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.held_out_prediction(table(spark, sf_dir, "documents"))
+
+
 def op2_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(table(spark, sf_dir, "documents"))
 
@@ -33,7 +37,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_line_window_dedup, op6_multiset_fingerprints, op8_feistel_sharding, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_kneser_ney_language, op2_line_window_dedup, op6_multiset_fingerprints, op8_feistel_sharding, op9_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
