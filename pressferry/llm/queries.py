@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressferry.llm import byte_bpe, fingerprints, language_id, line_dedup, sharding
+from pressferry.llm import byte_bpe, fingerprints, language_id, line_dedup, quality, sharding
 from pressferry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,8 +36,13 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op10_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_kneser_ney_language, op2_line_window_dedup, op6_multiset_fingerprints, op8_feistel_sharding, op9_byte_bpe)}
+    return {f.__name__: f for f in (op1_kneser_ney_language, op2_line_window_dedup, op6_multiset_fingerprints, op8_feistel_sharding, op9_byte_bpe,
+                                     op10_hierarchical_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
