@@ -133,3 +133,61 @@ def word_hashes(words: pa.Array) -> np.ndarray:
 
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.cast(pa.large_binary()).to_pylist()),
                        dtype=np.uint64, count=len(words))
+
+
+def shingle_hashes(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the runs of ``width`` words of each text, with repeats
+    and in order (a shorter text with words is one run), and the first run of
+    each text with the end."""
+    offsets, codes, words = word_codes(texts)
+    size = np.diff(offsets)
+    hashed = word_hashes(words)[codes] if len(words) else np.zeros(0, dtype=np.uint64)
+    n = len(codes)
+    runs = np.where(size >= width, size - width + 1, (size > 0).astype(np.int64))
+    cuts = np.concatenate(([0], np.cumsum(runs)))
+    out = np.zeros(int(cuts[-1]), dtype=np.uint64)
+    multiplier = np.uint64(0x9E3779B97F4A7C15)
+    if n >= width:
+        rolled = np.full(n - width + 1, width, dtype=np.uint64)
+        for k in range(width):
+            rolled = mix(rolled * multiplier + hashed[k:n - width + 1 + k])
+        long = size >= width
+        starts = np.repeat(offsets[:-1][long], runs[long])
+        inner = np.arange(len(starts)) - np.repeat(np.cumsum(runs[long]) - runs[long], runs[long])
+        out[np.repeat(long, runs)] = rolled[starts + inner]
+    for i in np.flatnonzero((size > 0) & (size < width)):
+        value = np.array([size[i]], dtype=np.uint64)
+        for h in hashed[offsets[i]:offsets[i + 1]]:
+            value = mix(value * multiplier + h)
+        out[cuts[i]] = value[0]
+    return cuts, out
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest node reachable) of every node of the edges
+    (a, b), by alternating large and small stars; nothing is collected but two
+    numbers a round."""
+
+    def stars(pairs: DataFrame, larger: bool) -> DataFrame:
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else \
+            pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        joined = both.join(least, "a")
+        if larger:
+            moved = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        else:
+            moved = joined.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        return moved.filter("a <> b").distinct()
+
+    def digest(pairs: DataFrame) -> tuple:
+        return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    now = checkpointed(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    seen = digest(now)
+    while True:
+        now = checkpointed(stars(stars(now, True), False))
+        if (state := digest(now)) == seen:
+            break
+        seen = state
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressferry.llm import byte_bpe, fingerprints, language_id, line_dedup, quality, sharding
+from pressferry.llm import byte_bpe, fingerprints, jaccard_join, language_id, line_dedup, quality, sharding
 from pressferry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,10 @@ def op6_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op8_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
@@ -41,8 +45,9 @@ def op10_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_kneser_ney_language, op2_line_window_dedup, op6_multiset_fingerprints, op8_feistel_sharding, op9_byte_bpe,
-                                     op10_hierarchical_quality)}
+    return {f.__name__: f for f in (
+        op1_kneser_ney_language, op2_line_window_dedup, op6_multiset_fingerprints, op7_ngram_jaccard,
+        op8_feistel_sharding, op9_byte_bpe, op10_hierarchical_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
