@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressferry.llm import byte_bpe, fingerprints, jaccard_join, language_id, line_dedup, quality, sharding
+from pressferry.llm import byte_bpe, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, quality, sharding
 from pressferry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_line_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(table(spark, sf_dir, "documents"))
 
 
+def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_kneser_ney_language, op2_line_window_dedup, op6_multiset_fingerprints, op7_ngram_jaccard,
+        op1_kneser_ney_language, op2_line_window_dedup, op5_simhash_decontamination, op6_multiset_fingerprints, op7_ngram_jaccard,
         op8_feistel_sharding, op9_byte_bpe, op10_hierarchical_quality)}
 
 
