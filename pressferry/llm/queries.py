@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressferry.llm import byte_bpe, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, quality, sharding, token_files
+from pressferry.llm import byte_bpe, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, pitman_yor, quality, sharding, token_files
 from pressferry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_counts(table(spark, sf_dir, "documents"), encoder, eod=50256, vocabulary=50257)
 
 
+def op4_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -58,7 +62,8 @@ def op10_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_kneser_ney_language, op2_line_window_dedup, op3_separator_scan, op5_simhash_decontamination, op6_multiset_fingerprints, op7_ngram_jaccard,
+        op1_kneser_ney_language, op2_line_window_dedup, op3_separator_scan, op4_pitman_yor,
+        op5_simhash_decontamination, op6_multiset_fingerprints, op7_ngram_jaccard,
         op8_feistel_sharding, op9_byte_bpe, op10_hierarchical_quality)}
 
 
