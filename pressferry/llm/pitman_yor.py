@@ -49,7 +49,7 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 
 def pack(values: np.ndarray) -> bytes:
     """Bytes of equal rank together, compressed."""
-    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
     return pa.compress(raw, codec="zstd", asbytes=True)
 
 
