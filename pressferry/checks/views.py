@@ -51,7 +51,8 @@ VIEWS: dict[str, str] = {
         UNION ALL
         SELECT CAST(doc_id + 900001 AS BIGINT), CAST(doc_id + 1 AS BIGINT), 'old', 'old'
         FROM documents WHERE doc_id % 4 = 0""",
-    "node_type": _values(NODE_TYPES, ["type", "name", "description"]),
+    "node_type": _values(NODE_TYPES, ["type", "name", "description"]) + """
+        UNION ALL SELECT 'place_' || lower(n_name), n_name, 'Region ' || CAST(n_regionkey AS VARCHAR) FROM nation""",
     "url_alias": """
         SELECT CAST(page_id + 1 AS BIGINT) AS pid,
                'node/' || CAST(CASE WHEN page_id % 5 = 1 THEN page_id ELSE page_id + 1 END AS VARCHAR) AS src,

@@ -15,10 +15,10 @@ from pyspark.sql import types as T
 from pressferry.functions.scalars import col
 
 # PHP serialize formats of the scalar kinds.
-S_PATTERN = r'^s:([0-9]+):"(.*)";$'
-I_PATTERN = r"^i:(-?[0-9]+);$"
-D_PATTERN = r"^d:([^;]*);$"
-B_PATTERN = r"^b:([01]);$"
+S_PATTERN = r'(?s)^s:([0-9]+):"(.*)";\z'
+I_PATTERN = r"^i:(-?[0-9]+);\z"
+D_PATTERN = r"^d:([^;]*);\z"
+B_PATTERN = r"^b:([01]);\z"
 N_VALUE = "N;"
 VERSION_PATTERN = r's:7:"version";s:[0-9]+:"([^"]*)";'
 
@@ -28,14 +28,15 @@ def serialized_kind(value: str | Column) -> Column:
 
 
 def decode_scalar(value: str | Column) -> Column:
-    """Decoded text of a serialized scalar; NULL for N; and non-scalars."""
+    """Decoded text of a serialized scalar (line breaks included); NULL for N;,
+    non-scalars and malformed values (a wrong declared length among them)."""
     v = col(value)
     kind = serialized_kind(v)
-    return (F.when(kind == "s", F.regexp_extract(v, S_PATTERN, 2))
-            .when(kind == "i", F.regexp_extract(v, I_PATTERN, 1))
-            .when(kind == "d", F.regexp_extract(v, D_PATTERN, 1))
-            .when(kind == "b", F.regexp_extract(v, B_PATTERN, 1))
-            .otherwise(F.lit(None).cast("string")))
+    decoded = (F.when(kind == "s", F.regexp_extract(v, S_PATTERN, 2))
+               .when(kind == "i", F.regexp_extract(v, I_PATTERN, 1))
+               .when(kind == "d", F.regexp_extract(v, D_PATTERN, 1))
+               .when(kind == "b", F.regexp_extract(v, B_PATTERN, 1)))
+    return F.when(is_valid_scalar(v), decoded)
 
 
 def is_valid_scalar(value: str | Column) -> Column:
@@ -43,7 +44,7 @@ def is_valid_scalar(value: str | Column) -> Column:
     v = col(value)
     kind = serialized_kind(v)
     s_ok = v.rlike(S_PATTERN) & (
-        F.regexp_extract(v, S_PATTERN, 1).cast("bigint")
+        F.regexp_extract(v, S_PATTERN, 1).try_cast("bigint")
         == F.octet_length(F.regexp_extract(v, S_PATTERN, 2)))
     return (F.when(kind == "s", s_ok)
             .when(kind == "i", v.rlike(I_PATTERN))

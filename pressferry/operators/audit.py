@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressferry.functions.scalars import epoch_to_ts, slug
@@ -16,6 +16,7 @@ from pressferry.functions.serialized import decode_scalar, extract_version, is_v
 from pressferry.schemas import required_tables as _required_list
 
 TERM_NAME_LIMIT = 200
+# Default texts of the analysis record.
 UNKNOWN_SITENAME = "[Unknown sitename]"
 UNKNOWN_VERSION = "Unknown"
 
@@ -24,12 +25,14 @@ UNKNOWN_VERSION = "Unknown"
 
 def table_exists(spark: SparkSession, tables: Mapping[str, DataFrame], names: list[str]) -> DataFrame:
     """Per requested table: how many catalog entries carry the name (0 or 1)
-    and, when present, its row count (all counted in one job)."""
+    and, when present, its row count (all counted in one job).  Presence comes
+    from the mapping: an existing empty table is present with 0 rows."""
     present = [n for n in names if n in tables]
     counts = None
     for n in present:
-        one = tables[n].select(F.lit(n).alias("table_name"), F.lit(1).cast("bigint").alias("table_count"))
-        one = one.groupBy("table_name", "table_count").agg(F.count(F.lit(1)).alias("row_count"))
+        # A global aggregate has one row also for an empty table.
+        one = tables[n].agg(F.count(F.lit(1)).alias("row_count")).select(
+            F.lit(n).alias("table_name"), F.lit(1).cast("bigint").alias("table_count"), "row_count")
         counts = one if counts is None else counts.unionByName(one)
     requested = spark.createDataFrame([(n,) for n in names], "table_name string")
     if counts is None:
@@ -104,6 +107,11 @@ def count_by_type(node: DataFrame, node_type: DataFrame) -> DataFrame:
 CI_COLLATION = "UTF8_LCASE_RTRIM"
 
 
+def ci_key(column: str) -> Column:
+    """What two values share that a case-insensitive database holds equal."""
+    return F.lower(F.rtrim(F.col(column)))
+
+
 def dup_term_names(term_data: DataFrame, *, strict: bool = False, collation: str | None = None) -> DataFrame:
     """One row per duplicated name (the NULL name counts as a group);
     ``tid`` is the group's smallest.  ``strict`` groups by (name, tid).
@@ -119,9 +127,13 @@ def dup_term_names(term_data: DataFrame, *, strict: bool = False, collation: str
     return g.where(F.col("c") > 1).select(F.col("_tid").alias("tid"), "name", "c")
 
 
-def dup_term_members(term_data: DataFrame, *, strict: bool = False) -> DataFrame:
+def dup_term_members(term_data: DataFrame, *, strict: bool = False, collation: str | None = None) -> DataFrame:
     """Every (tid, name) whose name occurs more than once; NULL names
-    excluded (COUNT(name) and an equality join)."""
+    excluded (COUNT(name) and an equality join).  ``collation='ci'`` as in D8."""
+    if collation == "ci":
+        dup = (term_data.where(F.col("name").isNotNull()).groupBy(ci_key("name").alias("_k"))
+               .agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("_k"))
+        return term_data.join(dup, ci_key("name") == F.col("_k"), "left_semi").select("tid", "name")
     keys = ["name", "tid"] if strict else ["name"]
     dup = (term_data.where(F.col("name").isNotNull()).groupBy(*keys)
            .agg(F.count("name").alias("c")).where(F.col("c") > 1).select("name"))
@@ -135,7 +147,11 @@ def terms_too_long(term_data: DataFrame, limit: int = TERM_NAME_LIMIT) -> DataFr
     return term_data.where(F.char_length("name") > limit).select("tid", "name")
 
 
-def dup_aliases(url_alias: DataFrame, *, strict: bool = False) -> DataFrame:
+def dup_aliases(url_alias: DataFrame, *, strict: bool = False, collation: str | None = None) -> DataFrame:
+    """One row per path with several aliases; ``collation='ci'`` as in D8."""
+    if collation == "ci":
+        g = url_alias.groupBy(ci_key("src").alias("src")).agg(F.count(F.lit(1)).alias("c"), F.min("pid").alias("_pid"))
+        return g.where(F.col("c") > 1).select(F.col("_pid").alias("pid"), "src", "c")
     keys = ["src", "pid"] if strict else ["src"]
     g = url_alias.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min("pid").alias("_pid"))
     return g.where(F.col("c") > 1).select(F.col("_pid").alias("pid"), "src", "c")
@@ -160,15 +176,27 @@ def term_health(term_data: DataFrame, limit: int = TERM_NAME_LIMIT) -> DataFrame
     )
 
 
-def audit_summary(tables: Mapping[str, DataFrame], limit: int = TERM_NAME_LIMIT) -> DataFrame:
+def audit_summary(tables: Mapping[str, DataFrame], limit: int = TERM_NAME_LIMIT, *,
+                  lists: bool = False, trust_source_keys: bool = True) -> DataFrame:
     """The analysis record as one row.  The other tables' numbers are
-    scalar subqueries, each one aggregate job over its table."""
+    scalar subqueries, each one aggregate job over its table.
+    ``trust_source_keys``: nid is the node table's primary key, so the DISTINCT
+    posts are its rows and no title is shuffled.  ``lists`` adds the record's
+    two lists, ``node_types`` and ``node_count_by_type``: arrays of structs in
+    name order, bounded by the number of content types."""
     version = decode_version(tables["system"]).agg(
         F.coalesce(F.min("version"), F.lit(UNKNOWN_VERSION)).alias("v")).scalar()
     sitename = site_name(tables["variable"]).scalar()
-    posts = posts_list(tables["node"]).agg(F.count(F.lit(1))).scalar()
+    listed_posts = tables["node"] if trust_source_keys else posts_list(tables["node"])
+    posts = listed_posts.agg(F.count(F.lit(1))).scalar()
     types = node_types(tables["node_type"]).agg(F.count(F.lit(1))).scalar()
     aliases = dup_aliases(tables["url_alias"]).agg(F.count(F.lit(1))).scalar()
+    listed = []
+    if lists:
+        kinds = node_types(tables["node_type"]).agg(F.sort_array(F.collect_list(F.struct("type", "name", "description"))))
+        per = count_by_type(tables["node"], tables["node_type"]).agg(F.sort_array(F.collect_list(F.struct("type", "name", "node_count"))))
+        listed = [kinds.scalar().alias("node_types"), per.scalar().alias("node_count_by_type")]
+    # The field names of the analysis record.
     return term_health(tables["term_data"], limit).select(
         sitename.alias("sitename"),
         version.alias("version"),
@@ -178,6 +206,7 @@ def audit_summary(tables: Mapping[str, DataFrame], limit: int = TERM_NAME_LIMIT)
         types.cast("bigint").alias("node_types_count"),
         "terms_exceeded_char_count",
         aliases.cast("bigint").alias("duplicate_aliases_count"),
+        *listed,
     )
 
 
@@ -186,11 +215,8 @@ GATE_CHECKS = ["duplicate_terms_count", "terms_exceeded_char_count", "duplicate_
 
 def gate(summary: DataFrame) -> DataFrame:
     """Proceed only if the three problem counts are all zero.  Rows:
-    one per check plus ``proceed``."""
-    stacked = summary.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("check"), F.col(c).alias("count")) for c in GATE_CHECKS
-    ])).alias("r")).select("r.check", "r.count")
-    checks = stacked.withColumn("ok", F.col("count") == 0)
-    total = stacked.agg(F.lit("proceed").alias("check"), F.sum("count").cast("bigint").alias("count"),
-                        (F.sum("count") == 0).alias("ok"))
-    return checks.unionByName(total)
+    one per check plus ``proceed``, all made from the one summary row."""
+    total = sum((F.col(c) for c in GATE_CHECKS[1:]), F.col(GATE_CHECKS[0]))
+    checks = [F.struct(F.lit(c).alias("check"), F.col(c).alias("count"), (F.col(c) == 0).alias("ok")) for c in GATE_CHECKS]
+    proceed = F.struct(F.lit("proceed").alias("check"), total.alias("count"), (total == 0).alias("ok"))
+    return summary.select(F.inline(F.array(*checks, proceed)))

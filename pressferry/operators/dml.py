@@ -185,14 +185,15 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, key: Key | None = No
 
 # K3 ------------------------------------------------------------------------
 
-def insert(existing: DataFrame, incoming: DataFrame, key: Key | None = None, *,
+def insert(existing: DataFrame, incoming: DataFrame, key: Key | Sequence[Key] | None = None, *,
            defaults: Mapping[str, object] | None = None, check: bool = True,
            incoming_unique: bool = False) -> DataFrame:
     """INSERT: append; a duplicate key is an error (raised when the result is
-    computed).
+    computed).  ``key``: one unique key (a column or a tuple of columns), or a
+    list of them.
 
-    The existing table already satisfies its key, so only incoming rows are
-    checked: is the key already present (a semi join against the narrow
+    The existing table already satisfies its keys, so only incoming rows are
+    checked: is a key already present (a semi join against the narrow
     existing keys) or repeated within the batch (a partial aggregate)?  The
     existing rows pass through untouched.  ``incoming_unique`` (e.g. a
     DISTINCT on exactly the key) leaves only the check against existing keys.
@@ -200,7 +201,14 @@ def insert(existing: DataFrame, incoming: DataFrame, key: Key | None = None, *,
     incoming = with_defaults(incoming, existing, defaults)
     if key is None or not check:
         return existing.unionByName(incoming)
-    kc = _key_cols(key)
+    checked = incoming
+    for one in key if isinstance(key, list) else [key]:
+        checked = _guarded(existing, checked, _key_cols(one), incoming_unique)
+    return existing.unionByName(checked)
+
+
+def _guarded(existing: DataFrame, incoming: DataFrame, kc: Sequence[str], incoming_unique: bool) -> DataFrame:
+    """``incoming``, raising an error at a row whose key is taken."""
     inc_keys = incoming.where(_not_null(kc)).select(*[F.col(c).alias(f"_dk{i}") for i, c in enumerate(kc)])
     dk = [f"_dk{i}" for i in range(len(kc))]
     present = inc_keys.join(_renamed(existing.where(_not_null(kc)), kc, "_ok"),
@@ -212,10 +220,9 @@ def insert(existing: DataFrame, incoming: DataFrame, key: Key | None = None, *,
         repeated = inc_keys.groupBy(*dk).count().where(F.col("count") > 1).select(*dk)
         bad = present.unionByName(repeated).distinct().withColumn("_dup", F.lit(True))
     on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_dk{i}") for i, c in enumerate(kc)])
-    guard = F.when(F.col("_dup"), F.raise_error(F.lit(f"duplicate key {kc} on INSERT"))
+    guard = F.when(F.col("_dup"), F.raise_error(F.lit(f"duplicate key {list(kc)} on INSERT"))
                    ).otherwise(F.lit(True))
-    checked = incoming.join(bad, on, "left").where(guard.cast("boolean")).select(*incoming.columns)
-    return existing.unionByName(checked)
+    return incoming.join(bad, on, "left").where(guard.cast("boolean")).select(*incoming.columns)
 
 
 # K4 ------------------------------------------------------------------------
@@ -226,6 +233,10 @@ def insert_auto_id(existing: DataFrame, incoming: DataFrame, id_col: str,
     """INSERT with an AUTO_INCREMENT key: new ids are max(existing)+1, +2, ...
     in ``order`` order (dense, deterministic).
 
+    ``order`` should end with a column that tells rows apart (a source id):
+    equal order tuples can't be split over range partitions, so without one a
+    name that a third of the rows share would sort in one task.
+
     Distributed: the batch is range-sorted and written to the reliable
     checkpoint directory (stable partitions), each partition's row count
     gives its offset (one row per partition, a bounded table), and ids are
@@ -284,7 +295,7 @@ def update_where(df: DataFrame, predicate: Column | None,
 def update_from_join(target: DataFrame, source: DataFrame, on: Mapping[str, str],
                      assignments: Mapping[str, str | Column], *,
                      source_order: Sequence[str] | None = None,
-                     predicate: Column | None = None) -> DataFrame:
+                     predicate: Column | None = None, source_unique: bool = False) -> DataFrame:
     """UPDATE target JOIN source ON target.k = source.k SET target.c = source.v.
 
     ``on`` maps target column -> source column.  Where several source rows
@@ -292,16 +303,18 @@ def update_from_join(target: DataFrame, source: DataFrame, on: Mapping[str, str]
     (default: the join key) wins.  A matched row is updated even when the new
     value is NULL (a matched flag, not ``coalesce``).  ``assignments`` maps
     target column -> source column name or an expression over ``_src_*``
-    columns.
+    columns.  ``source_unique``: the source holds its join key once (a primary
+    key), so nothing is picked; wide values then only pass through the join.
     """
     tkeys, skeys = list(on.keys()), list(on.values())
     src_cols = sorted({v for v in assignments.values() if isinstance(v, str)} | set(skeys)
                       | set(source_order or []))
-    narrow = source.where(_not_null(skeys)).select(*src_cols)
-    if not source_order:
-        narrow = narrow.distinct()
-        source_order = [c for c in src_cols if c not in skeys]
-    one = pick_one(narrow, skeys, list(source_order), largest=False)
+    one = source.where(_not_null(skeys)).select(*src_cols)
+    if not source_unique:
+        if not source_order:
+            one = one.distinct()
+            source_order = [c for c in src_cols if c not in skeys]
+        one = pick_one(one, skeys, list(source_order), largest=False)
     renamed = one.select(*[F.col(c).alias(f"_src_{c}") for c in src_cols]).withColumn("_matched", F.lit(True))
     cond = reduce(lambda a, b: a & b, [F.col(t) == F.col(f"_src_{s}") for t, s in on.items()])
     joined = target.join(renamed, cond, "left")

@@ -66,7 +66,8 @@ def post_rows(node: DataFrame, node_revisions: DataFrame, url_alias: DataFrame,
 
 
 def posts(node: DataFrame, node_revisions: DataFrame, url_alias: DataFrame, wp_posts: DataFrame,
-          types: Sequence[str] = POST_TYPES, *, trust_source_keys: bool = True) -> DataFrame:
+          types: Sequence[str] = POST_TYPES, *, trust_source_keys: bool = True,
+          aliases_unique: bool = False) -> DataFrame:
     """M10 (flagship): REPLACE DISTINCT post rows into wp_posts keyed by id.
 
     The DISTINCT is folded into the keyed REPLACE: rows equal in every
@@ -78,9 +79,11 @@ def posts(node: DataFrame, node_revisions: DataFrame, url_alias: DataFrame, wp_p
     alias table (narrow) is then reduced to its last alias per path *before*
     the join, which picks the same winner, and no post body is shuffled for
     de-duplication.  ``False`` de-duplicates the joined rows instead.
+    ``aliases_unique``: one alias per path already (after R4), nothing to reduce.
     """
     if trust_source_keys:
-        last_alias = pick_one(url_alias.where(F.col("src").isNotNull()), ["src"], ["pid"], largest=True)
+        last_alias = url_alias if aliases_unique else pick_one(
+            url_alias.where(F.col("src").isNotNull()), ["src"], ["pid"], largest=True)
         rows = post_rows(node, node_revisions, last_alias, types)
         # The batch's ids without the alias join (a left join adds no ids).
         ids = (node.where(F.col("type").isin(list(types))).select("nid", "vid")
@@ -151,9 +154,11 @@ def custom_type_merge(node: DataFrame, node_revisions: DataFrame, teaser: DataFr
 def update_posts_from(wp_posts: DataFrame, merged: DataFrame, key: str = "nid",
                       predicate: Column | None = None) -> DataFrame:
     """post_content <- merged.post_content joined on posts.id = merged.<key>.
-    ``key='vid'`` reproduces the sample (which joins post id to revision id)."""
+    ``key='vid'`` reproduces the sample (which joins post id to revision id).
+    vid is unique in ``merged``; several revisions of a node are told apart by
+    it (the smallest wins).  No body is ever a key or an aggregate."""
     return update_from_join(wp_posts, merged, {"id": key}, {"post_content": "post_content"},
-                            source_order=[key, "post_content"], predicate=predicate)
+                            source_order=["vid"], source_unique=key == "vid", predicate=predicate)
 
 
 def redirects(node: DataFrame, node_revisions: DataFrame, url_alias: DataFrame,
@@ -169,7 +174,8 @@ def redirects(node: DataFrame, node_revisions: DataFrame, url_alias: DataFrame,
 
 def posts_pass(node: DataFrame, node_revisions: DataFrame, url_alias: DataFrame, wp_posts: DataFrame,
                wp_comments: DataFrame, wp_users: DataFrame, *, types: Sequence[str] = POST_TYPES,
-               admin_id: int = 1, old: str = FILES_PATH, new: str = UPLOADS_PATH) -> DataFrame:
+               admin_id: int = 1, old: str = FILES_PATH, new: str = UPLOADS_PATH,
+               aliases_unique: bool = False) -> DataFrame:
     """M10 -> M11 -> M12 -> M18 -> M26 -> M27 as one plan (same table as the
     statements run in order).
 
@@ -180,7 +186,8 @@ def posts_pass(node: DataFrame, node_revisions: DataFrame, url_alias: DataFrame,
     the path rewrite are projections.  Existing posts that survive the
     REPLACE (none after the usual truncation) take the statements one by one.
     """
-    last_alias = pick_one(url_alias.where(F.col("src").isNotNull()), ["src"], ["pid"], largest=True)
+    last_alias = url_alias if aliases_unique else pick_one(
+        url_alias.where(F.col("src").isNotNull()), ["src"], ["pid"], largest=True)
     n = node.where(F.col("type").isin(list(types)))
     a = last_alias.select(F.col("src").alias("_src"), F.col("dst"))
     narrow = (n.withColumn("_src_key", F.concat(F.lit("node/"), F.col("nid").cast("string")))
@@ -210,8 +217,8 @@ def posts_pass(node: DataFrame, node_revisions: DataFrame, url_alias: DataFrame,
         F.coalesce(F.col("_cc"), F.lit(0)).cast("bigint").alias("comment_count"),
     )
     # Existing rows that no incoming id replaces go through the statements.
-    kept = wp_posts.join(fresh.select(F.col("id").alias("_fid")).distinct(),
-                         F.col("id") == F.col("_fid"), "left_anti")
+    ids = n.select(F.col("nid").alias("_fid"), "vid").join(node_revisions.select("vid"), "vid", "left_semi").select("_fid")
+    kept = wp_posts.join(ids, F.col("id") == F.col("_fid"), "left_anti")
     kept = post_type_rest(post_type_map(kept, types))
     kept = rewrite_paths(reassign_orphans(comment_counts(kept, wp_comments), wp_users, admin_id), old, new)
     return kept.unionByName(fresh.select(*wp_posts.columns))

@@ -14,12 +14,14 @@ TERM_NAME_LIMIT = audit.TERM_NAME_LIMIT
 
 
 def uniquify_terms(term_data: DataFrame, *, safe: bool = False,
-                   limit: int = TERM_NAME_LIMIT) -> DataFrame:
+                   limit: int = TERM_NAME_LIMIT, collation: str | None = None) -> DataFrame:
     """New (tid, name) for every member of a duplicate-name group, the
     first member included: name + '_' + tid.  With ``safe`` the stem is cut so
     the suffixed name fits the limit (the default reproduces the original,
     whose later truncation can re-collide)."""
-    members = audit.dup_term_members(term_data)
+    members = audit.dup_term_members(term_data, collation=collation)
+    if safe:  # names over the limit may agree in their first characters
+        members = members.unionByName(audit.terms_too_long(term_data, limit)).distinct()
     suffix = F.concat(F.lit("_"), F.col("tid").cast("string"))
     stem = F.col("name")
     if safe:
@@ -37,20 +39,32 @@ def truncate_terms(term_data: DataFrame, limit: int = TERM_NAME_LIMIT) -> DataFr
     return term_data.withColumn("name", F.substring("name", 1, limit))
 
 
-def uniquify_aliases(url_alias: DataFrame, *, strict: bool = False) -> DataFrame:
+def uniquify_aliases(url_alias: DataFrame, *, strict: bool = False, collation: str | None = None) -> DataFrame:
     """Exactly one alias per source path (the smallest pid).  ``strict``
-    groups by (src, pid) and so keeps every row when pid is unique."""
+    groups by (src, pid) and so keeps every row when pid is unique.
+    ``collation='ci'`` takes paths as equal that a case-insensitive database
+    holds equal."""
+    if collation == "ci":
+        keyed = url_alias.withColumn("_ci", audit.ci_key("src"))
+        return pick_one(keyed, ["_ci"], ["pid"], largest=False).drop("_ci")
     if strict:
         return pick_one(url_alias, ["src", "pid"], ["dst"], largest=False)
     return pick_one(url_alias, ["src"], ["pid"], largest=False)
 
 
 def fix_term_names(term_data: DataFrame, *, safe: bool = False,
-                   limit: int = TERM_NAME_LIMIT) -> DataFrame:
+                   limit: int = TERM_NAME_LIMIT, null_name_stem: str | None = None) -> DataFrame:
     """R1 + R2 + R3 fused: one left join of the terms to the duplicated names
     (one row per name, counted map-side) and a projection that suffixes and
     truncates.  Equal to renaming by tid and writing back, without the second
-    shuffle of the terms by tid."""
+    shuffle of the terms by tid.
+
+    ``safe`` keeps all names apart within the limit: every name over the limit
+    takes its suffix too (two long names may agree in their first characters).
+    ``null_name_stem`` names the terms without a name: stem + '_' + tid."""
+    if null_name_stem is not None:
+        filled = F.coalesce(F.col("name"), F.concat(F.lit(null_name_stem + "_"), F.col("tid").cast("string")))
+        term_data = term_data.withColumn("name", filled)
     dup = (term_data.where(F.col("name").isNotNull()).groupBy(F.col("name").alias("_dn"))
            .agg(F.count("name").alias("_c")).where(F.col("_c") > 1).select("_dn"))
     flagged = term_data.join(dup, F.col("name") == F.col("_dn"), "left")
@@ -58,15 +72,19 @@ def fix_term_names(term_data: DataFrame, *, safe: bool = False,
     stem = F.col("name")
     if safe:
         stem = F.substring(stem, F.lit(1), F.lit(limit) - F.char_length(suffix))
-    renamed = F.when(F.col("_dn").isNotNull(), F.concat(stem, suffix)).otherwise(F.col("name"))
+    again = F.col("_dn").isNotNull()
+    if safe:
+        again = again | (F.char_length("name") > limit)
+    renamed = F.when(again, F.concat(stem, suffix)).otherwise(F.col("name"))
     cols = [F.substring(renamed, 1, limit).alias("name") if c == "name" else F.col(c) for c in term_data.columns]
     return flagged.select(*cols)
 
 
-def run_fix(tables: Mapping[str, DataFrame], *, safe: bool = False) -> dict[str, DataFrame]:
+def run_fix(tables: Mapping[str, DataFrame], *, safe: bool = False,
+            null_name_stem: str | None = None) -> dict[str, DataFrame]:
     """R1 -> R2 -> R3 -> R4 as one composed transformation.  Returns the
     repaired tables and the archived original aliases (S8)."""
-    fixed_terms = fix_term_names(tables["term_data"], safe=safe)
+    fixed_terms = fix_term_names(tables["term_data"], safe=safe, null_name_stem=null_name_stem)
     return {
         "term_data": fixed_terms,
         "url_alias": uniquify_aliases(tables["url_alias"]),

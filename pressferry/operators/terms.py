@@ -20,7 +20,9 @@ from pressferry.operators.dml import (
 )
 from pressferry.schemas import TARGET_DEFAULTS
 
-# Unique keys of the target tables (parameters of the upserts).
+# Unique keys of the target tables (parameters of the upserts).  Where the
+# target also holds names (or slugs) unique, pass them: ["term_id", "slug"].
+# Fixed values of the target below: 'post_tag', 'category', 'uncategorized'.
 TERM_KEYS = ["term_id"]
 TAXONOMY_KEYS = ["term_taxonomy_id", ("term_id", "taxonomy")]
 RELATIONSHIP_KEY = ("object_id", "term_taxonomy_id")
@@ -44,8 +46,9 @@ def categories_work(categories_from_client: DataFrame) -> DataFrame:
 
 def vocab_roles(term_data: DataFrame, category_vids: Sequence[int]) -> DataFrame:
     """One parameter decides both sides: terms of ``category_vids`` become
-    categories, every other term a tag."""
-    return term_data.select(
+    categories, every other term a tag.  A term without a vocabulary is in
+    neither list, as in ``tags_work``: NULL NOT IN (...) isn't true."""
+    return term_data.where(F.col("vid").isNotNull()).select(
         "tid", "vid", "name",
         F.when(F.col("vid").isin(list(category_vids)), "category").otherwise("tag").alias("role"))
 
@@ -77,9 +80,10 @@ def category_terms(term_data: DataFrame, categories: DataFrame, wp_terms: DataFr
 def uncategorized_term(wp_terms: DataFrame, name: str = "Uncategorized",
                        term_slug: str = "uncategorized") -> DataFrame:
     """M8: INSERT one literal term; its id is assigned as max + 1."""
-    spark = wp_terms.sparkSession
-    row = spark.createDataFrame([(name, term_slug, 0)], "name string, slug string, term_group bigint")
-    return insert_auto_id(wp_terms, row, "term_id", order=["name"])
+    # One row: its id needs the largest id only, no ranking of a batch.
+    row = wp_terms.agg((F.coalesce(F.max("term_id"), F.lit(0)).cast("bigint") + 1).alias("term_id")).select(
+        "term_id", F.lit(name).alias("name"), F.lit(term_slug).alias("slug"), F.lit(0).cast("bigint").alias("term_group"))
+    return insert(wp_terms, row, check=False)
 
 
 # Taxonomy --------------------------------------------------------------------
@@ -112,8 +116,9 @@ def category_taxonomy(term_data: DataFrame, categories: DataFrame, taxonomy: Dat
 def subcategories(term_data: DataFrame, vids: Sequence[int], taxonomy: DataFrame,
                   keys: Sequence = TAXONOMY_KEYS) -> DataFrame:
     """Terms of ``vids`` as categories whose parent is their vocabulary."""
-    chosen = term_data.where(F.col("vid").isin(list(vids))).select("tid")
-    rows = _taxonomy_rows(term_data, chosen, "category", parent="vid")
+    chosen = term_data.where(F.col("vid").isin(list(vids)) & F.col("tid").isNotNull())
+    rows = chosen.select(F.col("tid").alias("term_taxonomy_id"), F.col("tid").alias("term_id"),
+                         F.lit("category").alias("taxonomy"), "description", F.col("vid").alias("parent"))
     return replace_into(taxonomy, rows, keys, order=["term_taxonomy_id"], defaults=TAX_DEFAULTS,
                         incoming_unique=list(keys) == TAXONOMY_KEYS)
 
@@ -125,7 +130,42 @@ def uncategorized_taxonomy(wp_terms: DataFrame, taxonomy: DataFrame,
         F.col("term_id").alias("term_taxonomy_id"), "term_id", F.lit("category").alias("taxonomy"),
         F.col("name").alias("description"), F.lit(0).cast("bigint").alias("parent"),
         F.lit(0).cast("bigint").alias("count")).distinct()
-    return insert(taxonomy, rows, "term_taxonomy_id")
+    return insert(taxonomy, rows, TAXONOMY_KEYS)
+
+
+# The taxonomy chain as single passes ----------------------------------------------
+
+def _roles(term_data: DataFrame, categories: DataFrame, exclude_vids: Sequence[int] | None) -> DataFrame:
+    """The chosen terms with ``_cat`` (a category) and ``_tag`` (not excluded)."""
+    cat = categories.where(F.col("tid").isNotNull()).groupBy(F.col("tid").alias("_ct")).agg(F.lit(True).alias("_cat"))
+    flagged = term_data.join(cat, F.col("tid") == F.col("_ct"), "left").drop("_ct")
+    tag = ~F.col("vid").isin(list(exclude_vids)) if exclude_vids else F.lit(True)
+    flagged = flagged.withColumn("_cat", F.coalesce("_cat", F.lit(False))).withColumn("_tag", F.coalesce(tag, F.lit(False)))
+    return flagged.where((F.col("_cat") | F.col("_tag")) & F.col("tid").isNotNull())
+
+
+def terms_pass(term_data: DataFrame, categories: DataFrame, wp_terms: DataFrame,
+               exclude_vids: Sequence[int] | None = None) -> DataFrame:
+    """M3 then M6 as one REPLACE: tag and category terms are the same rows of
+    term_data, so each term is written once.  Without excluded vocabularies
+    every term is a tag, and the categories needn't be read."""
+    chosen = term_data.where(F.col("tid").isNotNull()) if not exclude_vids else _roles(term_data, categories, exclude_vids)
+    rows = chosen.select(F.col("tid").alias("term_id"), "name", slug("name").alias("slug"), F.col("vid").alias("term_group"))
+    return replace_into(wp_terms, rows, TERM_KEYS, order=["term_id"], incoming_unique=True)
+
+
+def taxonomy_pass(term_data: DataFrame, categories: DataFrame, taxonomy: DataFrame,
+                  exclude_vids: Sequence[int] | None = None) -> DataFrame:
+    """M4 then M7 as one REPLACE: a term that is a category ends as one, all
+    other chosen terms as tags; one left join to the category ids."""
+    roles = _roles(term_data, categories, exclude_vids)
+    rows = roles.select(F.col("tid").alias("term_taxonomy_id"), F.col("tid").alias("term_id"),
+                        F.when(F.col("_cat"), "category").otherwise("post_tag").alias("taxonomy"),
+                        "description", F.lit(0).cast("bigint").alias("parent"))
+    # M4 also removes the (term, 'post_tag') rows of terms that M7 makes categories.
+    tagged = roles.where("_cat AND _tag").select(F.col("tid").alias("_t"))
+    kept = taxonomy.join(tagged, (F.col("term_id") == F.col("_t")) & (F.col("taxonomy") == "post_tag"), "left_anti")
+    return replace_into(kept, rows, TAXONOMY_KEYS, order=["term_taxonomy_id"], defaults=TAX_DEFAULTS, incoming_unique=True)
 
 
 def default_category_taxonomy(taxonomy: DataFrame, term_id: int = 159) -> DataFrame:
@@ -154,12 +194,13 @@ def fix_taxonomy_ids(relationships: DataFrame, taxonomy: DataFrame) -> DataFrame
     where it equals taxonomy.term_id.
 
     Where several taxonomy rows share a term_id the smallest
-    term_taxonomy_id is used.  IGNORE: a row whose new pair already exists in
-    the table (as an unchanged row) or is also the target of a row with a
-    smaller old id keeps its old value.
+    term_taxonomy_id is used.  IGNORE: a row keeps its old value if its new
+    pair is held by any row before the statement (also by one that moves away
+    itself: it may be refused), or is also the target of a row with a smaller
+    old id.  So no pair can come to stand twice.
 
-    One aggregate over the target pairs (does an unchanged row hold it?
-    which changed row comes first?) and one join back; no all-pairs step.
+    One aggregate over old and target pairs (is it held? which changed row
+    comes first?) and one join back; no all-pairs step.
     """
     mapped = update_from_join(
         relationships.withColumn("_old", F.col("term_taxonomy_id")),
@@ -167,9 +208,11 @@ def fix_taxonomy_ids(relationships: DataFrame, taxonomy: DataFrame) -> DataFrame
         {"term_taxonomy_id": "term_id"}, {"term_taxonomy_id": "term_taxonomy_id"},
         source_order=["term_taxonomy_id"])
     same = F.col("term_taxonomy_id").eqNullSafe(F.col("_old"))
-    per_target = mapped.groupBy(F.col("object_id").alias("_t_obj"), F.col("term_taxonomy_id").alias("_t_tt")).agg(
-        F.max(same.cast("int")).alias("_held"),
-        F.min(F.when(~same, F.col("_old"))).alias("_first_old"))
+    pairs = mapped.select("object_id", F.explode(F.array(
+        F.struct(F.col("_old").alias("_t_tt"), F.lit(1).alias("_h"), F.lit(None).cast("bigint").alias("_o")),
+        F.struct(F.col("term_taxonomy_id").alias("_t_tt"), F.lit(0).alias("_h"), F.when(~same, F.col("_old")).alias("_o")))).alias("p"))
+    per_target = pairs.groupBy(F.col("object_id").alias("_t_obj"), F.col("p._t_tt").alias("_t_tt")).agg(
+        F.max("p._h").alias("_held"), F.min("p._o").alias("_first_old"))
     on = F.col("object_id").eqNullSafe(F.col("_t_obj")) & F.col("term_taxonomy_id").eqNullSafe(F.col("_t_tt"))
     joined = mapped.join(per_target, on, "left")
     applied = same | ((F.col("_held") == 0) & F.col("_old").eqNullSafe(F.col("_first_old")))
@@ -252,6 +295,13 @@ def remap_parents(taxonomy: DataFrame, id_map: DataFrame) -> DataFrame:
                             source_order=["new_id"])
 
 
+def remap_term_ids(taxonomy: DataFrame, new_ids: DataFrame) -> DataFrame:
+    """O11 (ids): term_id <- the vocabulary's new term id where
+    term_taxonomy_id is that id."""
+    chosen = new_ids.select("new_id").distinct()
+    return update_from_join(taxonomy, chosen, {"term_taxonomy_id": "new_id"}, {"term_id": "new_id"}, source_order=["new_id"])
+
+
 def remap_term_groups(wp_terms: DataFrame, id_map: DataFrame) -> DataFrame:
     """O11 (terms side): term_group vid -> the vocabulary's new term id."""
     return update_from_join(wp_terms, id_map, {"term_group": "vid"}, {"term_group": "new_id"},

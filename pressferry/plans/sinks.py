@@ -14,6 +14,8 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pressferry.operators.dml import insert
+
 
 def create_like(df: DataFrame) -> DataFrame:
     """CREATE TABLE x LIKE y (an empty table with y's schema, no lineage)."""
@@ -31,6 +33,13 @@ def archive_swap(clean: DataFrame, original: DataFrame) -> tuple[DataFrame, Data
     return clean, original
 
 
+def fixed_terms_log(fixes: DataFrame, log: DataFrame | None = None) -> DataFrame:
+    """The audit table (tid unique, name) with the repaired names added; a
+    tid that is logged already, or comes twice, is an error."""
+    rows = fixes.select("tid", "name")
+    return insert(rows.sparkSession.createDataFrame([], rows.schema) if log is None else log, rows, "tid")
+
+
 class Warehouse:
     """Named parquet tables under one root directory (shared storage on a cluster)."""
 
@@ -71,25 +80,59 @@ class Warehouse:
         return self.read(name)
 
     def _swap_in(self, stage: str, name: str) -> None:
-        fs, live = self._jvm_fs(self.path(name))
-        jvm = self.spark.sparkContext._jvm
-        if fs.exists(live):
-            old = jvm.org.apache.hadoop.fs.Path(self.path(f"_old_{name}_{uuid.uuid4().hex}"))
-            fs.rename(live, old)
-            fs.rename(jvm.org.apache.hadoop.fs.Path(stage), live)
-            fs.delete(old, True)
-        else:
-            fs.rename(jvm.org.apache.hadoop.fs.Path(stage), live)
+        self.swap(stage, self.path(name), self.path(f"_old_{name}_{uuid.uuid4().hex}"))
+
+    def rename(self, source: str, target: str) -> bool:
+        """Whether the file system moved the folder (some answer False instead
+        of raising)."""
+        fs, p = self._jvm_fs(source)
+        return bool(fs.rename(p, self._jvm_fs(target)[1]))
+
+    def delete(self, path: str) -> None:
+        fs, p = self._jvm_fs(path)
+        fs.delete(p, True)
+
+    def swap(self, stage: str, live: str, old: str, keep_old: bool = False) -> None:
+        """Put ``stage`` in the place of ``live``.  Every rename is checked; on
+        failure the old version goes back to its place, and it is deleted last."""
+        fs, p = self._jvm_fs(live)
+        had = bool(fs.exists(p))
+        if had and not self.rename(live, old):
+            raise OSError(f"could not move {live} aside; nothing has changed")
+        if not self.rename(stage, live):
+            if had and not self.rename(old, live):
+                raise OSError(f"could not move {stage} to {live}; the old version is in {old}")
+            raise OSError(f"could not move {stage} to {live}; the old version is in its place")
+        if had and not keep_old:
+            self.delete(old)
 
     def append(self, name: str, df: DataFrame) -> bool:
-        """S3: append rows; False (and no change) if the write fails."""
+        """S3: append rows; False (and no change) if the write fails, with the
+        reason in ``last_error``.  The rows are written to a stage first; only
+        whole files then move into the table."""
+        self.last_error: str | None = None
+        stage = self.path(f"_stage_{name}_{uuid.uuid4().hex}")
         try:
-            if self.exists(name):
-                df.write.mode("append").parquet(self.path(name))
-            else:
+            if not self.exists(name):
                 self.write(name, df)
+                return True
+            df.write.mode("errorifexists").parquet(stage)
+            fs, p = self._jvm_fs(stage)
+            moved: list[str] = []
+            for status in fs.listStatus(p):
+                file = status.getPath().getName()
+                if file.startswith(("_", ".")):
+                    continue
+                target = f"{self.path(name)}/{file}"
+                if not self.rename(f"{stage}/{file}", target):
+                    for done in moved:
+                        self.delete(done)
+                    raise OSError(f"could not move {file} into {name}")
+                moved.append(target)
+            self.delete(stage)
             return True
-        except Exception:  # noqa: BLE001 - the statement's contract is a bool
+        except Exception as error:  # noqa: BLE001 - the statement's contract is a bool
+            self.last_error = str(error)
             return False
 
     # S6 / S7 ------------------------------------------------------------------
@@ -124,12 +167,8 @@ class Warehouse:
         clean.write.mode("errorifexists").parquet(stage)
         archived = name + archive_suffix
         self.drop(archived)
-        fs, live = self._jvm_fs(self.path(name))
-        jvm = self.spark.sparkContext._jvm
-        if fs.exists(live):
-            fs.rename(live, jvm.org.apache.hadoop.fs.Path(self.path(archived)))
-        fs.rename(jvm.org.apache.hadoop.fs.Path(stage), live)
+        self.swap(stage, self.path(name), self.path(archived), keep_old=True)
 
     def log_fixed_terms(self, fixes: DataFrame, name: str = "acc_fixed_term_names") -> DataFrame:
         """Audit table (tid unique, name) of repaired term names."""
-        return self.write(name, fixes.select("tid", "name").dropDuplicates(["tid"]))
+        return self.write(name, fixed_terms_log(fixes))

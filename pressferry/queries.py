@@ -81,11 +81,11 @@ class Run:
 
     @cached_property
     def m6(self):
-        return terms.category_terms(self.t["term_data"], self.acc_categories, self.m3)
+        return terms.terms_pass(self.t["term_data"], self.acc_categories, self.t["wp_terms"])
 
     @cached_property
     def m7(self):
-        return terms.category_taxonomy(self.t["term_data"], self.acc_categories, self.m4)
+        return terms.taxonomy_pass(self.t["term_data"], self.acc_categories, self.empty("wp_term_taxonomy"))
 
     @cached_property
     def m8(self):
@@ -107,7 +107,7 @@ class Run:
     @cached_property
     def m10(self):
         t = self.t
-        return posts.posts(t["node"], t["node_revisions"], self.aliases, self.empty("wp_posts"))
+        return posts.posts(t["node"], t["node_revisions"], self.aliases, self.empty("wp_posts"), aliases_unique=True)
 
     @cached_property
     def m12(self):
@@ -214,12 +214,12 @@ def _x1(r: Run) -> DataFrame:
 
     book = runbook.Runbook([
         runbook.sql_step("authors.list", "acc_users_post_count", """
-            SELECT u.uid, u.name, u.mail, count(n.uid) AS node_count
-            FROM node n JOIN users u ON n.uid = u.uid GROUP BY u.uid, u.name, u.mail"""),
+            WITH written AS (SELECT uid, count(*) AS node_count FROM node WHERE uid IS NOT NULL GROUP BY uid)
+            SELECT uid, name, mail, node_count FROM users JOIN written USING (uid)"""),
         runbook.sql_step("authors.capabilities", "acc_author_meta", """
-            SELECT DISTINCT uid AS user_id, 'wp_capabilities' AS meta_key,
-                   'a:1:{s:6:"author";s:1:"1";}' AS meta_value
-            FROM users WHERE uid IN (SELECT uid FROM acc_users_post_count)"""),
+            SELECT uid AS user_id, k AS meta_key, v AS meta_value
+            FROM acc_users_post_count CROSS JOIN VALUES ('wp_capabilities', 'a:1:{s:6:"author";s:1:"1";}') AS meta (k, v)
+            GROUP BY ALL"""),
     ])
     out = book.run({"node": r.t["node"], "users": r.t["users"]})
     if not out.ok:
@@ -264,16 +264,48 @@ def _k10(r: Run) -> DataFrame:
 
 def _k4(r: Run) -> DataFrame:
     rows = r.t["term_data"].select("name", F.replace(F.lower("name"), F.lit(" "), F.lit("_")).alias("slug"),
-                                   F.col("vid").alias("term_group"))
-    return insert_auto_id(r.t["wp_terms"], rows, "term_id", order=["term_group", "name", "slug"])
+                                   F.col("vid").alias("term_group"), "tid")
+    return insert_auto_id(r.t["wp_terms"], rows, "term_id", order=["term_group", "name", "tid"])
+
+
+ALL_TYPES = ("page", "story", "forum", "blog")
+
+
+def _m12(r: Run) -> DataFrame:
+    """M12 over posts of all content types, of which M11 maps two."""
+    every = posts.posts(r.t["node"], r.t["node_revisions"], r.aliases, r.empty("wp_posts"), ALL_TYPES, aliases_unique=True)
+    return posts.post_type_rest(posts.post_type_map(every))
+
+
+def _o14(r: Run) -> DataFrame:
+    """O14 with taken targets and chains: half of the taxonomy ids are off by one."""
+    shifted = F.when(F.col("term_id") % 4 < 2, F.col("term_id") + 1).otherwise(F.col("term_id"))
+    return terms.fix_taxonomy_ids(r.m13, r.m7.select("term_id", shifted.alias("term_taxonomy_id")))
+
+
+def _o15(r: Run) -> DataFrame:
+    """O15 over slugs of which a third hold typographic quotes."""
+    quoted = F.when(F.col("id") % 3 == 0, F.concat(F.lit("\u2018"), "post_name", F.lit("\u201d"))).otherwise(F.col("post_name"))
+    return posts.clean_slugs(r.m10.withColumn("post_name", quoted))
+
+
+def _s8(r: Run) -> DataFrame:
+    """Both tables after the swap, told apart by their role."""
+    live, archived = sinks.archive_swap(r.aliases, r.t["url_alias"])
+    return live.withColumn("role", F.lit("live")).unionByName(archived.withColumn("role", F.lit("archived")))
+
+
+def _id_map(r: Run) -> DataFrame:
+    return terms.vocab_id_map(r.o9, r.m6)
 
 
 QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     # sources / sinks
     "s1_read_table": lambda r: read_table(r.t, "node"),
     "s2_table_exists": lambda r: audit.table_exists(r.spark, r.t, REQUIRED_TABLES_V6 + [MISSING_TABLE]),
-    "s5_create_like": lambda r: sinks.create_like(r.t["wp_users"]),
-    "s8_archive_swap": lambda r: sinks.archive_swap(r.aliases, r.t["url_alias"])[1],
+    "s1b_read_parquet_root": lambda r: read_table(r.t.sf_dir, "documents", spark=r.spark).select("doc_id", "lang", "n_chars"),
+    "s8_archive_swap": _s8,
+    "s9_fixed_terms_log": lambda r: sinks.fixed_terms_log(repair.uniquify_terms(r.t["term_data"])),
     "s10_copy_append": lambda r: sinks.copy_append(r.t["wp_users"], users.user_rows(r.t["users"])),
     # audit
     "d1_required_tables": lambda r: audit.required_tables(r.spark, r.t, "6.37"),
@@ -289,9 +321,11 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "d8c_dup_term_names_ci": lambda r: audit.dup_term_names(r.t["term_data"], collation="ci"),
     "d9_dup_term_members": lambda r: audit.dup_term_members(r.t["term_data"]),
     "d9b_dup_term_members_strict": lambda r: audit.dup_term_members(r.t["term_data"], strict=True),
+    "d9c_dup_term_members_ci": lambda r: audit.dup_term_members(r.t["term_data"], collation="ci"),
     "d10_terms_too_long": lambda r: audit.terms_too_long(r.t["term_data"]),
     "d11_dup_aliases": lambda r: audit.dup_aliases(r.t["url_alias"]),
     "d11b_dup_aliases_strict": lambda r: audit.dup_aliases(r.t["url_alias"], strict=True),
+    "d11c_dup_aliases_ci": lambda r: audit.dup_aliases(r.t["url_alias"], collation="ci"),
     "d12_audit_summary": lambda r: audit.audit_summary(r.t),
     "x2_gate": lambda r: audit.gate(audit.audit_summary(r.t)),
     # repair
@@ -301,6 +335,8 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "r3_truncate_terms": lambda r: repair.truncate_terms(r.t["term_data"]),
     "r4_uniquify_aliases": lambda r: r.aliases,
     "r4b_uniquify_aliases_strict": lambda r: repair.uniquify_aliases(r.t["url_alias"], strict=True),
+    "r1c_uniquify_terms_ci": lambda r: repair.uniquify_terms(r.t["term_data"], collation="ci"),
+    "r4c_uniquify_aliases_ci": lambda r: repair.uniquify_aliases(r.t["url_alias"], collation="ci"),
     "r5_run_fix": lambda r: r.fixed["term_data"],
     "r6_residual_collisions": lambda r: repair.residual_collisions(r.fixed["term_data"]),
     # transform (active)
@@ -314,7 +350,7 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "m9_uncategorized_taxonomy": lambda r: r.m9,
     "m10_posts": lambda r: r.m10,
     "m11_post_type_map": lambda r: posts.post_type_map(r.m10),
-    "m12_post_type_rest": lambda r: r.m12,
+    "m12_post_type_rest": _m12,
     "m13_term_relationships": lambda r: r.m13,
     "m14_term_counts": lambda r: r.m14,
     "m15_default_category_option": lambda r: r.m15,
@@ -350,13 +386,17 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "o8_subcategories": lambda r: r.o8,
     "o9_vocab_terms": lambda r: r.o9,
     "o10_vocab_categories": lambda r: r.o10,
-    "o11_remap_parents": lambda r: terms.remap_parents(r.o8, terms.vocab_id_map(r.o9, r.m6)),
+    "o11_remap_parents": lambda r: terms.remap_parents(r.o8, _id_map(r)),
+    "o11b_remap_term_groups": lambda r: terms.remap_term_groups(r.o9, _id_map(r)),
+    "o11c_remap_term_ids": lambda r: terms.remap_term_ids(r.o10, _id_map(r)),
     "o12_custom_type_merge": lambda r: r.o12,
     "o13_update_posts_from": lambda r: posts.update_posts_from(r.m10, r.o12, key="nid"),
-    "o14_fix_taxonomy_ids": lambda r: terms.fix_taxonomy_ids(r.m13, r.o10),
-    "o15_clean_slugs": lambda r: posts.clean_slugs(r.m10),
+    "o14_fix_taxonomy_ids": _o14,
+    "o15_clean_slugs": _o15,
     "o16_redirects": lambda r: posts.redirects(r.t["node"], r.t["node_revisions"], r.aliases),
     "o17_rekey_prefix": lambda r: options.rekey_prefix(r.t["wp_options"], "option_name", OLD_PREFIX, NEW_PREFIX),
+    "o17b_rekey_usermeta": lambda r: options.rekey_prefix(r.m25, "meta_key", OLD_PREFIX, NEW_PREFIX),
+    "o18b_rename_options": lambda r: options.rename_keys(r.t["wp_options"], "option_name", options.OPTION_NAME_RENAMES),
     "o18_rename_keys": lambda r: options.rename_keys(r.m25, "meta_key", options.META_KEY_RENAMES),
     "o19_authors_of_types": lambda r: users.authors_with_posts(r.t["node"], r.t["users"], posts.POST_TYPES),
     # runs

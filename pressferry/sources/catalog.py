@@ -11,7 +11,6 @@ names, so every operator sees one schema.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,10 +46,10 @@ def read_table(source, table: str, *, version: str | float = "6", spark: SparkSe
             df = spark.read.jdbc(jdbc_url, physical, properties=options)
     elif isinstance(source, str):
         assert spark is not None, "a session is needed for a parquet root"
-        path = os.path.join(source, physical)
-        if not os.path.exists(path) and os.path.exists(path + ".parquet"):
-            path = path + ".parquet"
-        df = spark.read.parquet(path)
+        path = f"{source.rstrip('/')}/{physical}"
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        df = spark.read.parquet(path if fs.exists(p) else path + ".parquet")
     elif isinstance(source, SparkSession):
         df = source.table(physical)
     else:

@@ -129,7 +129,10 @@ class Tables(Mapping):
         return current.unionByName(old)
 
     def _v_node_type(self) -> DataFrame:
-        return _lit_df(self.spark, NODE_TYPES, "type string, name string, description string")
+        places = self.raw("nation").select(
+            F.concat(F.lit("place_"), F.lower("n_name")).alias("type"), F.col("n_name").alias("name"),
+            F.concat(F.lit("Region "), F.col("n_regionkey").cast("string")).alias("description"))
+        return _lit_df(self.spark, NODE_TYPES, "type string, name string, description string").unionByName(places)
 
     def _v_url_alias(self) -> DataFrame:
         p = self.raw("pages")

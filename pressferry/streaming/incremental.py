@@ -72,17 +72,14 @@ def upsert_bucketed(warehouse: Warehouse, table: str, transform: Callable[[DataF
         stage = warehouse.path(f"_stage_{table}_{uuid.uuid4().hex}")
         result.write.partitionBy(BUCKET).parquet(stage)
         fs, live_path = warehouse._jvm_fs(warehouse.path(table))
-        jvm = warehouse.spark.sparkContext._jvm
         if not fs.exists(live_path):
             fs.mkdirs(live_path)
         for b in touched:
-            src = jvm.org.apache.hadoop.fs.Path(f"{stage}/{BUCKET}={b}")
-            dst = jvm.org.apache.hadoop.fs.Path(f"{warehouse.path(table)}/{BUCKET}={b}")
-            if fs.exists(dst):
-                fs.delete(dst, True)
-            if fs.exists(src):
-                fs.rename(src, dst)
-        fs.delete(jvm.org.apache.hadoop.fs.Path(stage), True)
+            # A REPLACE never empties a bucket it touches, so each has a stage.
+            folder = f"{BUCKET}={b}"
+            warehouse.swap(f"{stage}/{folder}", f"{warehouse.path(table)}/{folder}",
+                           f"{warehouse.path(table)}/_old_{folder}_{uuid.uuid4().hex}")
+        warehouse.delete(stage)
 
     return handle
 
