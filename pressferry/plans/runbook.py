@@ -10,6 +10,7 @@ one-row result), never on data-sized results.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, MutableMapping
 from dataclasses import dataclass, field
 
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pressferry.operators import audit, comments, options, posts, repair, terms, users
 from pressferry.plans import sinks
 from pressferry.schemas import TARGETS, empty_target
+from pressferry.session import ensure_checkpoint_dir
 
 Tables = MutableMapping[str, DataFrame]
 StepFn = Callable[[Tables], "Tables | bool | None"]
@@ -36,9 +38,15 @@ def sql_step(name: str, target: str, statement: str) -> Step:
 
     def run(tables: Tables) -> Tables:
         spark = next(iter(tables.values())).sparkSession
-        for n, df in tables.items():
-            df.createOrReplaceTempView(n)
-        tables[target] = spark.sql(statement)
+        # Only the tables the statement names, and only while it is analysed.
+        used = [n for n in tables if re.search(rf"\b{re.escape(n)}\b", statement)]
+        for n in used:
+            tables[n].createOrReplaceTempView(n)
+        try:
+            tables[target] = spark.sql(statement)
+        finally:
+            for n in used:
+                spark.catalog.dropTempView(n)
         return tables
 
     return Step(name, run)
@@ -55,10 +63,11 @@ class Outcome:
     ok: bool
     stages: list[tuple[str, bool]] = field(default_factory=list)
     tables: Tables = field(default_factory=dict)
+    error: str | None = None
 
     def report(self, spark: SparkSession) -> DataFrame:
-        rows = [(i, n, ok) for i, (n, ok) in enumerate(self.stages)]
-        return spark.createDataFrame(rows, "seq int, stage string, ok boolean")
+        rows = [(i, n, ok, None if ok else self.error) for i, (n, ok) in enumerate(self.stages)]
+        return spark.createDataFrame(rows, "seq int, stage string, ok boolean, error string")
 
 
 class Runbook:
@@ -73,9 +82,10 @@ class Runbook:
         for step in self.steps:
             try:
                 got = step.fn(state)
-            except Exception:  # noqa: BLE001 - a failed statement fails the run
+            except Exception as error:  # noqa: BLE001 - a failed statement fails the run
                 outcome.stages.append((step.name, False))
                 outcome.ok = False
+                outcome.error = f"{type(error).__name__}: {error}"
                 outcome.tables = state
                 return outcome
             if got is False:
@@ -102,8 +112,6 @@ def _set(name: str, fn: Callable[[Tables], DataFrame], cut: bool = False) -> Ste
     def run(t: Tables) -> Tables:
         df = fn(t)
         if cut:
-            from pressferry.session import ensure_checkpoint_dir
-
             ensure_checkpoint_dir(df.sparkSession)
             df = df.checkpoint(eager=True)
         t[name] = df
@@ -111,14 +119,21 @@ def _set(name: str, fn: Callable[[Tables], DataFrame], cut: bool = False) -> Ste
     return run
 
 
-def prepare_steps() -> list[Step]:
-    """R5 as steps: uniquify and truncate term names, uniquify aliases."""
+def prepare_steps(*, safe_repair: bool = False, null_name_stem: str | None = None,
+                  warehouse: sinks.Warehouse | None = None) -> list[Step]:
+    """R5 as steps: uniquify and truncate term names, uniquify aliases.  The
+    repaired tables are materialised once (working tables of the warehouse, or
+    checkpoints without one): the gate and the transforms read them again."""
 
     def fix(t: Tables) -> Tables:
-        fixed = repair.run_fix(t)
-        t["term_data"] = fixed["term_data"]
+        fixed = repair.run_fix(t, safe=safe_repair, null_name_stem=null_name_stem)
         t["acc_url_alias_with_dups"] = fixed["url_alias_with_dups"]
-        t["url_alias"] = fixed["url_alias"]
+        for name in ("term_data", "url_alias"):
+            if warehouse is not None:
+                t[name] = warehouse.write(f"acc_fixed_{name}", fixed[name])
+            else:
+                ensure_checkpoint_dir(fixed[name].sparkSession)
+                t[name] = fixed[name].checkpoint(eager=True)
         return t
 
     return [Step("prepare.run_fix", fix)]
@@ -135,6 +150,26 @@ def gate_step() -> Step:
     return Step("gate", run)
 
 
+# The tables a pass empties, and the working tables it drops.
+TRUNCATED = ("wp_comments", "wp_links", "wp_postmeta", "wp_posts", "wp_term_relationships", "wp_term_taxonomy", "wp_terms", "wp_users")
+WORKING = ("acc_tags", "acc_categories", "acc_users_post_count", "acc_users_comment_count", "acc_users_with_comments",
+           "acc_users_add_commenters", "acc_wp_users", "acc_redirects", "acc_duplicates", "acc_news")
+
+
+def _reset(t: Tables) -> Tables:
+    """Empty the targets (those a run has beyond the standard ones keep
+    their own schema) and drop the working tables."""
+    spark = t["node"].sparkSession
+    for name in TRUNCATED:
+        if name in TARGETS:
+            t[name] = empty_target(spark, name)
+        elif name in t:
+            t[name] = sinks.create_like(t[name])
+    for name in WORKING:
+        t.pop(name, None)
+    return t
+
+
 def migrate_steps(secret: str, default_category: int = 159) -> list[Step]:
     """M2-M36 in the sample's order, on the canonical tables."""
     s: list[Step] = []
@@ -142,17 +177,13 @@ def migrate_steps(secret: str, default_category: int = 159) -> list[Step]:
     def add(name, target, fn, cut=False):
         s.append(Step(name, _set(target, fn, cut)))
 
-    for name in ("wp_comments", "wp_posts", "wp_term_relationships", "wp_term_taxonomy", "wp_terms", "wp_users"):
-        add(f"truncate.{name}", name, lambda t, n=name: empty_target(t["node"].sparkSession, n))
+    s.append(Step("reset", _reset))
     add("acc_tags", "acc_tags", lambda t: terms.tags_work(t["term_data"]))
-    add("tags.terms", "wp_terms", lambda t: terms.tags_terms(t["term_data"], t["acc_tags"], t["wp_terms"]))
-    add("tags.taxonomy", "wp_term_taxonomy",
-        lambda t: terms.tags_taxonomy(t["term_data"], t["acc_tags"], t["wp_term_taxonomy"]))
     add("acc_categories", "acc_categories", lambda t: terms.categories_work(t["acc_categories_from_client"]))
-    add("categories.terms", "wp_terms",
-        lambda t: terms.category_terms(t["term_data"], t["acc_categories"], t["wp_terms"]))
-    add("categories.taxonomy", "wp_term_taxonomy",
-        lambda t: terms.category_taxonomy(t["term_data"], t["acc_categories"], t["wp_term_taxonomy"]))
+    # M3 + M6 and M4 + M7, each as one pass over the terms.
+    add("terms", "wp_terms", lambda t: terms.terms_pass(t["term_data"], t["acc_categories"], t["wp_terms"]))
+    add("taxonomy", "wp_term_taxonomy",
+        lambda t: terms.taxonomy_pass(t["term_data"], t["acc_categories"], t["wp_term_taxonomy"]), cut=True)
     add("uncategorized.term", "wp_terms", lambda t: terms.uncategorized_term(t["wp_terms"]), cut=True)
     add("uncategorized.taxonomy", "wp_term_taxonomy",
         lambda t: terms.uncategorized_taxonomy(t["wp_terms"], t["wp_term_taxonomy"]), cut=True)
@@ -166,7 +197,7 @@ def migrate_steps(secret: str, default_category: int = 159) -> list[Step]:
     add("purge.users", "wp_users", lambda t: users.purge_users(t["wp_users"]))
     add("purge.usermeta", "wp_usermeta", lambda t: users.purge_usermeta(t["wp_usermeta"]))
     add("reset.secret", "users", lambda t: users.reset_secret(t["users"], secret))
-    add("authors.list", "acc_users_post_count", lambda t: users.authors_with_posts(t["node"], t["users"]))
+    add("authors.list", "acc_users_post_count", lambda t: users.authors_with_posts(t["node"], t["users"]), cut=True)
     add("authors", "wp_users", lambda t: users.authors(t["users"], t["acc_users_post_count"], t["wp_users"]), cut=True)
     add("authors.capabilities", "wp_usermeta",
         lambda t: users.author_capabilities(t["users"], t["acc_users_post_count"], t["wp_usermeta"]))
@@ -176,7 +207,7 @@ def migrate_steps(secret: str, default_category: int = 159) -> list[Step]:
     # wp_posts, so the pass runs once its inputs (comments, users) exist and
     # the post bodies cross one shuffle.
     add("posts", "wp_posts", lambda t: posts.posts_pass(
-        t["node"], t["node_revisions"], t["url_alias"], t["wp_posts"], t["wp_comments"], t["wp_users"]))
+        t["node"], t["node_revisions"], t["url_alias"], t["wp_posts"], t["wp_comments"], t["wp_users"], aliases_unique=True))
     add("site.name", "wp_options", lambda t: options.site_name_option(t["wp_options"], t["variable"]))
     add("site.slogan", "wp_options", lambda t: options.site_slogan_option(t["wp_options"], t["variable"]))
     add("site.mail", "wp_options", lambda t: options.site_mail_option(t["wp_options"], t["variable"]))
@@ -197,17 +228,32 @@ TARGET_OUTPUTS = [n for n in TARGETS if n != "acc_redirects"] + ["acc_wp_users"]
 
 
 def migrate(tables: Mapping[str, DataFrame], *, secret: str,
-            custom_prepare: list[Step] | None = None, custom_deploy: list[Step] | None = None,
+            custom_prepare: list[Step] | None = None, custom_migrate: list[Step] | None = None,
+            custom_deploy: list[Step] | None = None, safe_repair: bool = False, null_name_stem: str | None = None,
             warehouse: sinks.Warehouse | None = None, outputs: list[str] | None = None) -> Outcome:
-    """Prepare -> gate -> migrate -> deploy; stops at the first failure.
-    With a warehouse, the declared outputs are written (staged) at the end."""
-    steps = prepare_steps() + list(custom_prepare or []) + [gate_step()] + migrate_steps(secret)
-    steps += list(custom_deploy or [])
-    if warehouse is not None:
-        def persist(t: Tables) -> Tables:
-            for name in outputs or TARGET_OUTPUTS:
-                if name in t:
+    """Prepare -> gate -> migrate -> deploy; stops at the first failure
+    and keeps its text.
+
+    ``safe_repair`` and ``null_name_stem`` make the repair pass the gate: long
+    or repeated names stay apart within the limit, and terms without a name get
+    stem + '_' + id (no row is dropped).  Every declared output is computed
+    completely, one step each, so a statement that only fails on its data
+    fails the run: with a warehouse it is written (staged), without one it is
+    checkpointed."""
+    steps = prepare_steps(safe_repair=safe_repair, null_name_stem=null_name_stem, warehouse=warehouse)
+    steps += list(custom_prepare or []) + [gate_step()] + migrate_steps(secret)
+    steps += list(custom_migrate or []) + list(custom_deploy or [])
+
+    def compute(name: str) -> StepFn:
+        def run(t: Tables) -> Tables:
+            if name in t:
+                if warehouse is not None:
                     t[name] = warehouse.write(name, t[name])
+                else:
+                    ensure_checkpoint_dir(t[name].sparkSession)
+                    t[name] = t[name].checkpoint(eager=True)
             return t
-        steps.append(Step("persist", persist))
+        return run
+
+    steps += [Step(f"output.{name}", compute(name)) for name in outputs or TARGET_OUTPUTS]
     return Runbook(steps).run(tables)

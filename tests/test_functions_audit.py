@@ -110,3 +110,73 @@ def test_fused_term_fix_equals_r1_r2_r3(spark):
         fused = repair.fix_term_names(terms, safe=safe)
         assert fused.columns == staged.columns
         assert fused.exceptAll(staged).count() == 0 and staged.exceptAll(fused).count() == 0
+
+
+def test_an_existing_empty_table_is_present(spark):
+    from pressferry.operators import audit
+
+    tables = {"url_alias": spark.createDataFrame([], "pid bigint"), "node": spark.range(3)}
+    got = {r["table_name"]: (r["table_count"], r["row_count"]) for r in audit.table_exists(spark, tables, ["url_alias", "node", "users"]).collect()}
+    assert got == {"url_alias": (1, 0), "node": (1, 3), "users": (0, None)}
+
+
+def test_scalars_with_line_breaks_and_malformed_values(spark):
+    from pressferry.operators import audit
+
+    rows = [("lines", 's:5:"ab\ncd";'), ("short", 's:99:"ab";'), ("ok", 's:2:"ab";'), ("tail", 's:2:"ab";x'), ("newline", 'i:5;\n'),
+            ("int", "i:-5;"), ("huge", 's:99999999999999999999:"ab";'), ("bool", "b:2;"), ("null", "N;"), ("none", None)]
+    got = {r["name"]: (r["decoded"], r["valid"]) for r in audit.decode_variable(spark.createDataFrame(rows, "name string, value string")).collect()}
+    assert got["lines"] == ("ab\ncd", True) and got["ok"] == ("ab", True) and got["int"] == ("-5", True) and got["null"] == (None, True)
+    assert all(got[k][0] is None and not got[k][1] for k in ("short", "tail", "newline", "huge", "bool", "none"))
+
+
+def test_term_without_vocabulary_has_no_role(spark):
+    from pressferry.operators import terms
+
+    data = spark.createDataFrame([(1, 4, "a"), (2, 2, "b"), (3, None, "c")], "tid bigint, vid bigint, name string")
+    assert sorted((r["tid"], r["role"]) for r in terms.vocab_roles(data, [4]).collect()) == [(1, "category"), (2, "tag")]
+    assert sorted(r["tid"] for r in terms.tags_work(data, [4]).collect()) == [2]
+
+
+def test_update_ignore_never_leaves_a_pair_twice(spark):
+    import random
+
+    from pressferry.operators import terms
+
+    rng = random.Random(3)
+    cases = [([(1, 5), (1, 7), (1, 3)], {5: 7, 3: 5})]
+    for _ in range(6):
+        cases.append(([(o, t) for o in range(4) for t in rng.sample(range(8), 5)], {k: rng.randrange(8) for k in rng.sample(range(8), 5)}))
+    for rows, mapping in cases:
+        held = set(rows)
+        done = set()
+        for o, t in sorted(rows, key=lambda r: r[1]):
+            new = (o, mapping.get(t, t))
+            done.add(new if new == (o, t) or (new not in held and new not in done) else (o, t))
+        rel = spark.createDataFrame(rows, "object_id bigint, term_taxonomy_id bigint")
+        tax = spark.createDataFrame(list(mapping.items()), "term_id bigint, term_taxonomy_id bigint")
+        got = [tuple(r) for r in terms.fix_taxonomy_ids(rel, tax).collect()]
+        assert len(got) == len(rows) == len(set(got)) and set(got) == done
+
+
+def test_summary_lists(spark):
+    from conftest import SF_SMALL
+    from pressferry.operators import audit
+    from pressferry.sources.fixtures import load_tables
+
+    t = load_tables(spark, SF_SMALL)
+    row = audit.audit_summary(t, lists=True).first()
+    assert len(row["node_types"]) == row["node_types_count"]
+    assert [tuple(x) for x in row["node_count_by_type"]] == sorted(tuple(r) for r in audit.count_by_type(t["node"], t["node_type"]).collect())
+
+
+def test_ci_repair_fixes_what_the_ci_audit_reports(spark):
+    from pressferry.operators import audit, repair
+
+    data = spark.createDataFrame([(1, 1, "Foo"), (2, 1, "foo "), (3, 1, "bar"), (4, 1, None)], "tid bigint, vid bigint, name string")
+    assert sorted(r["tid"] for r in repair.uniquify_terms(data, collation="ci").collect()) == [1, 2]
+    fixed = repair.apply_keyed_update(data, repair.uniquify_terms(data, collation="ci"))
+    assert audit.dup_term_members(fixed, collation="ci").count() == 0
+    aliases = spark.createDataFrame([(1, "node/1", "a"), (2, "NODE/1 ", "b"), (3, "node/2", "c")], "pid bigint, src string, dst string")
+    assert audit.dup_aliases(aliases, collation="ci").count() == 1
+    assert sorted(r["pid"] for r in repair.uniquify_aliases(aliases, collation="ci").collect()) == [1, 3]

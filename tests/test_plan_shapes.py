@@ -49,3 +49,19 @@ def test_flagship_does_not_deduplicate_bodies(spark):
     assert aggregates
     for keys in aggregates:
         assert "post_content" not in keys and "body" not in keys, keys
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - SKIP))
+def test_bodies_are_never_keys(spark, name):
+    """No aggregate, sort or join of any query is keyed by a post body."""
+    text = plan_text(QUERIES[name](spark, SF_SMALL))
+    keyed = re.findall(r"Aggregate\(keys=\[[^\]]*\]|hashpartitioning\([^)]*\)|SortMergeJoin \[[^\]]*\], \[[^\]]*\]|Sort \[[^\]]*\]", text)
+    for keys in keyed:
+        assert "post_content" not in keys and "body" not in keys, keys
+
+
+@pytest.mark.parametrize("name", ["m6_category_terms", "m7_category_taxonomy", "m8_uncategorized_term", "o8_subcategories"])
+def test_taxonomy_reads_terms_a_few_times(spark, name):
+    """The single passes keep the scans of the term source few."""
+    text = plan_text(QUERIES[name](spark, SF_SMALL))
+    assert len(re.findall(r"part\.parquet", text)) <= 9, name

@@ -1,5 +1,6 @@
 """Sinks (staged writes, archive swap) and the fail-fast runbook."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -32,8 +33,10 @@ def test_archive_swap_keeps_original(spark, tmpdir_path):
     wh.archive_swap("url_alias", uniquify_aliases(wh.read("url_alias")))
     assert wh.read("url_alias").count() == 40
     assert wh.read("url_alias_with_dups").count() == 50
-    wh.log_fixed_terms(spark.createDataFrame([(1, "a_1"), (1, "a_1")], "tid bigint, name string"))
-    assert wh.read("acc_fixed_term_names").count() == 1
+    wh.log_fixed_terms(spark.createDataFrame([(1, "a_1"), (2, "a_1")], "tid bigint, name string"))
+    assert wh.read("acc_fixed_term_names").count() == 2
+    with pytest.raises(Exception, match="duplicate key"):
+        wh.log_fixed_terms(spark.createDataFrame([(1, "a_1"), (1, "b_1")], "tid bigint, name string"))
     wh.reset_targets(truncate=["url_alias"], drop=["url_alias_with_dups", "url_alias_with_dups"])
     assert wh.read("url_alias").count() == 0 and not wh.exists("url_alias_with_dups")
 
@@ -139,3 +142,84 @@ def test_sql_script_runs_in_order_and_fails_fast(spark):
     bad = runbook.sql_script([("x", "SELECT * FROM missing_table"), ("y", "SELECT 1 AS one")])
     out = runbook.Runbook(bad).run({"term_data": t["term_data"]})
     assert not out.ok and [s for s, _ in out.stages] == ["script.0.x"]
+
+
+def test_migrate_reports_a_statement_that_fails_on_its_data(spark):
+    t = dict(load_tables(spark, SF_SMALL))
+    again = spark.createDataFrame([("site_name", 's:3:"two";')], "name string, value string")
+    t["variable"] = t["variable"].unionByName(again)  # a scalar look-up with two rows
+    out = runbook.migrate(t, secret="s3cret", safe_repair=True, null_name_stem="term")
+    assert not out.ok and out.stages[-1] == ("output.wp_options", False)
+    assert "SCALAR_SUBQUERY_TOO_MANY_ROWS" in out.error
+    report = out.report(spark).where("NOT ok").collect()
+    assert len(report) == 1 and "SCALAR_SUBQUERY" in report[0]["error"]
+
+
+def test_migrate_runs_custom_steps_and_resets_all_targets(spark):
+    t = dict(load_tables(spark, SF_SMALL))
+    t["wp_links"] = spark.createDataFrame([(1,)], "link_id bigint")
+    t["acc_news"] = spark.range(3)
+    seen = []
+
+    def custom(name):
+        def run(tables):
+            seen.append((name, "wp_posts" in tables and "acc_tags" in tables, "acc_news" in tables))
+            return tables
+        return [runbook.Step(name, run)]
+
+    out = runbook.migrate(t, secret="s3cret", safe_repair=True, null_name_stem="term", custom_prepare=custom("p"),
+                          custom_migrate=custom("m"), custom_deploy=custom("d"), outputs=["wp_terms"])
+    assert out.ok, out.error
+    assert seen == [("p", False, True), ("m", True, False), ("d", True, False)]
+    assert out.tables["wp_links"].count() == 0
+
+
+def test_safe_repair_passes_the_gate_and_keeps_every_term(spark):
+    from pressferry.operators import audit, repair
+
+    t = load_tables(spark, SF_SMALL)
+    fixed = repair.run_fix(t, safe=True, null_name_stem="term")["term_data"]
+    assert fixed.count() == t["term_data"].count() and fixed.where("name IS NULL").count() == 0
+    assert audit.dup_term_names(fixed).count() == 0 and audit.terms_too_long(fixed).count() == 0
+
+
+def test_swap_survives_a_rename_that_fails(spark, tmpdir_path, monkeypatch):
+    wh = sinks.Warehouse(spark, tmpdir_path)
+    wh.write("t", spark.range(4))
+    real = sinks.Warehouse.rename
+    for failing in (1, 2):
+        calls = []
+
+        def rename(self, source, target, failing=failing, calls=calls):
+            calls.append(source)
+            return False if len(calls) == failing else real(self, source, target)
+
+        monkeypatch.setattr(sinks.Warehouse, "rename", rename)
+        with pytest.raises(OSError):
+            wh.write("t", spark.range(9))
+        monkeypatch.setattr(sinks.Warehouse, "rename", real)
+        assert wh.read("t").count() == 4
+    monkeypatch.setattr(sinks.Warehouse, "rename", lambda self, a, b: False)
+    assert wh.append("t", spark.range(2)) is False and "could not move" in wh.last_error
+    monkeypatch.setattr(sinks.Warehouse, "rename", real)
+    assert wh.read("t").count() == 4 and wh.append("t", spark.range(2)) and wh.read("t").count() == 6
+
+
+def test_single_passes_equal_the_statement_chain(spark):
+    from pressferry.operators import terms
+    from pressferry.queries import Run
+
+    r = Run(spark, SF_SMALL)
+    data, cats = r.t["term_data"], r.acc_categories
+    taken = spark.createDataFrame([(1, 1, "post_tag", "old", 0, 0), (9, 9, "post_tag", "old", 0, 0), (5000, 9, "post_tag", "old", 0, 0),
+                                   (5001, 18, "category", "old", 0, 0), (5002, 2, "category", "kept", 0, 0), (5003, 7000, "post_tag", "kept", 0, 0)],
+                                  r.empty("wp_term_taxonomy").schema)
+    for exclude in (None, [2, 4]):
+        tags = terms.tags_work(data, exclude)
+        chain = terms.category_terms(data, cats, terms.tags_terms(data, tags, r.t["wp_terms"]))
+        assert terms.terms_pass(data, cats, r.t["wp_terms"], exclude).exceptAll(chain).count() == 0
+        assert chain.exceptAll(terms.terms_pass(data, cats, r.t["wp_terms"], exclude)).count() == 0
+        chain = terms.category_taxonomy(data, cats, terms.tags_taxonomy(data, tags, taken))
+        fused = terms.taxonomy_pass(data, cats, taken, exclude)
+        assert fused.exceptAll(chain).count() == 0 and chain.exceptAll(fused).count() == 0
+        assert chain.where("description = 'kept'").count() == 2
