@@ -65,8 +65,10 @@ def signs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     of_doc, code = pairs // kinds, pairs % kinds
     place = (word_hashes(words) >> np.uint64(64 - 18)).astype(np.int64) if len(words) else np.zeros(0, dtype=np.int64)
 
-    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)
-    cuts = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + n_docs + 1]
+    cuts = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset:texts.offset + n_docs + 1] if n_docs else np.zeros(1, dtype=np.int64)
+    # Only these texts: the buffer is that of the whole batch.
+    raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[cuts[0]:cuts[-1]]
+    cuts = cuts - cuts[0]
     counted = lambda kind: np.diff(np.concatenate(([0], np.cumsum(kind[raw], dtype=np.int64)))[cuts])
     ink = np.maximum(counted(_INK), 1)
     distinct = np.bincount(of_doc, minlength=n_docs)
