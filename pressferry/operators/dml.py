@@ -192,39 +192,31 @@ def insert(existing: DataFrame, incoming: DataFrame, key: Key | Sequence[Key] |
     computed).  ``key``: one unique key (a column or a tuple of columns), or a
     list of them.
 
-    The existing table already satisfies its keys, so only incoming rows are
-    checked: is a key already present (a semi join against the narrow
-    existing keys) or repeated within the batch (a partial aggregate)?  The
-    existing rows pass through untouched.  ``incoming_unique`` (e.g. a
-    DISTINCT on exactly the key) leaves only the check against existing keys.
+    For each key one aggregate over the narrow keys of both tables (combined
+    map-side) finds the values that an incoming row shares with any other row;
+    one join brings the finding back to the incoming rows.  The existing rows
+    pass through untouched.  ``incoming_unique`` (e.g. a DISTINCT on exactly the
+    key) says that the batch doesn't repeat its key.
     """
     incoming = with_defaults(incoming, existing, defaults)
     if key is None or not check:
         return existing.unionByName(incoming)
     checked = incoming
-    for one in key if isinstance(key, list) else [key]:
-        checked = _guarded(existing, checked, _key_cols(one), incoming_unique)
+    for i, one in enumerate(key if isinstance(key, list) else [key]):
+        kc = _key_cols(one)
+        names = [f"_dk{i}_{j}" for j in range(len(kc))]
+        keys = lambda df, new: df.where(_not_null(kc)).select(
+            *[F.col(c).alias(n) for c, n in zip(kc, names, strict=True)], F.lit(new).alias("_new"))  # noqa: B023
+        taken = (keys(existing, 0).unionByName(keys(incoming, 1)).groupBy(*names)
+                 .agg(F.sum("_new").alias("_in"), F.count(F.lit(1)).alias("_all"))
+                 .where((F.col("_in") > 0) & (F.col("_all") > (F.col("_in") if incoming_unique else F.lit(1))))
+                 .select(*names, F.lit(True).alias(f"_dup{i}")))
+        on = reduce(lambda a, b: a & b, [F.col(c) == F.col(n) for c, n in zip(kc, names, strict=True)])
+        guard = F.when(F.col(f"_dup{i}"), F.raise_error(F.lit(f"duplicate key {list(kc)} on INSERT"))).otherwise(F.lit(True))
+        checked = checked.join(taken, on, "left").where(guard.cast("boolean")).select(*incoming.columns)
     return existing.unionByName(checked)
 
 
-def _guarded(existing: DataFrame, incoming: DataFrame, kc: Sequence[str], incoming_unique: bool) -> DataFrame:
-    """``incoming``, raising an error at a row whose key is taken."""
-    inc_keys = incoming.where(_not_null(kc)).select(*[F.col(c).alias(f"_dk{i}") for i, c in enumerate(kc)])
-    dk = [f"_dk{i}" for i in range(len(kc))]
-    present = inc_keys.join(_renamed(existing.where(_not_null(kc)), kc, "_ok"),
-                            reduce(lambda a, b: a & b, [F.col(d) == F.col(f"_ok{i}") for i, d in enumerate(dk)]),
-                            "left_semi")
-    if incoming_unique:
-        bad = present.distinct().withColumn("_dup", F.lit(True))
-    else:
-        repeated = inc_keys.groupBy(*dk).count().where(F.col("count") > 1).select(*dk)
-        bad = present.unionByName(repeated).distinct().withColumn("_dup", F.lit(True))
-    on = reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_dk{i}") for i, c in enumerate(kc)])
-    guard = F.when(F.col("_dup"), F.raise_error(F.lit(f"duplicate key {list(kc)} on INSERT"))
-                   ).otherwise(F.lit(True))
-    return incoming.join(bad, on, "left").where(guard.cast("boolean")).select(*incoming.columns)
-
-
 # K4 ------------------------------------------------------------------------
 
 def insert_auto_id(existing: DataFrame, incoming: DataFrame, id_col: str,

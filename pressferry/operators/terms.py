@@ -290,19 +290,20 @@ def vocab_id_map(wp_terms_after_o9: DataFrame, wp_terms_before: DataFrame) -> Da
 
 
 def remap_parents(taxonomy: DataFrame, id_map: DataFrame) -> DataFrame:
-    """Parent vid -> the vocabulary's new term id."""
+    """Parent vid -> the vocabulary's new term id (``id_map`` has one row
+    for each vid, the vocabulary's primary key)."""
     return update_from_join(taxonomy, id_map, {"parent": "vid"}, {"parent": "new_id"},
-                            source_order=["new_id"])
+                            source_unique=True)
 
 
 def remap_term_ids(taxonomy: DataFrame, new_ids: DataFrame) -> DataFrame:
     """O11 (ids): term_id <- the vocabulary's new term id where
     term_taxonomy_id is that id."""
     chosen = new_ids.select("new_id").distinct()
-    return update_from_join(taxonomy, chosen, {"term_taxonomy_id": "new_id"}, {"term_id": "new_id"}, source_order=["new_id"])
+    return update_from_join(taxonomy, chosen, {"term_taxonomy_id": "new_id"}, {"term_id": "new_id"}, source_unique=True)
 
 
 def remap_term_groups(wp_terms: DataFrame, id_map: DataFrame) -> DataFrame:
     """O11 (terms side): term_group vid -> the vocabulary's new term id."""
     return update_from_join(wp_terms, id_map, {"term_group": "vid"}, {"term_group": "new_id"},
-                            source_order=["new_id"])
+                            source_unique=True)

@@ -8,6 +8,7 @@ Target schemas are needed for empty targets and for column defaults.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Required source tables per CMS major version.
 REQUIRED_TABLES_V6 = [
@@ -82,4 +83,5 @@ TARGET_DEFAULTS = {
 
 
 def empty_target(spark: SparkSession, name: str) -> DataFrame:
-    return spark.createDataFrame([], TARGETS[name])
+    """An empty target table; the false filter tells the optimizer that it is."""
+    return spark.createDataFrame([], TARGETS[name]).where(F.lit(False))
