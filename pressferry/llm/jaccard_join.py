@@ -8,11 +8,16 @@ order here puts shingles of frequent sketch cells last (one fixed-size count
 sketch over the whole corpus) and shuffles equals by a hash of its own.
 Candidates come from the shared prefix shingles of the first order, must share
 prefix shingles under every other order too, and are then verified exactly.
+What stands before the first shared shingle isn't shared, so its places in both
+prefixes bound the intersection; a posting pair beyond that bound is no
+candidate.
 
 Links are needed up to connection, not pair by pair.  A first round compares
-every class of a posting list with one centre; a second compares the members
-that are still in different components, so lists of near copies cost their
-length and not its square, and no link between components is lost.
+every class of a posting list with one centre, the class in which the shingle
+comes first (near copies have shingles of their own before it, their original
+has not); a second compares the members that are still in different
+components, so lists of near copies cost their length and not its square, and
+no link between components is lost.
 
 Defined results: null or empty text has the empty set and is linked with
 nothing; a text of fewer words than a shingle is one shingle; repeated rows are
@@ -79,12 +84,12 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def prefix(tokens: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The first tokens of a set under one of the orders (as their order keys,
-    which stand for them)."""
+    """The first tokens of a set under one of the orders, in that order (as
+    their order keys, which stand for them)."""
     key = mix(tokens + np.uint64((order + 1) * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF)) >> np.uint64(8)
     key |= levels[_cell(tokens)].astype(np.uint64) << np.uint64(56)
     p = prefix_length(len(tokens), percent)
-    return np.partition(key, p - 1)[:p] if p < len(key) else key
+    return np.sort(np.partition(key, p - 1)[:p] if p < len(key) else key)
 
 
 def document_sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, bytes]]:
@@ -126,9 +131,15 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, orders:
 
     marks = written(texts.mapInArrow(mark, f"id {id_type}, n bigint, signature binary, h bigint, tokens array<bigint>"), "marks")
     filled = marks.filter("n > 0")
-    postings = filled.select("h", "n", F.explode("tokens").alias("token"))
-    shared = postings.groupBy("token").agg(F.min("h").alias("centre"), F.max("h").alias("_last")).filter("centre < _last").drop("_last")
-    members = written(postings.join(shared, "token").groupBy("token", "h").agg(F.first("n").alias("n"), F.first("centre").alias("centre")), "members")
+    postings = filled.select("h", "n", F.posexplode("tokens").alias("place", "token"))
+    shared = postings.groupBy("token").agg(F.min("h").alias("_low"), F.max("h").alias("_high"), F.min("place").alias("least")).filter("_low < _high").drop("_low", "_high")
+    members = written(postings.join(shared, "token").groupBy("token", "h").agg(*[F.first(c).alias(c) for c in ("n", "place", "least")]), "members")
+    centres = members.filter("place = least").groupBy("token").agg(F.min("h").alias("centre"), F.min_by("n", "h").alias("cn"), F.first("least").alias("cplace"))
+
+    def within(na: str, pa_: str, nb: str, pb: str):
+        """Whether the places of a shared shingle allow the threshold."""
+        room = F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb))
+        return (100 + percent) * room >= percent * (F.col(na) + F.col(nb))
 
     # One row of each class that shares a prefix shingle: its set and prefixes.
     owners = filled.join(members.select("h").distinct(), "h").groupBy("h").agg(F.min("id").alias("owner"))
@@ -163,16 +174,18 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, orders:
         linked = both.withColumn("c", common).filter(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c")))
         return linked.select(F.col("signaturea").alias("a"), F.col("signatureb").alias("b"))
 
-    first = written(verified(members.filter("h <> centre").select(F.col("centre").alias("ha"), F.col("h").alias("hb")).distinct()), "links")
+    centred = members.join(centres, "token")
+    starred = centred.filter((F.col("h") != F.col("centre")) & within("n", "place", "cn", "cplace"))
+    first = written(verified(starred.select(F.col("centre").alias("ha"), F.col("h").alias("hb")).distinct()), "links")
     names = sets.select("h", "signature")
     roots = connected_components(first)
     root_of = names.join(roots, names["signature"] == roots["node"], "left").groupBy("h").agg(F.min(F.coalesce("root", "signature")).alias("root"))
-    rooted = members.join(root_of, "h")
+    rooted = centred.filter("h <> centre").join(root_of, "h")  # pairs with the centre are done
     open_lists = rooted.groupBy("token").agg(F.min("root").alias("_a"), F.max("root").alias("_b")).filter("_a <> _b").select("token")
-    left = written(rooted.join(open_lists, "token").select("token", "h", "n", "centre", "root"), "open")
+    left = written(rooted.join(open_lists, "token").select("token", "h", "n", "place", "root"), "open")
     x, y = left.alias("x"), left.alias("y")
     across = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.h") < F.col("y.h")) & (F.col("x.root") != F.col("y.root"))
-                     & (F.col("x.h") != F.col("x.centre")) & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
+                     & within("x.n", "x.place", "y.n", "y.place"))
               .select(F.col("x.h").alias("ha"), F.col("y.h").alias("hb")).distinct())
     second = written(verified(across), "links")
     roots = connected_components(first.unionByName(second))
