@@ -45,12 +45,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a table in the shared folder, read back: cuts the lineage and
     survives lost executors."""
     spark = df.sparkSession
     path = new_folder(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -95,12 +95,19 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int) ->
             start = end
 
 
+def whole_texts(texts: pa.Array) -> pa.Array:
+    """The texts (null: empty) in buffers of their own.  Lower-casing the cast
+    of a slice reads the wrong bytes, so slices are copied first."""
+    texts = pc.fill_null(texts, "")
+    if texts.offset:
+        texts = texts.take(pa.array(np.arange(len(texts))))
+    return texts.cast(pa.large_string())
+
+
 def word_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Lower-cased (A-Z) words of each text: (first word of each text and the
     end, code of each word, the distinct words).  Null texts have no words."""
-    texts = pc.fill_null(texts, "")
-    if pa.types.is_string(texts.type):
-        texts = texts.cast(pa.large_string())
+    texts = whole_texts(texts)
     split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
     flat = split.flatten()
     offsets = split.offsets.to_numpy().astype(np.int64)
@@ -191,3 +198,32 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = state
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> tuple[float, float]:
+    """(intercept, slope) of a logistic curve through (x, y in 0 to 1).  Newton
+    steps on the scaled measure, halved until the penalised loss falls: on
+    separable data plain steps would run off."""
+    scale = float(np.std(x)) or 1.0
+    z = np.stack((np.ones(len(x)), x / scale), axis=1)
+    mean = float(np.clip(np.mean(y), 1e-4, 1 - 1e-4))
+    w = np.array([np.log(mean / (1 - mean)), 0.0])
+
+    def loss(v: np.ndarray) -> float:
+        m = z @ v
+        return float((np.logaddexp(0, m) - y * m).sum() + ridge / 2 * (v @ v))
+
+    now = loss(w)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge * np.eye(2), z.T @ (y - p) - ridge * w)
+        size = 1.0
+        while size > 1e-6 and loss(w + size * step) >= now:
+            size /= 2
+        if size <= 1e-6:
+            break
+        w = w + size * step
+        before, now = now, loss(w)
+        if before - now < 1e-9 * max(1.0, before):
+            break
+    return float(w[0]), float(w[1]) / scale

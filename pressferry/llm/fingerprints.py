@@ -88,7 +88,8 @@ def edit(text: str, following: str) -> tuple[str, list[str], list[str]]:
     return text[:keep] + following[:n // 4], parts[k:], pieces(tail)
 
 
-_RESULT = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: The vectors stay bytes until the end: they compress, their text form doesn't.
+_RESULT = "n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def _finish(texts: list[str], following: list[str], own: np.ndarray, after: np.ndarray) -> list[pa.Array]:
@@ -98,8 +99,8 @@ def _finish(texts: list[str], following: list[str], own: np.ndarray, after: np.n
     return [
         pa.array([len(t) for t in texts], pa.int64()),
         pa.array([hashlib.sha256(e[0].encode()).hexdigest() for e in edits], pa.string()),
-        pa.array([as_string(v) for v in own], pa.string()),
-        pa.array([as_string(v) for v in edited], pa.string()),
+        pa.array([v.astype("<i2").tobytes() for v in own], pa.binary()),
+        pa.array([v.astype("<i2").tobytes() for v in edited], pa.binary()),
         pa.array(likeness(own, edited), pa.float64()),
         pa.array(likeness(own, after), pa.float64()),
     ]
@@ -126,7 +127,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         part, id_arrow = 0, None
 
         def edge(kind: str, row: tuple) -> pa.RecordBatch:
-            empty = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+            empty = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
             return pa.RecordBatch.from_arrays([pa.array([kind]), pa.array([part], pa.int32()), pa.array([row[0]], id_arrow), pa.array([row[1]]), *empty], names)
 
         for batch in slices(batches, "text", block_bytes):
@@ -146,7 +147,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if held is not None:
             yield edge("last", held)
 
-    walked = written(ranged.mapInArrow(run, f"kind string, part int, id {id_type}, text string, {_RESULT}"), "fingerprints")
+    walked = written(ranged.mapInArrow(run, f"kind string, part int, id {id_type}, text string, {_RESULT}"), "fingerprints", "zstd")
     result = [f.split()[0] for f in _RESULT.split(", ")]
     # One "first" row for each part: as few as there are parts, never as many as documents.
     firsts = walked.filter("kind = 'first'").select("part", F.col("text").alias("first_text"))
@@ -162,4 +163,5 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column("id"), *_finish(texts, after, sums([pieces(t) for t in texts]), sums([pieces(t) for t in after]))], ["id", *result])
 
     closed = lasts.mapInArrow(close, f"id {id_type}, {_RESULT}")
-    return walked.filter("kind = 'row'").select("id", *result).unionByName(closed).withColumnRenamed("id", id_col)
+    every = walked.filter("kind = 'row'").select("id", *result).unionByName(closed)
+    return every.select(F.col("id").alias(id_col), *[F.translate(F.base64(c), "\r\n", "").alias(c) if c.endswith("fingerprint") else c for c in result])

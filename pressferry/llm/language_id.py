@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pressferry.llm.common import slices, written
+from pressferry.llm.common import fit_logistic, slices, written
 
 ORDER = 4
 UNKNOWN = "und"
@@ -230,7 +230,7 @@ class Identifier:
         return best, ordered[:, 0], np.log1p(lead)
 
     def calibrate(self, best: np.ndarray, entropy: np.ndarray, lead: np.ndarray, langs: list[str]) -> None:
-        """Fit the score curve (logistic, by Newton's method) and each
+        """Fit the score curve (logistic) and each
         language's highest usual cross entropy to the evidence of texts whose
         languages are known."""
         if not len(best):
@@ -239,13 +239,8 @@ class Identifier:
         right = (best == truth).astype(float)
         x = np.concatenate((lead, [0.0, 0.0]))  # without a lead it is a coin toss
         y = np.concatenate((right, [0.0, 1.0]))
-        x = np.stack((np.ones(len(x)), x), axis=1)
-        w = np.zeros(2)
-        for _ in range(30):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2), x.T @ (y - p) - 0.01 * w)
-            w += step
-        self.curve = (float(w[0]), max(1e-3, float(w[1])))
+        start, slope = fit_logistic(x, y, 0.01)
+        self.curve = (start, max(1e-3, slope))
         for i in range(len(self.model.languages)):
             own = entropy[(best == i) & (truth == i)]
             if len(own) >= 20:

@@ -6,10 +6,9 @@ Two verdicts, quality (good or bad) and toxicity, go through the same steps.
    to 2 ** 18 places, and the levels of a few shape measures (capitals, marks,
    repeated words, word length).  One grouped aggregate over all labelled
    documents counts each sign by label.  A sign counts as evidence where its
-   frequencies differ by more than chance (``min_z``); its log ratio is shrunk
-   by a prior count.  A text's evidence is the sum over its signs, squeezed by
-   a logistic curve fitted to a bounded sample of labelled documents
-   (``max_fit``).
+   frequencies differ by more than chance (``min_z``).  The weights of these
+   signs are fitted by a ridge logistic regression on a bounded sample of
+   labelled documents (``max_fit``); a text's evidence is their sum.
 2. Sites.  Hosts and paths below them collect the labels of their documents,
    and the document probability where a label is missing, in grouped
    aggregates.  A host's rate shrinks to the global one and a path's to its
@@ -36,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from pressferry.llm.common import slices, word_codes, word_hashes, written
+from pressferry.llm.common import slices, whole_texts, word_codes, word_hashes, written
 
 PLACES = 1 << 18
 LEVELS = 12
@@ -55,7 +54,7 @@ for _span in ((48, 58), (65, 91), (97, 123)):
 
 def signs(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(document, place) of every sign: words below PLACES, measures above."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    texts = whole_texts(texts)
     offsets, codes, words = word_codes(texts)
     n_docs = len(texts)
     size = np.diff(offsets)
@@ -144,6 +143,27 @@ def weights(counts: np.ndarray, places: np.ndarray, min_z: float = 4.0, prior: f
     return out, rates
 
 
+def fit_weights(doc: np.ndarray, place: np.ndarray, y: np.ndarray, start: float, ridge: float = 0.02,
+                rounds: int = 150) -> tuple[np.ndarray, float]:
+    """Weights of the places and intercept of a ridge logistic regression on
+    documents given by their signs (doc, place), by Adam steps.  Documents that
+    are copies of each other share their signs, so the signs they have by
+    chance compete for the same few residuals instead of adding up."""
+    shown, column = np.unique(place, return_inverse=True)
+    w = np.zeros(len(shown) + 1)
+    w[-1] = start
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for i in range(1, rounds + 1):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, w[column], len(y)) + w[-1], -30, 30)))
+        g = np.append(np.bincount(column, (p - y)[doc], len(shown)) + ridge * w[:-1], (p - y).sum())
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        rate = 0.1 * min(1.0, 2 * (rounds - i + 1) / rounds)
+        w -= rate * (m / (1 - 0.9 ** i)) / (np.sqrt(v / (1 - 0.99 ** i)) + 1e-8)
+    out = np.zeros(WIDTH, dtype=np.float32)
+    out[shown] = w[:-1]
+    return out, float(w[-1])
+
+
 class Classifier:
     """Sign weights, global rates and the curve of each head."""
 
@@ -155,18 +175,20 @@ class Classifier:
         doc, place = signs(texts)
         return np.stack([np.bincount(doc, self.weights[place, i], len(texts)) for i in range(len(HEADS))], axis=1)
 
-    def fit(self, evidence: np.ndarray, labels: np.ndarray) -> None:
+    def fit(self, places: list[np.ndarray], labels: np.ndarray) -> None:
+        """Fit the weights of the significant signs to labelled documents."""
+        doc = np.repeat(np.arange(len(places)), [len(p) for p in places])
+        place = np.concatenate(places) if places else np.zeros(0, dtype=np.int64)
+        fitted = np.zeros_like(self.weights)
         for i in range(len(HEADS)):
-            use = labels[:, i] >= 0
-            y = labels[use, i]
-            if not len(y) or not self.weights[:, i].any():
+            use = labels[:, i] >= 0 if len(labels) else np.zeros(0, dtype=bool)
+            entry = use[doc] & (self.weights[place, i] != 0)
+            if not use.any() or not entry.any():
                 continue
-            x = np.stack((np.ones(len(y)), evidence[use, i]), axis=1)
-            w = np.array([_logit(self.rates[i]), 0.5])
-            for _ in range(40):
-                p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-                w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2), x.T @ (y - p) - 0.05 * w)
-            self.curves[i] = w
+            rank = np.cumsum(use) - 1
+            fitted[:, i], start = fit_weights(rank[doc[entry]], place[entry], labels[use, i], float(_logit(self.rates[i])))
+            self.curves[i] = start, 1.0
+        self.weights = fitted
 
     def log_odds(self, evidence: np.ndarray) -> np.ndarray:
         """Log odds of each head from the text alone."""
@@ -188,17 +210,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     places = rows.column("place").to_numpy()
     counts = np.stack([rows.column(i).to_numpy() for i in range(1, rows.num_columns)], axis=1) if rows.num_rows else np.zeros((0, 4))
     classifier = Classifier(*weights(counts, places.astype(np.int64)))
-    shared = spark.sparkContext.broadcast(classifier)  # WIDTH weights for each head
+    wanted = spark.sparkContext.broadcast(classifier.weights.any(axis=1))  # WIDTH flags
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
-            found = shared.value.evidence(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([*(pa.array(found[:, i]) for i in range(len(HEADS))), *(pc.fill_null(batch.column(h), -1.0) for h in HEADS)], ["e0", "e1", *HEADS])
+            doc, place = signs(batch.column("text"))
+            kept = wanted.value[place]
+            cuts = np.searchsorted(doc[kept], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts), pa.array(place[kept].astype(np.int32))),
+                                              *(pc.fill_null(batch.column(h), -1.0) for h in HEADS)], ["places", *HEADS])
 
     rate = min(1.0, max_fit / max(n, 1))
     drawn = labelled.filter(F.pmod(F.xxhash64(F.col("label_id").cast("string"), F.lit("fit")), F.lit(1 << 20)) < int(rate * (1 << 20)))
-    seen = drawn.mapInArrow(run, "e0 double, e1 double, quality double, toxic double").toPandas()
-    classifier.fit(seen[["e0", "e1"]].to_numpy(), seen[list(HEADS)].to_numpy())
+    seen = drawn.mapInArrow(run, "places array<int>, quality double, toxic double").toArrow().combine_chunks()
+    lists = seen.column("places").to_pandas().to_list() if seen.num_rows else []
+    classifier.fit([np.asarray(x, dtype=np.int64) for x in lists], np.stack([seen.column(h).to_numpy() for h in HEADS], axis=1))
     return classifier, by_id
 
 

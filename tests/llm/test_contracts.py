@@ -75,6 +75,31 @@ def rows_of(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
+def test_words_of_slices():
+    import pyarrow as pa
+
+    from pressferry.llm.common import shingle_hashes, slices, word_codes
+
+    texts = [f"The w{i} Quick  brown\tfox é{i % 3} " * (i % 4) if i % 5 else None for i in range(200)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = list(slices(iter([batch]), "text", 300))
+    assert len(parts) > 20 and sum(p.num_rows for p in parts) == 200
+    found, runs, shown = [], [], []
+    for part in parts:
+        offsets, codes, distinct = word_codes(part.column("text"))
+        names = np.array(distinct.to_pylist(), dtype=object)
+        found += [names[codes[a:b]].tolist() for a, b in zip(offsets[:-1], offsets[1:])]
+        cuts, hashes = shingle_hashes(part.column("text"), 3)
+        runs += [hashes[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
+        doc, place = quality.signs(part.column("text"))
+        shown += [sorted(place[doc == i].tolist()) for i in range(part.num_rows)]
+    assert found == [lowered(t) for t in texts]
+    cuts, hashes = shingle_hashes(batch.column("text"), 3)
+    assert runs == [hashes[a:b].tolist() for a, b in zip(cuts[:-1], cuts[1:])]
+    doc, place = quality.signs(batch.column("text"))
+    assert shown == [sorted(place[doc == i].tolist()) for i in range(200)]
+
+
 # --- 1 ----------------------------------------------------------------------
 
 def test_language_id(spark, odd, clashing, empty):
