@@ -13,9 +13,15 @@ calibrated probability that it is right: a logistic curve of the evidence,
 fitted on learning documents kept out of the counts; ``accepted`` rejects texts
 below ``min_score`` or with a cross entropy unlike the language's own texts.
 
-Size bounds (parameters): the tables hold at most ``max_cells`` probabilities
-over all languages; rarer grams are left to the lower orders.  Calibration uses
-about ``max_calibration`` documents.
+Every gram of every language counts: the continuation counts of the lower
+orders and the discounts are aggregates over all grams, and all of them are in
+the tables.  Tables of more than ``max_cells`` probabilities are cut into shards
+by language and, within a language, by the unit before the last: whatever a
+position needs of a language, rows of all orders and back-off weights, has that
+unit.  Each shard is held by itself and gives its positions' part of a text's
+sum, so a shard bounds memory and loses nothing (one language's grams over a
+256th of the units are never cut).  Calibration uses about ``max_calibration``
+documents.
 
 Defined results: null text or a text without a letter is ``und`` with score 0;
 null languages are not learned from; with nothing to learn every text is
@@ -26,17 +32,21 @@ columns are ignored.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from pressferry.llm.common import fit_logistic, slices, written
 
 ORDER = 4
 UNKNOWN = "und"
+#: Groups of units (by their last eight bits) that shards of one language are made of.
+BUCKETS = 256
 _SPACE = 0x20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -116,21 +126,43 @@ class HashArray:
         return out
 
 
+def discount_of(ones: int, twos: int) -> float:
+    """The discount of an order from how many of its grams count 1 and 2."""
+    return min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+
+
+Level = tuple[np.ndarray, np.ndarray]
+
+
 class KneserNey:
     """Interpolated Kneser-Ney models of several languages from their gram
     counts: ``counts`` has (grams, counts) by language."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.languages = sorted(counts)
-        levels: list[list[tuple[np.ndarray, np.ndarray]]] = []  # by language, from order 1 up
-        for lang in self.languages:
+    def __init__(self, counts: dict[str, Level]):
+        levels: dict[str, list[Level]] = {}
+        for lang in sorted(counts):
             keys, n = counts[lang]
             tower = [(keys.astype(np.uint64), n.astype(np.float64))]
             for order in range(ORDER - 1, 0, -1):
                 shorter = tower[0][0] & np.uint64((1 << 16 * order) - 1)
                 tower.insert(0, tuple(np.unique(shorter, return_counts=True)))  # continuation counts
-            levels.append(tower)
-        symbols = len(np.unique(np.concatenate([t[0][0] for t in levels]))) + 1
+            levels[lang] = tower
+        symbols = len(np.unique(np.concatenate([t[0][0] for t in levels.values()]))) + 1
+        self._fill(levels, {x: [discount_of((n == 1).sum(), (n == 2).sum()) for _, n in t] for x, t in levels.items()}, symbols, None)
+
+    @classmethod
+    def shard(cls, levels: dict[str, list[Level]], discounts: dict[str, list[float]], symbols: int, buckets: np.ndarray | None) -> KneserNey:
+        """The part of larger models that has the given buckets (None: all) of
+        the languages of ``levels``: sorted grams and (continuation) counts from
+        order 1 up; order 1 is whole."""
+        model = cls.__new__(cls)
+        model._fill(levels, discounts, symbols, buckets)
+        return model
+
+    def _fill(self, towers: dict[str, list[Level]], discounts: dict[str, list[float]], symbols: int, buckets: np.ndarray | None) -> None:
+        self.languages = sorted(towers)
+        self.buckets = buckets
+        levels = [towers[x] for x in self.languages]
         self.floor = float(-np.log(symbols))
         self.tables: list[tuple[HashArray, np.ndarray]] = []  # log probability of each gram, by order
         self.weights: list[tuple[HashArray, np.ndarray]] = []  # log back-off weight of each history, by order
@@ -143,8 +175,7 @@ class KneserNey:
             for i, tower in enumerate(levels):
                 own, n = tower[k]
                 n = n.astype(np.float64)
-                ones, twos = (n == 1).sum(), (n == 2).sum()
-                discount = min(0.95, max(0.1, ones / max(1, ones + 2 * twos)))
+                discount = discounts[self.languages[i]][k]
                 at = np.searchsorted(histories, own >> np.uint64(16))
                 total = np.bincount(at, n, len(histories))
                 kinds = np.bincount(at, minlength=len(histories))
@@ -185,6 +216,12 @@ class KneserNey:
 
     def cross_entropy(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Nats per unit of each text under each language; the unit counts."""
+        total, n = self.totals(texts)
+        return -total / np.maximum(n, 1)[:, None], n
+
+    def totals(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log probability of each text under each language (in a shard: of the
+        positions of its buckets); the unit counts."""
         sums, sizes = [], []
         chunk: list[str] = []
         length = 0
@@ -199,7 +236,16 @@ class KneserNey:
                 length += len(text)
         n = np.concatenate(sizes) if sizes else np.zeros(0, dtype=np.int64)
         total = np.concatenate(sums) if sums else np.zeros((0, len(self.languages)))
-        return -total / np.maximum(n, 1)[:, None], n
+        return total, n
+
+    def _of_shard(self, keys: np.ndarray) -> np.ndarray:
+        """log_p of the positions that are this shard's, 0 of the others."""
+        if self.buckets is None:
+            return self.log_p(keys)
+        out = np.zeros((len(keys), len(self.languages)), dtype=np.float32)
+        own = np.flatnonzero(self.buckets[(keys >> np.uint64(16)) & np.uint64(BUCKETS - 1)])
+        out[own] = self.log_p(keys[own])
+        return out
 
     def _sum(self, units: np.ndarray, starts: np.ndarray, step: int = 1 << 20) -> np.ndarray:
         keys = grams(units, starts)
@@ -209,21 +255,21 @@ class KneserNey:
             first = int(np.searchsorted(starts, a, "right")) - 1
             last = int(np.searchsorted(starts, b, "left")) - 1
             cuts = np.maximum(starts[first:last + 1], a) - a
-            out[first:last + 1] += np.add.reduceat(self.log_p(keys[a:b]), cuts, axis=0, dtype=np.float64)
+            out[first:last + 1] += np.add.reduceat(self._of_shard(keys[a:b]), cuts, axis=0, dtype=np.float64)
         return out
 
 
 class Identifier:
-    """A model with its calibration."""
+    """The shards of a model with their calibration."""
 
-    def __init__(self, model: KneserNey, min_score: float = 0.5):
-        self.model, self.min_score = model, min_score
+    def __init__(self, languages: list[str], min_score: float = 0.5):
+        self.languages, self.min_score = languages, min_score
+        self.shards: list[tuple[list[str], Broadcast]] = []  # languages and tables
         self.curve = (0.0, 1.0)
-        self.limit = np.full(len(model.languages), np.inf)
+        self.limit = np.full(len(languages), np.inf)
 
-    def evidence(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def evidence(self, entropy: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The winner, its cross entropy, and the log of its lead in nats."""
-        entropy, n = self.model.cross_entropy(texts)
         best = entropy.argmin(axis=1) if len(entropy) else np.zeros(0, dtype=np.int64)
         ordered = np.sort(entropy, axis=1)
         lead = (ordered[:, 1] - ordered[:, 0]) * n if entropy.shape[1] > 1 else n.astype(float)
@@ -235,24 +281,80 @@ class Identifier:
         languages are known."""
         if not len(best):
             return
-        truth = np.array([self.model.languages.index(x) if x in self.model.languages else -1 for x in langs])
+        truth = np.array([self.languages.index(x) if x in self.languages else -1 for x in langs])
         right = (best == truth).astype(float)
         x = np.concatenate((lead, [0.0, 0.0]))  # without a lead it is a coin toss
         y = np.concatenate((right, [0.0, 1.0]))
         start, slope = fit_logistic(x, y, 0.01)
         self.curve = (start, max(1e-3, slope))
-        for i in range(len(self.model.languages)):
+        for i in range(len(self.languages)):
             own = entropy[(best == i) & (truth == i)]
             if len(own) >= 20:
                 self.limit[i] = own.mean() + 6 * own.std()
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        best, entropy, lead = self.evidence([t or "" for t in texts])
+    def predict(self, entropy: np.ndarray, n: np.ndarray, letters: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        best, least, lead = self.evidence(entropy, n)
         score = 1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * lead, -30, 30)))
-        letters = np.array([t is not None and has_letter(t) for t in texts], dtype=bool)
-        names = [self.model.languages[i] if ok else UNKNOWN for i, ok in zip(best, letters, strict=True)]
+        names = [self.languages[i] if ok else UNKNOWN for i, ok in zip(best, letters, strict=True)]
         score = np.where(letters, score, 0.0)
-        return names, score, entropy, letters & (score >= self.min_score) & (entropy <= self.limit[best])
+        return names, score, least, letters & (score >= self.min_score) & (least <= self.limit[best])
+
+
+def _with_letter(texts: list[str | None]) -> np.ndarray:
+    return np.array([t is not None and has_letter(t) for t in texts], dtype=bool)
+
+
+def judged(rows: DataFrame, identifier: Identifier, keep: list[str], text_col: str, results: str, finish: Callable[..., list]) -> DataFrame:
+    """The kept columns and ``results``, which ``finish`` makes of the
+    identifier, the cross entropies, the unit counts and whether there is a letter."""
+    names = [*keep, *[f.split()[0] for f in results.split(", ")]]
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), results])
+    slim = Identifier(identifier.languages, identifier.min_score)
+    slim.curve, slim.limit = identifier.curve, identifier.limit
+    shards = identifier.shards
+
+    def out(batch: pa.RecordBatch, *found) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pa.array(x) for x in finish(slim, *found))], names)
+
+    if len(shards) == 1:
+        whole = shards[0][1]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, text_col, 4 << 20):
+                texts = batch.column(text_col).to_pylist()
+                yield out(batch, *whole.value.cross_entropy([t or "" for t in texts]), _with_letter(texts))
+
+        return rows.select(*keep, text_col).mapInArrow(run, schema)
+
+    def partial(part: int, shared: Broadcast) -> Callable:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, text_col, 4 << 20):
+                texts = batch.column(text_col).to_pylist()
+                total, n = shared.value.totals([t or "" for t in texts])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("_row"), pa.array([part] * len(n), pa.int32()), pa.array([t.tobytes() for t in total], pa.binary()), pa.array(n), pa.array(_with_letter(texts))],
+                    ["_row", "_part", "_sums", "_n", "_letters"])
+        return run
+
+    numbered = written(rows.select(*keep, text_col).withColumn("_row", F.monotonically_increasing_id()), "texts")
+    sums = reduce(DataFrame.unionByName, [
+        numbered.select("_row", text_col).mapInArrow(partial(k, shared), "_row bigint, _part int, _sums binary, _n bigint, _letters boolean")
+        for k, (_, shared) in enumerate(shards)])
+    met = sums.groupBy("_row").agg(F.sort_array(F.collect_list(F.struct("_part", "_sums"))).alias("_parts"), F.first("_n").alias("_n"), F.first("_letters").alias("_letters"))
+    places = [np.array([slim.languages.index(x) for x in langs]) for langs, _ in shards]
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            total = np.zeros((batch.num_rows, len(slim.languages)))
+            for i, parts in enumerate(batch.column("_parts").to_pylist()):
+                for part in parts:
+                    total[i, places[part["_part"]]] += np.frombuffer(part["_sums"], dtype=np.float64)
+            n = batch.column("_n").to_numpy()
+            yield out(batch, -total / np.maximum(n, 1)[:, None], n, batch.column("_letters").to_numpy(zero_copy_only=False))
+
+    return numbered.drop(text_col).join(met, "_row").select(*keep, "_parts", "_n", "_letters").mapInArrow(gather, schema)
 
 
 def fold(id_col: Column, folds: int) -> Column:
@@ -293,6 +395,35 @@ def gram_counts(learn: DataFrame, lang_col: str = "lang", text_col: str = "text"
         .groupBy("lang", "gram").agg(F.sum("n").alias("n")))
 
 
+def plan_shards(rows: dict[str, np.ndarray], max_cells: int) -> list[tuple[list[str], np.ndarray | None]]:
+    """(languages, their buckets or None for all) of each shard, from the rows
+    of each language and bucket: every language and bucket is in one.  A row
+    has a cell for each language of its shard, four at least (its hash and its
+    entries of the directory)."""
+    shards: list[tuple[list[str], np.ndarray | None]] = []
+    group: list[str] = []
+    held = 0
+    for lang in sorted(rows):
+        n = int(rows[lang].sum())
+        if group and (held + n) * max(4, len(group) + 1) > max_cells:
+            shards.append((group, None))
+            group, held = [], 0
+        if n * 4 <= max_cells:
+            group.append(lang)
+            held += n
+            continue
+        own, size = np.zeros(BUCKETS, dtype=bool), 0
+        for bucket in range(BUCKETS):
+            more = int(rows[lang][bucket])
+            if size and (size + more) * 4 > max_cells and more:
+                shards.append(([lang], own))
+                own, size = np.zeros(BUCKETS, dtype=bool), 0
+            own[bucket] = True
+            size += more
+        shards.append(([lang], own))
+    return [*shards, (group, None)] if group else shards
+
+
 def train(learn: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text",
           max_cells: int = 1 << 24, max_calibration: int = 4000, min_score: float = 0.5) -> Identifier | None:
     """Learn from the rows with text and language; None if there are none."""
@@ -300,59 +431,62 @@ def train(learn: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text
     total = known.count()
     rate = min(0.1, max_calibration / max(total, 1))
     aside = (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("calibration")), F.lit(1 << 20)) < int(rate * (1 << 20)))
-    counts = written(gram_counts(known.filter(~aside), lang_col, text_col), "grams")
-    # How many grams each power of two of the count has: a few rows for each language.
-    sizes = counts.groupBy("lang", F.floor(F.log2("n")).cast("int").alias("power")).count().collect()
-    langs = {r["lang"] for r in sizes}
+    levels = [written(gram_counts(known.filter(~aside), lang_col, text_col), "grams")]
+    for order in range(ORDER - 1, 0, -1):  # continuation counts, of all grams
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1)).alias("gram")
+        levels.insert(0, written(levels[0].groupBy("lang", shorter).agg(F.count(F.lit(1)).alias("n")), "grams"))
+    bucket = F.when(F.col("k") == 0, -1).otherwise(F.shiftright("gram", 16).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
+    every = reduce(DataFrame.unionByName, [df.withColumn("k", F.lit(k)) for k, df in enumerate(levels)]).withColumn("bucket", bucket)
+    # A few rows for each language: how many grams each order and bucket has, how many of them count 1 and 2.
+    sizes = every.groupBy("lang", "k", "bucket").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()
+    langs = sorted({r["lang"] for r in sizes})
     if not langs:
         return None
-    share = max(1, max_cells // len(langs) ** 2)
-    kept = F.lit(False)
-    for lang in langs:
-        room, least = share, 63
-        for r in sorted((r for r in sizes if r["lang"] == lang), key=lambda r: -r["power"]):
-            room -= r["count"]
-            if room < 0:
-                break
-            least = r["power"]
-        kept = kept | ((F.col("lang") == lang) & (F.col("n") >= F.lit(2 ** least).cast("bigint")))
-    rows = counts.filter(kept).toArrow()
-    names = np.array(rows.column("lang").to_pylist(), dtype=object)
-    keys, n = rows.column("gram").to_numpy().astype(np.int64).view(np.uint64), rows.column("n").to_numpy()
-    model = KneserNey({x: (np.sort(keys[names == x]), n[names == x][np.argsort(keys[names == x])]) for x in dict.fromkeys(names)})
-    identifier = Identifier(model, min_score)
-    shared = learn.sparkSession.sparkContext.broadcast(identifier)
+    symbols = levels[0].select("gram").distinct().count() + 1
+    seen = {x: np.zeros((ORDER, 2), dtype=np.int64) for x in langs}
+    rows = {x: np.zeros(BUCKETS, dtype=np.int64) for x in langs}
+    for r in sizes:
+        seen[r["lang"]][r["k"]] += (r["ones"], r["twos"])
+        if r["k"]:
+            rows[r["lang"]][r["bucket"]] += r["rows"]
+    discounts = {x: [discount_of(int(a), int(b)) for a, b in seen[x]] for x in langs}
+    identifier = Identifier(langs, min_score)
+    for some, buckets in plan_shards(rows, max_cells):
+        part = every.filter(F.col("lang").isin(some))
+        if buckets is not None:
+            part = part.filter((F.col("k") == 0) | F.col("bucket").isin(np.flatnonzero(buckets).tolist()))
+        model = KneserNey.shard(_towers(part.select("lang", "k", "gram", "n").toArrow(), some), {x: discounts[x] for x in some}, symbols, buckets)
+        identifier.shards.append((model.languages, learn.sparkSession.sparkContext.broadcast(model)))
+        del model
+
+    seen_aside = judged(known.filter(aside), identifier, [lang_col], text_col, "best bigint, entropy double, lead double",
+                        lambda own, entropy, n, letters: list(own.evidence(entropy, n))).toPandas()
+    identifier.calibrate(*(seen_aside[c].to_numpy() for c in ("best", "entropy", "lead")), seen_aside[lang_col].tolist())
+    return identifier
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text_col, 4 << 20):
-            found = shared.value.evidence(batch.column(text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(lang_col), *(pa.array(x) for x in found)], ["lang", "best", "entropy", "lead"])
 
-    seen = known.filter(aside).select(lang_col, text_col).mapInArrow(run, "lang string, best bigint, entropy double, lead double").toPandas()
-    identifier.calibrate(seen["best"].to_numpy(), seen["entropy"].to_numpy(), seen["lead"].to_numpy(), seen["lang"].tolist())
-    return identifier
+def _towers(rows: pa.Table, langs: list[str]) -> dict[str, list[Level]]:
+    """Sorted grams and counts by language, from order 1 up."""
+    out: dict[str, list[Level]] = {}
+    for lang in langs:
+        out[lang] = []
+        for k in range(ORDER):
+            own = rows.filter(pc.and_(pc.equal(rows.column("lang"), lang), pc.equal(rows.column("k"), k)))
+            keys = own.column("gram").to_numpy().astype(np.int64).view(np.uint64)
+            at = np.argsort(keys)
+            out[lang].append((keys[at], own.column("n").to_numpy()[at]))
+    return out
 
 
 def identify(docs: DataFrame, identifier: Identifier | None, id_col: str = "doc_id", text_col: str = "text",
              keep: tuple[str, ...] = ()) -> DataFrame:
     """id, kept columns, lang_pred, score, cross_entropy, accepted of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(identifier)  # at most max_cells probabilities
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        for batch in slices(batches, text_col, 4 << 20):
-            texts = batch.column(text_col).to_pylist()
-            if model is None:
-                n = len(texts)
-                found = [UNKNOWN] * n, np.zeros(n), np.zeros(n), np.zeros(n, dtype=bool)
-            else:
-                found = model.predict(texts)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (id_col, *keep)), *(pa.array(x) for x in found)],
-                                             [id_col, *keep, "lang_pred", "score", "cross_entropy", "accepted"])
-
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (id_col, *keep))
-    return docs.select(id_col, *keep, text_col).mapInArrow(
-        run, f"{kinds}, lang_pred string, score double, cross_entropy double, accepted boolean")
+    if identifier is None:
+        return docs.select(id_col, *keep, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
+                           F.lit(0.0).alias("cross_entropy"), F.lit(False).alias("accepted"))
+    return judged(docs, identifier, [id_col, *keep], text_col, "lang_pred string, score double, cross_entropy double, accepted boolean",
+                  lambda own, entropy, n, letters: list(own.predict(entropy, n, letters)))
 
 
 def held_out_prediction(docs: DataFrame) -> DataFrame:

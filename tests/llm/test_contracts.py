@@ -130,6 +130,24 @@ def test_kneser_ney_sums_to_one():
         assert np.allclose(seen + unseen, 1, atol=1e-4)
 
 
+def test_language_shards_lose_nothing(spark):
+    rng = random.Random(23)
+    alphabets = {"aa": "abcdefghij", "bb": "efghijklmn", "cc": "ijklmnopqr"}
+    rows = [(k, " ".join("".join(rng.choices(alphabets[x], k=5)) for _ in range(12)), x) for k, x in enumerate(sorted(alphabets) * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    counts = {x: np.unique(language_id.grams(*language_id.text_units([r[1] for r in rows if r[2] == x])), return_counts=True) for x in alphabets}
+    plain = language_id.KneserNey(counts)
+    most = max(sum(len(np.unique(k & np.uint64(2 ** (16 * order) - 1))) for order in (2, 3, 4)) for k, _ in counts.values())
+    entropy, _ = plain.cross_entropy([r[1] for r in rows])
+    for max_cells, least in ((1 << 24, 1), (4 * most, 3), (most, 12)):  # all at once, by language, by language and unit
+        identifier = language_id.train(docs, max_cells=max_cells, max_calibration=0)
+        assert identifier.languages == sorted(alphabets) and (len(identifier.shards) == 1 if least == 1 else len(identifier.shards) >= least)
+        got = {r["doc_id"]: r for r in language_id.identify(docs, identifier).collect()}
+        assert len(got) == len(rows)
+        for (i, _, _), own in zip(rows, entropy):
+            assert got[i]["lang_pred"] == plain.languages[own.argmin()] and math.isclose(got[i]["cross_entropy"], own.min(), rel_tol=1e-5)
+
+
 def test_hash_array():
     keys = np.random.default_rng(3).integers(0, 1 << 62, 5000).astype(np.uint64)
     keys = np.unique(keys)
