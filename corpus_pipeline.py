@@ -55,9 +55,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage like a benchmark item go."""
-    hits = decontaminate.matches(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["_id"]), "left_anti")
+    """Documents that hold a passage like a benchmark item go; clean texts under
+    the same id stay."""
+    hits = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("id").alias("_id"), F.col("tie").alias("_tie"))
+    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["_id"]) & (decontaminate.text_tie(docs["text"]) == hits["_tie"]), "left_anti")
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

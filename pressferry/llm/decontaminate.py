@@ -101,17 +101,36 @@ def matches(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80
             text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """id, item, start (0-based word), n_words, distance (bits), similarity:
     the best window of each document and item that reaches ``percent``."""
+    passed = _passed(docs, items, width, percent, id_col, text_col, item_col, item_text_col)
+    best = passed.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "m", "distance")).alias("b"))
+    return best.select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("b.s")).alias("start"), F.col("b.m").alias("n_words"),
+                       F.col("b.distance").alias("distance"), F.col("b.similarity").alias("similarity"))
+
+
+def text_tie(text: Column) -> Column:
+    """The hash that tells texts under one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def contaminated(docs: DataFrame, items: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id",
+                 text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """id, tie (``text_tie``) of the texts with a window that reaches ``percent``."""
+    return _passed(docs, items, width, percent, id_col, text_col, item_col, item_text_col).select("id", "tie").distinct()
+
+
+def _passed(docs: DataFrame, items: DataFrame, width: int, percent: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> DataFrame:
+    """id, tie, item, start, m, distance, similarity of every window that
+    reaches ``percent`` and was proposed."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_tie(F.col(text_col)).alias("tie"), text.alias("text"))
     listed = items.select(F.col(item_col).alias("item"), word_hashes(F.col(item_text_col)).alias("w")).filter(F.size("w") > 0)
     listed = listed.withColumn("length", F.size("w"))
     short = [r[0] for r in listed.filter(F.col("length") < width).select("length").distinct().collect()]  # below width
-    found = [_matches(rows, listed, w, exact, percent) for w, exact in [(width, False), *((w, True) for w in sorted(short))]]
-    both = reduce(DataFrame.unionByName, found)
-    return both.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "start", "n_words", "distance", "similarity")
+    found = [_windows(rows, listed, w, exact, percent) for w, exact in [(width, False), *((w, True) for w in sorted(short))]]
+    return reduce(DataFrame.unionByName, found)
 
 
-def _matches(rows: DataFrame, listed: DataFrame, width: int, exact: bool, percent: int) -> DataFrame:
+def _windows(rows: DataFrame, listed: DataFrame, width: int, exact: bool, percent: int) -> DataFrame:
     wanted = listed.filter(F.col("length") == width if exact else F.col("length") >= width)
     wanted = with_simhash(wanted.select("item", "length", shingles(F.col("w"), width).alias("own")), "own", "item_print")
     wanted = written(wanted.select("item", "length", "own", "item_print"), "items")
@@ -130,10 +149,10 @@ def _matches(rows: DataFrame, listed: DataFrame, width: int, exact: bool, percen
 
     texts = rows.join(spans.withColumnsRenamed({"id": "id2", "tie": "tie2"}), F.col("id").eqNullSafe(F.col("id2")) & (F.col("tie") == F.col("tie2")))
     # The words are a column of their own: within the shingle function they would be made anew for every shingle.
-    arrays = texts.select("id", "spans", word_hashes(F.col("text")).alias("w"))
-    arrays = arrays.select("id", F.explode("spans").alias("r"), shingles(F.col("w"), width).alias("sh"))
-    windows = arrays.select("id", "sh", "r.length", "r.m", F.explode(F.sequence(F.col("r.lo"), F.col("r.hi"))).alias("start"))
-    windows = windows.select("id", "length", "m", "start", F.slice("sh", F.col("start") + 1, F.col("m") - (width - 1)).alias("own_w"))
+    arrays = texts.select("id", "tie", "spans", word_hashes(F.col("text")).alias("w"))
+    arrays = arrays.select("id", "tie", F.explode("spans").alias("r"), shingles(F.col("w"), width).alias("sh"))
+    windows = arrays.select("id", "tie", "sh", "r.length", "r.m", F.explode(F.sequence(F.col("r.lo"), F.col("r.hi"))).alias("start"))
+    windows = windows.select("id", "tie", "length", "m", "start", F.slice("sh", F.col("start") + 1, F.col("m") - (width - 1)).alias("own_w"))
     printed = with_simhash(windows, "own_w", "window_print")
     keyed = printed.select("*", F.inline(block_values(F.col("window_print"))))
     index = wanted.select("item", "length", "own", "item_print", F.inline(block_probes(F.col("item_print"))))
@@ -146,5 +165,4 @@ def _matches(rows: DataFrame, listed: DataFrame, width: int, exact: bool, percen
     checked = near.filter(first).withColumn("common", weighted_overlap(F.col("own_w"), F.col("own")))
     union = F.size("own_w") + F.size("own") - F.col("common")
     passed = checked.filter(100 * F.col("common") >= percent * union).withColumn("similarity", F.col("common") / union)
-    best = passed.groupBy("id", "item").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "m", "distance")).alias("b"))
-    return best.select("id", "item", (-F.col("b.s")).alias("start"), F.col("b.m").alias("n_words"), F.col("b.distance").alias("distance"), F.col("b.similarity").alias("similarity"))
+    return passed.select("id", "tie", "item", "start", "m", "distance", "similarity")

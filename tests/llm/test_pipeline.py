@@ -92,3 +92,16 @@ def test_stages_with_clashing_and_empty_tables(spark, world):
         if k < 4:
             assert set(clash.columns) == set(odd_columns.columns)
         assert stage(spark, none, at).count() == 0
+
+
+def test_decontamination_is_by_id_and_text(spark, tmp_path):
+    import random
+
+    rng = random.Random(31)
+    item = " ".join(words(rng, 30, 9000).split())
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    dirty, clean = f"before it {item} after it", words(rng, 40, 9000)
+    rows = [(None, dirty, "en", "s", 1), (None, clean, "en", "s", 1), (None, None, "en", "s", 1), (7, dirty, "en", "s", 1), (7, clean, "en", "s", 1),
+            (8, dirty, "en", "s", 1), (8, dirty, "en", "s", 1), (9, clean, "en", "s", 1)]
+    got = corpus_pipeline.benchmark_decontamination(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), str(tmp_path))
+    assert sorted((r[0] or 0, r[1] or "") for r in got.collect()) == sorted([(0, clean), (0, ""), (7, clean), (9, clean)])
