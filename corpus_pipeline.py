@@ -8,7 +8,7 @@ documents.  All stages but the last return the columns of their input.
 Rows with a null id: they are judged by their text like all others; where a
 decision is keyed by the id, null ids match null ids.  Repeated rows (equal id
 and text) share every decision; the near-duplicate stage keeps one of them.
-Different texts under one id stay or go together there.
+Different texts under one id, or under none, are judged each.
 Empty tables pass through every stage; further columns pass unchanged.
 """
 
@@ -21,7 +21,7 @@ from pressferry.llm.common import table, written
 
 
 def _key(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    return jaccard_join.text_key(text)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,13 +44,10 @@ def line_window_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 of five-word
-    shingles the document with the smallest id stays."""
-    groups = jaccard_join.near_components(docs, width=5, percent=80)
-    gone = groups.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = kept.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL")
-    if repeated.isEmpty():
-        return kept
+    shingles one row stays: the smallest id (null last), then the smallest text
+    hash.  Empty texts are in no group."""
+    gone = jaccard_join.near_others(docs, width=5, percent=80).select(F.col("id").alias("_id"), F.col("key").alias("_key"))
+    kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (_key(docs["text"]) == gone["_key"]), "left_anti")
     return kept.withColumn("_text_key", _key(F.col("text"))).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
 
 

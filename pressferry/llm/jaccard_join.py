@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pressferry.llm.common import connected_components, mix, shingle_hashes, slices, written
 
@@ -110,11 +110,43 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, orders:
                     text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id of every row: rows link when 100 times the
     intersection of their sets is at least ``percent`` times the union."""
+    marks, roots = _linked(docs, width, percent, orders, id_col, text_col)
+    classes = marks.filter("n > 0").groupBy("signature").agg(F.min("id").alias("least"))
+    classes = classes.join(roots, classes["signature"] == roots["node"], "left").select(
+        "signature", "least", F.coalesce("root", "signature").alias("root"))
+    named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    component = classes.join(named, "root").select("signature", "component_id")
+    rows = marks.select("id", "n", "signature").join(component, "signature", "left")
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                       F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def text_key(text: Column) -> Column:
+    """The hash that tells texts under one id apart."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def near_others(docs: DataFrame, width: int = 5, percent: int = 80, orders: int = 3, id_col: str = "doc_id",
+                text_col: str = "text") -> DataFrame:
+    """id, key (``text_key``) of the texts that don't stand for their component:
+    the one with the smallest id (null last), then the smallest key, does."""
+    marks, roots = _linked(docs, width, percent, orders, id_col, text_col)
+    filled = marks.filter("n > 0")
+    classes = filled.groupBy("signature").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    classes = classes.join(roots, classes["signature"] == roots["node"], "left").select(F.coalesce("root", "signature").alias("root"), "first")
+    stay = classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("stay_id"), F.col("first.key").alias("stay_key"))
+    every = filled.select("id", "key").distinct()
+    return every.join(stay, F.col("id").eqNullSafe(F.col("stay_id")) & (F.col("key") == F.col("stay_key")), "left_anti")
+
+
+def _linked(docs: DataFrame, width: int, percent: int, orders: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """id, key, n, signature of every row (and its prefix), and the root of each
+    signature that is linked with another."""
     if not 1 <= percent <= 100 or orders < 2:
         raise ValueError("percent must be from 1 to 100, and there must be two orders at least")
     spark = docs.sparkSession
     id_type = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
     levels = spark.sparkContext.broadcast(frequency_levels(texts.select("text"), width))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,10 +158,10 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, orders:
                 signatures.append(signature)
                 prefixes.append(prefix(tokens, levels.value, 0, percent) if len(tokens) else none)
             class_key = np.frombuffer(b"".join(signatures), dtype=np.int64)[::2]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(class_key), _lists(prefixes)],
-                                             ["id", "n", "signature", "h", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(sizes, pa.int64()), pa.array(signatures, pa.binary()), pa.array(class_key), _lists(prefixes)],
+                                             ["id", "key", "n", "signature", "h", "tokens"])
 
-    marks = written(texts.mapInArrow(mark, f"id {id_type}, n bigint, signature binary, h bigint, tokens array<bigint>"), "marks")
+    marks = written(texts.mapInArrow(mark, f"id {id_type}, key bigint, n bigint, signature binary, h bigint, tokens array<bigint>"), "marks")
     filled = marks.filter("n > 0")
     postings = filled.select("h", "n", F.posexplode("tokens").alias("place", "token"))
     shared = postings.groupBy("token").agg(F.min("h").alias("_low"), F.max("h").alias("_high"), F.min("place").alias("least")).filter("_low < _high").drop("_low", "_high")
@@ -188,13 +220,4 @@ def near_components(docs: DataFrame, width: int = 5, percent: int = 80, orders:
                      & within("x.n", "x.place", "y.n", "y.place"))
               .select(F.col("x.h").alias("ha"), F.col("y.h").alias("hb")).distinct())
     second = written(verified(across), "links")
-    roots = connected_components(first.unionByName(second))
-
-    classes = filled.groupBy("signature").agg(F.min("id").alias("least"))
-    classes = classes.join(roots, classes["signature"] == roots["node"], "left").select(
-        "signature", "least", F.coalesce("root", "signature").alias("root"))
-    named = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    component = classes.join(named, "root").select("signature", "component_id")
-    rows = marks.select("id", "n", "signature").join(component, "signature", "left")
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                       F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    return marks, connected_components(first.unionByName(second))

@@ -105,3 +105,18 @@ def test_decontamination_is_by_id_and_text(spark, tmp_path):
             (8, dirty, "en", "s", 1), (8, dirty, "en", "s", 1), (9, clean, "en", "s", 1)]
     got = corpus_pipeline.benchmark_decontamination(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), str(tmp_path))
     assert sorted((r[0] or 0, r[1] or "") for r in got.collect()) == sorted([(0, clean), (0, ""), (7, clean), (9, clean)])
+
+
+def test_near_duplicates_are_judged_by_row(spark):
+    import random
+
+    rng = random.Random(37)
+    a, b, c, d, e, f, g = (words(rng, 60, 9000) for _ in range(7))
+    rows = [(7, a), (9, a), (3, b), (7, b), (5, c), (5, d), (4, d), (None, e), (None, e), (None, f), (6, f + " more"), (None, g), (None, g + " more"),
+            (None, None), (1, ""), (2, "")]
+    kept = [(7, a), (3, b), (5, c), (4, d), (None, e), (6, f + " more"), (None, None), (1, ""), (2, "")]
+    for further in ([], [(8, "on its own"), (8, "on its own")]):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows + further], SCHEMA).repartition(3)
+        got = collections.Counter((r[0], r[1]) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+        assert got[None, g] + got[None, g + " more"] == 1
+        assert got - collections.Counter([(None, g), (None, g + " more")]) == collections.Counter(kept + further[:1])
