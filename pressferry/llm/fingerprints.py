@@ -2,8 +2,8 @@
 
 A text is cut into paragraph pieces (line ends, sentence ends, 200 characters
 at most).  Each piece is hashed to a wide vector of small odd numbers; the
-fingerprint is their sum, component by component, modulo 2 ** 16.  It doesn't
-depend on the order of the pieces, and pieces are inserted or deleted by adding
+fingerprint is their sum, component by component, modulo 2 ** 32 (a text would
+need 143 million equal pieces to wrap).  It doesn't depend on the order of the pieces, and pieces are inserted or deleted by adding
 or subtracting their vectors: an edited text's fingerprint is made from the old
 one and the changed pieces alone.  The vectors are random with mean zero, so
 the squared length of a difference estimates how many pieces differ, which
@@ -50,29 +50,29 @@ def vectors(parts: list[str]) -> np.ndarray:
 
 
 def sums(groups: list[list[str]]) -> np.ndarray:
-    """The sum of the piece vectors of each group, modulo 2 ** 16."""
-    out = np.zeros((len(groups), WIDTH), dtype=np.int16)
+    """The sum of the piece vectors of each group, modulo 2 ** 32."""
+    out = np.zeros((len(groups), WIDTH), dtype=np.int32)
     sizes = np.array([len(g) for g in groups], dtype=np.int64)
     full = np.flatnonzero(sizes)
     if len(full):
         starts = np.cumsum(sizes[full]) - sizes[full]
-        out[full] = np.add.reduceat(vectors([p for g in groups for p in g]), starts, axis=0, dtype=np.int16)
+        out[full] = np.add.reduceat(vectors([p for g in groups for p in g]), starts, axis=0, dtype=np.int32)
     return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """0 to 1 for each pair of rows: 1 - |a - b|^2 / (|a|^2 + |b|^2)."""
     square = lambda x: (x.astype(np.float64) ** 2).sum(axis=1)
-    gap, both = square(a - b), square(a) + square(b)
+    gap, both = square(a.astype(np.int64) - b), square(a) + square(b)
     return np.where(gap == 0, 1.0, np.clip(1.0 - gap / np.maximum(both, 1.0), 0.0, 1.0))
 
 
 def as_string(vector: np.ndarray) -> str:
-    return base64.b64encode(vector.astype("<i2").tobytes()).decode()
+    return base64.b64encode(vector.astype("<i4").tobytes()).decode()
 
 
 def from_string(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), dtype="<i2")
+    return np.frombuffer(base64.b64decode(fingerprint), dtype="<i4")
 
 
 def edit(text: str, following: str) -> tuple[str, list[str], list[str]]:
@@ -99,8 +99,8 @@ def _finish(texts: list[str], following: list[str], own: np.ndarray, after: np.n
     return [
         pa.array([len(t) for t in texts], pa.int64()),
         pa.array([hashlib.sha256(e[0].encode()).hexdigest() for e in edits], pa.string()),
-        pa.array([v.astype("<i2").tobytes() for v in own], pa.binary()),
-        pa.array([v.astype("<i2").tobytes() for v in edited], pa.binary()),
+        pa.array([v.astype("<i4").tobytes() for v in own], pa.binary()),
+        pa.array([v.astype("<i4").tobytes() for v in edited], pa.binary()),
         pa.array(likeness(own, edited), pa.float64()),
         pa.array(likeness(own, after), pa.float64()),
     ]

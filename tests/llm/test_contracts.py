@@ -403,6 +403,22 @@ def test_single_document_is_its_own_next(spark):
     assert row["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest() and row["near_next"] == 1
 
 
+def test_fingerprints_of_repetitive_texts(spark):
+    n = 10_000
+    rows = [(1, "a line of the log\n" * n), (2, "another line here\n" * n)]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    exact = {i: sum(k * fingerprints.vectors([p]).astype(np.int64)[0] for p, k in collections.Counter(fingerprints.pieces(t)).items()) for i, t in rows}
+    for i, other in ((1, 2), (2, 1)):
+        assert (fingerprints.from_string(got[i]["fingerprint"]) == exact[i]).all()
+        text, following = dict(rows)[i], dict(rows)[other]
+        edited = fingerprints.edit(text, following)[0]
+        after = sum(k * fingerprints.vectors([p]).astype(np.int64)[0] for p, k in collections.Counter(fingerprints.pieces(edited)).items())
+        assert (fingerprints.from_string(got[i]["edited_fingerprint"]) == after).all()
+        for name, b in (("near_edited", after), ("near_next", exact[other])):
+            a = exact[i]
+            assert math.isclose(got[i][name], max(0.0, 1 - ((a - b) ** 2).sum() / ((a ** 2).sum() + (b ** 2).sum())), abs_tol=1e-9)
+
+
 def test_fingerprints_add_up():
     a, b = ["x. ", "y\n", "z"], ["z", "x. ", "y\n"]
     assert (fingerprints.sums([a]) == fingerprints.sums([b])).all()
