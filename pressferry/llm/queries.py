@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressferry.llm import byte_bpe, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, pitman_yor, quality, sharding, token_files
+from pressferry.llm import byte_bpe, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, pitman_yor, quality, sharding, token_files, top_k
 from pressferry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,12 +60,16 @@ def op10_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_kneser_ney_language, op2_line_window_dedup, op3_separator_scan, op4_pitman_yor,
         op5_simhash_decontamination, op6_multiset_fingerprints, op7_ngram_jaccard,
-        op8_feistel_sharding, op9_byte_bpe, op10_hierarchical_quality)}
+        op8_feistel_sharding, op9_byte_bpe, op10_hierarchical_quality, op12_threshold_top_k)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_window_dedup": line_dedup.SUMMARY_SQL}
+    return {"op2_line_window_dedup": line_dedup.SUMMARY_SQL, "op12_threshold_top_k": top_k.TOP_K_SQL}
