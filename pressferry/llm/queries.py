@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressferry.llm import byte_bpe, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, pitman_yor, quality, sharding, token_files, top_k
+from pressferry.llm import byte_bpe, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, pitman_yor, prefix_trie, quality, sharding, token_files, top_k
 from pressferry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,12 +64,18 @@ def op12_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_kneser_ney_language, op2_line_window_dedup, op3_separator_scan, op4_pitman_yor,
         op5_simhash_decontamination, op6_multiset_fingerprints, op7_ngram_jaccard,
-        op8_feistel_sharding, op9_byte_bpe, op10_hierarchical_quality, op12_threshold_top_k)}
+        op8_feistel_sharding, op9_byte_bpe, op10_hierarchical_quality, op12_threshold_top_k,
+        op13_prefix_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_window_dedup": line_dedup.SUMMARY_SQL, "op12_threshold_top_k": top_k.TOP_K_SQL}
+    return {"op2_line_window_dedup": line_dedup.SUMMARY_SQL, "op12_threshold_top_k": top_k.TOP_K_SQL,
+            "op13_prefix_trie": prefix_trie.PREFIX_TRIE_SQL}
