@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pressferry.llm import byte_bpe, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, pitman_yor, prefix_trie, quality, sharding, token_files, top_k
+from pressferry.llm import alignment, byte_bpe, decontaminate, fingerprints, jaccard_join, language_id, line_dedup, pitman_yor, prefix_trie, quality, sharding, token_files, top_k
 from pressferry.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,13 @@ def op10_hierarchical_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = alignment.load(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN)
+    return alignment.alignment_counts(table(spark, sf_dir, "documents"), files)
+
+
 def op12_threshold_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"), k=10, every=100)
 
@@ -72,7 +79,7 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_kneser_ney_language, op2_line_window_dedup, op3_separator_scan, op4_pitman_yor,
         op5_simhash_decontamination, op6_multiset_fingerprints, op7_ngram_jaccard,
-        op8_feistel_sharding, op9_byte_bpe, op10_hierarchical_quality, op12_threshold_top_k,
+        op8_feistel_sharding, op9_byte_bpe, op10_hierarchical_quality, op11_token_alignment, op12_threshold_top_k,
         op13_prefix_trie)}
 
 
