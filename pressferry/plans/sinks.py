@@ -1,21 +1,20 @@
-"""Table-level writes: working tables, staged replacement, archives.
+"""Table-level writes: working tables, replacement, archives.
 
-A table is a directory of parquet files under a warehouse root.  Writes are
-staged: a new version is written next to the live one and only then swapped
-in, so a failed or retried job (lost executors included) never leaves a half
-written table behind.  Spark's own commit protocol makes each write atomic at
-the directory level; the swap is a rename on the warehouse file system.
+The tables of a warehouse are versions of a table log (``manifest``): data are
+written to folders of their own first and named by one new version file after,
+so a failed, killed or retried statement (lost executors included) leaves every
+table as it was or as it should be.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pressferry.operators.dml import insert
+from pressferry.plans.manifest import HadoopFiles, TableLog, Transaction
 
 
 def create_like(df: DataFrame) -> DataFrame:
@@ -43,95 +42,52 @@ def fixed_terms_log(fixes: DataFrame, log: DataFrame | None = None) -> DataFrame
 
 
 class Warehouse:
-    """Named parquet tables under one root directory (shared storage on a cluster)."""
+    """Named parquet tables under one root directory (shared storage on a
+    cluster), each statement one commit of the table log: readers see the state
+    before or after it, of all tables it changes.
 
-    def __init__(self, spark: SparkSession, root: str):
+    ``commit``: an id under which a statement that is retried isn't done twice."""
+
+    def __init__(self, spark: SparkSession, root: str, files: HadoopFiles | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
-
-    # paths --------------------------------------------------------------
-    def _jvm_fs(self, path: str):
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(conf), p
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        self.log = TableLog(spark, self.root, files)
+        self.last_error: str | None = None
 
     def exists(self, name: str) -> bool:
-        fs, p = self._jvm_fs(self.path(name))
-        return bool(fs.exists(p))
+        return name in self.log.snapshot().tables
 
     def names(self) -> list[str]:
-        fs, p = self._jvm_fs(self.root)
-        if not fs.exists(p):
-            return []
-        return sorted(s.getPath().getName() for s in fs.listStatus(p)
-                      if s.isDirectory() and not s.getPath().getName().startswith("_"))
+        return [n for n in self.log.snapshot().names() if not n.startswith("_")]
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
-
-    # S4 / S3 / staged overwrite -------------------------------------------------
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        """CREATE TABLE name AS SELECT / overwrite: write a staged copy, then swap."""
-        stage = self.path(f"_stage_{name}_{uuid.uuid4().hex}")
-        df.write.mode("errorifexists").parquet(stage)
-        self._swap_in(stage, name)
+        """The table as of now; later commits don't change what it reads."""
+        return self.log.snapshot().read(name)
+
+    def folders(self, name: str) -> dict[str, int | None]:
+        """The folders that hold the table, with their buckets."""
+        return dict(self.log.snapshot().tables[name].parts)
+
+    def transaction(self, commit: str | None = None) -> Transaction:
+        """Several statements as one commit."""
+        return self.log.begin(commit)
+
+    # S4 / S3 / overwrite ---------------------------------------------------------
+    def write(self, name: str, df: DataFrame, commit: str | None = None) -> DataFrame:
+        """CREATE TABLE name AS SELECT / overwrite."""
+        change = self.transaction(commit)
+        change.write(name, df)
+        change.commit()
         return self.read(name)
 
-    def _swap_in(self, stage: str, name: str) -> None:
-        self.swap(stage, self.path(name), self.path(f"_old_{name}_{uuid.uuid4().hex}"))
-
-    def rename(self, source: str, target: str) -> bool:
-        """Whether the file system moved the folder (some answer False instead
-        of raising)."""
-        fs, p = self._jvm_fs(source)
-        return bool(fs.rename(p, self._jvm_fs(target)[1]))
-
-    def delete(self, path: str) -> None:
-        fs, p = self._jvm_fs(path)
-        fs.delete(p, True)
-
-    def swap(self, stage: str, live: str, old: str, keep_old: bool = False) -> None:
-        """Put ``stage`` in the place of ``live``.  Every rename is checked; on
-        failure the old version goes back to its place, and it is deleted last."""
-        fs, p = self._jvm_fs(live)
-        had = bool(fs.exists(p))
-        if had and not self.rename(live, old):
-            raise OSError(f"could not move {live} aside; nothing has changed")
-        if not self.rename(stage, live):
-            if had and not self.rename(old, live):
-                raise OSError(f"could not move {stage} to {live}; the old version is in {old}")
-            raise OSError(f"could not move {stage} to {live}; the old version is in its place")
-        if had and not keep_old:
-            self.delete(old)
-
-    def append(self, name: str, df: DataFrame) -> bool:
+    def append(self, name: str, df: DataFrame, commit: str | None = None) -> bool:
         """S3: append rows; False (and no change) if the write fails, with the
-        reason in ``last_error``.  The rows are written to a stage first; only
-        whole files then move into the table."""
-        self.last_error: str | None = None
-        stage = self.path(f"_stage_{name}_{uuid.uuid4().hex}")
+        reason in ``last_error``.  Two appends at once both hold."""
+        self.last_error = None
         try:
-            if not self.exists(name):
-                self.write(name, df)
-                return True
-            df.write.mode("errorifexists").parquet(stage)
-            fs, p = self._jvm_fs(stage)
-            moved: list[str] = []
-            for status in fs.listStatus(p):
-                file = status.getPath().getName()
-                if file.startswith(("_", ".")):
-                    continue
-                target = f"{self.path(name)}/{file}"
-                if not self.rename(f"{stage}/{file}", target):
-                    for done in moved:
-                        self.delete(done)
-                    raise OSError(f"could not move {file} into {name}")
-                moved.append(target)
-            self.delete(stage)
+            change = self.transaction(commit)
+            change.append(name, df)
+            change.commit()
             return True
         except Exception as error:  # noqa: BLE001 - the statement's contract is a bool
             self.last_error = str(error)
@@ -140,36 +96,41 @@ class Warehouse:
     # S6 / S7 ------------------------------------------------------------------
     def truncate(self, name: str) -> None:
         """TRUNCATE TABLE: keep the schema, drop every row."""
-        if self.exists(name):
-            self.write(name, create_like(self.read(name)))
+        self.reset_targets([name], [])
 
     def drop(self, name: str) -> None:
         """DROP TABLE IF EXISTS."""
-        if self.exists(name):
-            fs, p = self._jvm_fs(self.path(name))
-            fs.delete(p, True)
-
-    def reset_targets(self, truncate: Iterable[str], drop: Iterable[str]) -> None:
-        """Empty the target tables and drop the working tables before a pass."""
-        for name in truncate:
-            self.truncate(name)
+        self.reset_targets([], [name])
+
+    def reset_targets(self, truncate: Iterable[str], drop: Iterable[str], commit: str | None = None) -> None:
+        """Empty the target tables and drop the working tables before a
+        pass, all in one commit.  Tables that aren't there are passed over."""
+        change = self.transaction(commit)
+        for name in dict.fromkeys(truncate):
+            if name in change.base.tables:
+                change.empty(name)
         for name in dict.fromkeys(drop):
-            self.drop(name)
+            change.drop(name)
+        if change.changes:
+            change.commit()
 
     def cleanup_working(self, names: Iterable[str]) -> None:
-        """Drop the working tables between passes."""
-        for name in dict.fromkeys(names):
-            self.drop(name)
+        """Drop the working tables between passes, in one commit."""
+        self.reset_targets([], names)
 
     # S8 / S9 ------------------------------------------------------------------
-    def archive_swap(self, name: str, clean: DataFrame, archive_suffix: str = "_with_dups") -> None:
-        """The original moves to name + suffix, the cleaned table takes its place.
-        The clean table is staged first (it is usually computed from the original)."""
-        stage = self.path(f"_stage_{name}_{uuid.uuid4().hex}")
-        clean.write.mode("errorifexists").parquet(stage)
+    def archive_swap(self, name: str, clean: DataFrame, archive_suffix: str = "_with_dups", commit: str | None = None) -> str:
+        """The original moves to name + suffix, the cleaned table takes its
+        place, both in one commit; no data of the original move.  An archive
+        that is there is an error (as for RENAME): it holds an original.
+        Returns the archive's name."""
+        change = self.transaction(commit)
         archived = name + archive_suffix
-        self.drop(archived)
-        self.swap(stage, self.path(name), self.path(archived), keep_old=True)
+        if not change.done:
+            change.rename(name, archived)
+            change.write(name, clean)
+        change.commit()
+        return archived
 
     def log_fixed_terms(self, fixes: DataFrame, name: str = "acc_fixed_term_names") -> DataFrame:
         """Audit table (tid unique, name) of repaired term names."""

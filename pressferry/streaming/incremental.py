@@ -2,22 +2,21 @@
 
 The reference has no streams; this module only lets the same batch
 operators run as new source rows arrive.  Each micro-batch is transformed by
-the batch function and upserted (REPLACE, K1) into a warehouse table with a
-staged swap.  REPLACE is idempotent, so a micro-batch replayed after a
+the batch function and upserted (REPLACE, K1) into a warehouse table in one
+commit.  REPLACE is idempotent, so a micro-batch replayed after a
 failure (Structured Streaming's at-least-once ``foreachBatch``) leaves the same
 table; the stream's own checkpoint records the progress.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pressferry.operators.dml import replace_into
+from pressferry.plans.manifest import bucket_of
 from pressferry.plans.sinks import Warehouse
 
 
@@ -40,46 +39,32 @@ def upsert_batches(warehouse: Warehouse, table: str, transform: Callable[[DataFr
     return handle
 
 
-BUCKET = "_bucket"
-
-
 def upsert_bucketed(warehouse: Warehouse, table: str, transform: Callable[[DataFrame], DataFrame],
                     key: str, order: Sequence[str] = (), *, buckets: int = 64,
                     empty: DataFrame | None = None,
                     incoming_unique: bool = False) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function that REPLACEs into a table partitioned by a
-    hash bucket of its single unique key and rewrites only the buckets the
-    micro-batch touches (a row can only conflict inside its own bucket).
+    """A ``foreachBatch`` function that REPLACEs into a table cut into buckets
+    by a hash of its single unique key and rewrites only the buckets the
+    micro-batch touches (a row can only conflict inside its own bucket), all of
+    them in one commit.
 
     The touched bucket numbers (at most ``buckets`` small integers, a bound
-    set by the parameter) are the only values brought to the driver; each
-    touched bucket is written to a stage and then swapped in.
+    set by the parameter) are the only values brought to the driver.
     """
-    bucket_of = F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int")
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
-        incoming = transform(batch).withColumn(BUCKET, bucket_of)
-        touched = sorted(r[0] for r in incoming.select(BUCKET).distinct().collect())
+        incoming = transform(batch)
+        touched = sorted(r[0] for r in incoming.select(bucket_of([key], buckets).alias("b")).distinct().collect())
         if not touched:
             return
-        if warehouse.exists(table):
-            live = warehouse.read(table)
-            existing = live.where(F.col(BUCKET).isin(touched))  # partition pruning
+        change = warehouse.transaction()
+        if table not in change.base.tables:
+            existing = empty if empty is not None else incoming.limit(0)
+            change.write(table, replace_into(existing, incoming, [key], order, incoming_unique=incoming_unique), keys=[key], buckets=buckets)
         else:
-            base = empty if empty is not None else transform(batch).limit(0)
-            existing = base.withColumn(BUCKET, bucket_of)
-        result = replace_into(existing, incoming, [key], order, incoming_unique=incoming_unique)
-        stage = warehouse.path(f"_stage_{table}_{uuid.uuid4().hex}")
-        result.write.partitionBy(BUCKET).parquet(stage)
-        fs, live_path = warehouse._jvm_fs(warehouse.path(table))
-        if not fs.exists(live_path):
-            fs.mkdirs(live_path)
-        for b in touched:
-            # A REPLACE never empties a bucket it touches, so each has a stage.
-            folder = f"{BUCKET}={b}"
-            warehouse.swap(f"{stage}/{folder}", f"{warehouse.path(table)}/{folder}",
-                           f"{warehouse.path(table)}/_old_{folder}_{uuid.uuid4().hex}")
-        warehouse.delete(stage)
+            existing = change.base.read(table, touched)
+            change.replace_buckets(table, replace_into(existing, incoming, [key], order, incoming_unique=incoming_unique), touched)
+        change.commit()
 
     return handle
 

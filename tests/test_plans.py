@@ -183,28 +183,6 @@ def test_safe_repair_passes_the_gate_and_keeps_every_term(spark):
     assert audit.dup_term_names(fixed).count() == 0 and audit.terms_too_long(fixed).count() == 0
 
 
-def test_swap_survives_a_rename_that_fails(spark, tmpdir_path, monkeypatch):
-    wh = sinks.Warehouse(spark, tmpdir_path)
-    wh.write("t", spark.range(4))
-    real = sinks.Warehouse.rename
-    for failing in (1, 2):
-        calls = []
-
-        def rename(self, source, target, failing=failing, calls=calls):
-            calls.append(source)
-            return False if len(calls) == failing else real(self, source, target)
-
-        monkeypatch.setattr(sinks.Warehouse, "rename", rename)
-        with pytest.raises(OSError):
-            wh.write("t", spark.range(9))
-        monkeypatch.setattr(sinks.Warehouse, "rename", real)
-        assert wh.read("t").count() == 4
-    monkeypatch.setattr(sinks.Warehouse, "rename", lambda self, a, b: False)
-    assert wh.append("t", spark.range(2)) is False and "could not move" in wh.last_error
-    monkeypatch.setattr(sinks.Warehouse, "rename", real)
-    assert wh.read("t").count() == 4 and wh.append("t", spark.range(2)) and wh.read("t").count() == 6
-
-
 def test_single_passes_equal_the_statement_chain(spark):
     from pressferry.operators import terms
     from pressferry.queries import Run
