@@ -113,6 +113,32 @@ VIEWS: dict[str, str] = {
         SELECT CAST(s_suppkey * 7 + 1 AS BIGINT) AS term_id, s_name AS name,
                replace(lower(s_name), ' ', '_') AS slug, CAST(0 AS BIGINT) AS term_group
         FROM supplier""",
+    "wp_posts0": f"""
+        SELECT CAST(CASE WHEN doc_id % 2 = 0 THEN doc_id + 1 ELSE doc_id + 1000000001 END AS BIGINT) AS id,
+               CAST(doc_id % 100 + 1 AS BIGINT) AS post_author, {EPOCH} + to_seconds(86400 * doc_id) AS post_date,
+               'earlier <img src="/files/' || CAST(doc_id AS VARCHAR) || '.png">' AS post_content,
+               'Earlier post ' || CAST(doc_id AS VARCHAR) AS post_title, '' AS post_excerpt,
+               'earlier-' || CAST(doc_id AS VARCHAR) AS post_name, {EPOCH} + to_seconds(86400 * (doc_id + 1)) AS post_modified,
+               CASE WHEN doc_id % 4 = 0 THEN 'page' WHEN doc_id % 4 = 1 THEN 'post' ELSE 'story' END AS post_type,
+               CASE WHEN doc_id % 5 = 0 THEN 'private' ELSE 'publish' END AS post_status,
+               '' AS to_ping, '' AS pinged, '' AS post_content_filtered, CAST(doc_id % 3 AS BIGINT) AS comment_count
+        FROM documents WHERE doc_id % 3 = 0""",
+    "wp_comments0": f"""
+        SELECT CAST(CASE WHEN event_id % 40 = 0 THEN event_id + 1 ELSE event_id + 1000000001 END AS BIGINT) AS comment_ID,
+               CAST(event_id % 500 + 1 AS BIGINT) AS comment_post_ID, {EPOCH} + to_seconds(event_id * 60) AS comment_date,
+               'earlier comment ' || CAST(event_id AS VARCHAR) AS comment_content, CAST(0 AS BIGINT) AS comment_parent,
+               'earlier' AS comment_author, 'earlier@example.org' AS comment_author_email, '' AS comment_author_url,
+               '1' AS comment_approved
+        FROM events WHERE event_id % 20 = 0""",
+    "wp_term_taxonomy0": """
+        SELECT CAST(CASE WHEN p_partkey % 20 = 0 THEN p_partkey + 1 ELSE p_partkey + 1000000001 END AS BIGINT) AS term_taxonomy_id,
+               CAST(p_partkey + 1 AS BIGINT) AS term_id,
+               CASE WHEN p_partkey % 30 = 0 THEN 'category' ELSE 'post_tag' END AS taxonomy,
+               'earlier ' || CAST(p_partkey AS VARCHAR) AS description, CAST(0 AS BIGINT) AS parent, CAST(7 AS BIGINT) AS count
+        FROM part WHERE p_partkey % 10 = 0""",
+    "wp_term_relationships0": """
+        SELECT CAST(o_orderkey + 1 AS BIGINT) AS object_id, CAST(o_custkey + 1000000001 AS BIGINT) AS term_taxonomy_id
+        FROM orders WHERE o_orderkey % 10 = 0""",
     "wp_options0": _values(WP_OPTION_ROWS, ["option_name", "option_value"]) + """
         UNION ALL
         SELECT 'wp_widget_' || CAST(s_suppkey AS VARCHAR), s_name FROM supplier""",
@@ -127,7 +153,7 @@ ORDER = [
     "users", "node", "node_revisions", "node_type", "url_alias", "vocabulary", "term_data",
     "term_node", "comments", "variable", "system_", "users_roles", "acc_categories_from_client",
     "content_field_teaser", "content_type_press", "wp_users0", "wp_terms0", "wp_options0",
-    "wp_usermeta0",
+    "wp_usermeta0", "wp_posts0", "wp_comments0", "wp_term_taxonomy0", "wp_term_relationships0",
 ]
 
 DEPS = {
@@ -159,4 +185,4 @@ def with_views(ctes: list[tuple[str, str]], body: str) -> str:
     parts += [f"{name} AS ({sql})" for name, sql in ctes]
     if not parts:
         return body
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body

@@ -103,25 +103,41 @@ def count_by_type(node: DataFrame, node_type: DataFrame) -> DataFrame:
 
 # D8 - D11 ------------------------------------------------------------------
 
-# Collation that makes 'Foo' and 'foo ' equal (case and trailing spaces ignored).
+# The collation of a case-insensitive database: 'Foo', 'foo ' and 'FOO' are equal.
 CI_COLLATION = "UTF8_LCASE_RTRIM"
+# Case, accents and trailing blanks: also 'Étage' and 'etage'.
+CI_AI_COLLATION = "UNICODE_CI_AI_RTRIM"
+COLLATIONS = {"ci": CI_COLLATION, "ci_ai": CI_AI_COLLATION}
 
 
-def ci_key(column: str) -> Column:
-    """What two values share that a case-insensitive database holds equal."""
-    return F.lower(F.rtrim(F.col(column)))
+def collated(column: str, collation: str) -> Column:
+    """The column under the rules of the target database: ``'ci'``, ``'ci_ai'`` or
+    the name of a Spark collation.  The one key type of audit, repair and
+    upsert: group-bys and joins on it agree, whatever the letters."""
+    return F.collate(F.col(column), COLLATIONS.get(collation, collation))
+
+
+def collate_columns(df: DataFrame, collation: str, columns: list[str]) -> DataFrame:
+    """Give key columns the collation as their type, so that K1-K3, K6 and K10
+    compare them by it."""
+    return df.select(*[collated(c, collation).alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def shown(column: Column | str) -> Column:
+    """How a group of equal names is reported: one of them (the smallest in
+    lower case), without trailing blanks."""
+    return F.min(F.lower(F.rtrim(F.collate(column, "UTF8_BINARY"))))
 
 
 def dup_term_names(term_data: DataFrame, *, strict: bool = False, collation: str | None = None) -> DataFrame:
     """One row per duplicated name (the NULL name counts as a group);
     ``tid`` is the group's smallest.  ``strict`` groups by (name, tid).
-    ``collation='ci'`` compares names as a case-insensitive database would
-    (the name reported is the group's lower-cased, right-trimmed form)."""
-    if collation == "ci":
-        g = term_data.groupBy(F.collate("name", CI_COLLATION).alias("_k")).agg(
-            F.count(F.lit(1)).alias("c"), F.min("tid").alias("tid"))
-        return g.where(F.col("c") > 1).select(
-            "tid", F.collate(F.lower(F.rtrim("_k")), "UTF8_BINARY").alias("name"), "c")
+    ``collation`` compares names as the target database would (``collated``);
+    the name reported is then one of the group's, lower-cased and trimmed."""
+    if collation:
+        g = term_data.groupBy(collated("name", collation).alias("_k")).agg(
+            F.count(F.lit(1)).alias("c"), F.min("tid").alias("tid"), shown("name").alias("name"))
+        return g.where(F.col("c") > 1).select("tid", "name", "c")
     keys = ["name", "tid"] if strict else ["name"]
     g = term_data.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min("tid").alias("_tid"))
     return g.where(F.col("c") > 1).select(F.col("_tid").alias("tid"), "name", "c")
@@ -129,11 +145,11 @@ def dup_term_names(term_data: DataFrame, *, strict: bool = False, collation: str
 
 def dup_term_members(term_data: DataFrame, *, strict: bool = False, collation: str | None = None) -> DataFrame:
     """Every (tid, name) whose name occurs more than once; NULL names
-    excluded (COUNT(name) and an equality join).  ``collation='ci'`` as in D8."""
-    if collation == "ci":
-        dup = (term_data.where(F.col("name").isNotNull()).groupBy(ci_key("name").alias("_k"))
+    excluded (COUNT(name) and an equality join).  ``collation`` as in D8."""
+    if collation:
+        dup = (term_data.where(F.col("name").isNotNull()).groupBy(collated("name", collation).alias("_k"))
                .agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1).select("_k"))
-        return term_data.join(dup, ci_key("name") == F.col("_k"), "left_semi").select("tid", "name")
+        return term_data.join(dup, collated("name", collation) == F.col("_k"), "left_semi").select("tid", "name")
     keys = ["name", "tid"] if strict else ["name"]
     dup = (term_data.where(F.col("name").isNotNull()).groupBy(*keys)
            .agg(F.count("name").alias("c")).where(F.col("c") > 1).select("name"))
@@ -148,10 +164,10 @@ def terms_too_long(term_data: DataFrame, limit: int = TERM_NAME_LIMIT) -> DataFr
 
 
 def dup_aliases(url_alias: DataFrame, *, strict: bool = False, collation: str | None = None) -> DataFrame:
-    """One row per path with several aliases; ``collation='ci'`` as in D8."""
-    if collation == "ci":
-        g = url_alias.groupBy(ci_key("src").alias("src")).agg(F.count(F.lit(1)).alias("c"), F.min("pid").alias("_pid"))
-        return g.where(F.col("c") > 1).select(F.col("_pid").alias("pid"), "src", "c")
+    """One row per path with several aliases; ``collation`` as in D8."""
+    if collation:
+        g = url_alias.groupBy(collated("src", collation).alias("_k")).agg(F.count(F.lit(1)).alias("c"), F.min("pid").alias("pid"), shown("src").alias("src"))
+        return g.where(F.col("c") > 1).select("pid", "src", "c")
     keys = ["src", "pid"] if strict else ["src"]
     g = url_alias.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.min("pid").alias("_pid"))
     return g.where(F.col("c") > 1).select(F.col("_pid").alias("pid"), "src", "c")

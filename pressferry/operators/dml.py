@@ -183,11 +183,86 @@ def insert_ignore(existing: DataFrame, incoming: DataFrame, key: Key | None = No
     return existing.unionByName(fresh).unionByName(incoming.where(~_not_null(kc)))
 
 
+def insert_ignore_keys(existing: DataFrame, incoming: DataFrame, keys: Sequence[Key], order: Sequence[str], *,
+                       defaults: Mapping[str, object] | None = None, rounds: list[dict] | None = None) -> DataFrame:
+    """INSERT IGNORE with several unique keys: the batch goes in ``order`` (a
+    total one), and a row is left out if an existing row, or a row of the batch
+    that went in before, equals it on any key.  NULL keys never conflict.
+
+    What goes in is the lexicographically first independent set of the rows, of
+    which two are neighbours if they share a key value.  It is found in rounds
+    over narrow rows (row number, group numbers), each cut by a reliable
+    checkpoint:
+
+    * a row that is first in all its groups goes in;
+    * a row with exactly one undecided row before it, in all its groups together,
+      does the opposite of that one; such rows form chains, which are followed by
+      pointer doubling, so a chain of n rows takes log2(n) steps of one round;
+    * rows that share a group with one that went in are left out.
+
+    So only rows behind two or more undecided ones wait for the next round.  The
+    number of rounds is at most the number of such rows on one path of conflicts
+    (a few in practice, logarithmic for a random order); ``rounds`` gets a record
+    of each.
+    """
+    extra = [c for c in order if c not in existing.columns]
+    incoming = with_defaults(incoming, existing, defaults, keep=extra)
+    for n, key in enumerate(keys):
+        kc = _key_cols(key)
+        taken = _renamed(existing.where(_not_null(kc)), kc, f"_t{n}k").distinct()
+        incoming = incoming.join(taken, _match_eq(kc, f"_t{n}k"), "left_anti")
+    rows = numbered(incoming, order, "_rn")
+    narrow = rows.select("_rn", *dict.fromkeys(c for key in keys for c in _key_cols(key)))
+    entries = None
+    for n, key in enumerate(keys):
+        kc = _key_cols(key)
+        groups = narrow.where(_not_null(kc)).groupBy(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(kc)]).agg(F.min("_rn").alias("g"), F.count(F.lit(1)).alias("_n"))
+        shared = groups.where("_n > 1").drop("_n")  # alone in its group: no conflict there
+        one = narrow.join(shared, _match_eq(kc, "_g")).select(F.lit(n).alias("k"), "g", "_rn")
+        entries = one if entries is None else entries.unionByName(one)
+    open_rows = settled(entries)
+    left_out = None
+    while (undecided := open_rows.select("_rn").distinct().count()):
+        accepted, steps = _decided(open_rows)
+        held = open_rows.join(accepted, "_rn", "left_semi").select("k", "g").distinct()
+        struck = settled(open_rows.join(held, ["k", "g"], "left_semi").select("_rn").distinct().join(accepted, "_rn", "left_anti"))
+        open_rows = settled(open_rows.join(struck, "_rn", "left_anti").join(accepted, "_rn", "left_anti"))
+        left_out = struck if left_out is None else left_out.unionByName(struck)
+        if rounds is not None:
+            rounds.append({"undecided": undecided, "accepted": accepted.count(), "left_out": struck.count(), "chain_steps": steps})
+    fresh = rows if left_out is None else rows.join(left_out, "_rn", "left_anti")
+    return existing.unionByName(fresh.select(*existing.columns))
+
+
+def _decided(open_rows: DataFrame) -> tuple[DataFrame, int]:
+    """_rn of the rows that go in by what is known now, and the number of
+    doubling steps."""
+    first = open_rows.groupBy("k", "g").agg(F.min("_rn").alias("first"))
+    led = open_rows.join(first, ["k", "g"])
+    second = led.where("_rn > first").groupBy("k", "g").agg(F.min("_rn").alias("second"))
+    before = (led.join(second, ["k", "g"], "left")
+              .withColumn("before", F.when(F.col("_rn") > F.col("first"), F.col("first")))
+              .withColumn("more", F.col("_rn") > F.coalesce("second", "_rn")))
+    waits = settled(before.groupBy("_rn").agg(F.max("more").alias("more"), F.min("before").alias("to"), F.max("before").alias("also")))
+    free = waits.where("to IS NULL").select("_rn")
+    chain = waits.where("NOT more AND to = also").select("_rn", "to", F.lit(True).alias("odd"))
+    steps = 0
+    while True:
+        onward = chain.select(F.col("_rn").alias("to"), F.col("to").alias("next"), F.col("odd").alias("odd_next"))
+        moved = chain.join(onward, "to", "left")
+        if moved.where("next IS NOT NULL").isEmpty():
+            break
+        chain = settled(moved.select("_rn", F.coalesce("next", "to").alias("to"), (F.col("odd") != F.coalesce("odd_next", F.lit(False))).alias("odd")))
+        steps += 1
+    follows = chain.where("NOT odd").join(free.select(F.col("_rn").alias("to")), "to", "left_semi").select("_rn")
+    return settled(free.unionByName(follows)), steps
+
+
 # K3 ------------------------------------------------------------------------
 
 def insert(existing: DataFrame, incoming: DataFrame, key: Key | Sequence[Key] | None = None, *,
            defaults: Mapping[str, object] | None = None, check: bool = True,
-           incoming_unique: bool = False) -> DataFrame:
+           incoming_unique: bool = False, few: bool = False) -> DataFrame:
     """INSERT: append; a duplicate key is an error (raised when the result is
     computed).  ``key``: one unique key (a column or a tuple of columns), or a
     list of them.
@@ -196,7 +271,10 @@ def insert(existing: DataFrame, incoming: DataFrame, key: Key | Sequence[Key] |
     map-side) finds the values that an incoming row shares with any other row;
     one join brings the finding back to the incoming rows.  The existing rows
     pass through untouched.  ``incoming_unique`` (e.g. a DISTINCT on exactly the
-    key) says that the batch doesn't repeat its key.
+    key) says that the batch doesn't repeat its key: then one join with the
+    distinct existing keys is all (an existing key that comes twice is one).
+    ``few``: the batch is a few rows; the existing keys are only looked up by a
+    semi join with it (broadcast at run time), not shuffled.
     """
     incoming = with_defaults(incoming, existing, defaults)
     if key is None or not check:
@@ -207,10 +285,17 @@ def insert(existing: DataFrame, incoming: DataFrame, key: Key | Sequence[Key] |
         names = [f"_dk{i}_{j}" for j in range(len(kc))]
         keys = lambda df, new: df.where(_not_null(kc)).select(
             *[F.col(c).alias(n) for c, n in zip(kc, names, strict=True)], F.lit(new).alias("_new"))  # noqa: B023
-        taken = (keys(existing, 0).unionByName(keys(incoming, 1)).groupBy(*names)
-                 .agg(F.sum("_new").alias("_in"), F.count(F.lit(1)).alias("_all"))
-                 .where((F.col("_in") > 0) & (F.col("_all") > (F.col("_in") if incoming_unique else F.lit(1))))
-                 .select(*names, F.lit(True).alias(f"_dup{i}")))
+        if incoming_unique:
+            taken = keys(existing, 0).drop("_new").distinct().withColumn(f"_dup{i}", F.lit(True))
+        else:
+            old = keys(existing, 0)
+            if few:
+                mine = _renamed(incoming.where(_not_null(kc)), kc, f"_few{i}_").distinct()
+                old = old.join(mine, _match_eq(names, f"_few{i}_"), "left_semi")
+            taken = (old.unionByName(keys(incoming, 1)).groupBy(*names)
+                     .agg(F.sum("_new").alias("_in"), F.count(F.lit(1)).alias("_all"))
+                     .where((F.col("_in") > 0) & (F.col("_all") > 1))
+                     .select(*names, F.lit(True).alias(f"_dup{i}")))
         on = reduce(lambda a, b: a & b, [F.col(c) == F.col(n) for c, n in zip(kc, names, strict=True)])
         guard = F.when(F.col(f"_dup{i}"), F.raise_error(F.lit(f"duplicate key {list(kc)} on INSERT"))).otherwise(F.lit(True))
         checked = checked.join(taken, on, "left").where(guard.cast("boolean")).select(*incoming.columns)
@@ -219,43 +304,67 @@ def insert(existing: DataFrame, incoming: DataFrame, key: Key | Sequence[Key] |
 
 # K4 ------------------------------------------------------------------------
 
-def insert_auto_id(existing: DataFrame, incoming: DataFrame, id_col: str,
-                   order: Sequence[str], *, defaults: Mapping[str, object] | None = None
-                   ) -> DataFrame:
-    """INSERT with an AUTO_INCREMENT key: new ids are max(existing)+1, +2, ...
-    in ``order`` order (dense, deterministic).
+def settled(df: DataFrame) -> DataFrame:
+    """Computed now and kept in the reliable checkpoint folder."""
+    from pressferry.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    ``order`` should end with a column that tells rows apart (a source id):
-    equal order tuples can't be split over range partitions, so without one a
-    name that a third of the rows share would sort in one task.
 
-    Distributed: the batch is range-sorted and written to the reliable
+def numbered(df: DataFrame, order: Sequence[str], name: str, base: Column | int = 0) -> DataFrame:
+    """The rows with a dense number base + 1, + 2, ... in ``order``.
+
+    Distributed: the rows are range-sorted and written to the reliable
     checkpoint directory (stable partitions), each partition's row count
-    gives its offset (one row per partition, a bounded table), and ids are
-    ``base + offset + index within partition``.  No single-partition window.
-    """
-    from pressferry.session import ensure_checkpoint_dir
+    gives its offset (one row per partition, a bounded table), and numbers are
+    ``base + offset + index within partition``.  No single-partition window."""
+    from pyspark.sql import Window
 
-    spark = incoming.sparkSession
-    ensure_checkpoint_dir(spark)
-    payload = [c for c in incoming.columns if c != id_col]
-    ranked = incoming.select(*payload).orderBy(*order).checkpoint(eager=True)
-    tagged = ranked.withColumn("_part", F.spark_partition_id()).withColumn(
-        "_mono", F.monotonically_increasing_id())
+    ranked = settled(df.orderBy(*order))
+    tagged = ranked.withColumn("_part", F.spark_partition_id()).withColumn("_mono", F.monotonically_increasing_id())
     # monotonically_increasing_id = (partition << 33) + index within partition
     tagged = tagged.withColumn("_idx", F.col("_mono") - F.shiftleft(F.col("_part").cast("bigint"), 33))
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
     # One row per partition: the window runs over a table bounded by the
     # partition count, not by the data.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    base = F.lit(base) if isinstance(base, int) else base
+    return (tagged.join(F.broadcast(offsets), "_part").withColumn(name, base + F.col("_off") + F.col("_idx") + 1)
+            .drop("_part", "_mono", "_idx", "_off"))
+
+
+def insert_auto_id(existing: DataFrame, incoming: DataFrame, id_col: str,
+                   order: Sequence[str], *, defaults: Mapping[str, object] | None = None,
+                   bounded: bool = False, only_new: bool = False) -> DataFrame:
+    """INSERT with an AUTO_INCREMENT key: new ids are max(existing)+1, +2, ...
+    in ``order`` order (dense, deterministic).
+
+    ``order`` should end with a column that tells rows apart (a source id):
+    equal order tuples can't be split over range partitions, so without one a
+    name that a third of the rows share would sort in one task.
+
+    ``bounded``: the caller has bounded the batch by a parameter (a list of
+    ids), so its rows are numbered as one sorted array, in the same plan and
+    without a job of their own; any other batch is numbered by :func:`numbered`.
+    ``only_new``: the inserted rows without the existing ones.
+    """
+    payload = [c for c in incoming.columns if c != id_col]
     base = existing.select(F.coalesce(F.max(id_col), F.lit(0)).cast("bigint")).scalar()
-    numbered = tagged.join(F.broadcast(offsets), "_part").withColumn(
-        id_col, base + F.col("_off") + F.col("_idx") + 1)
-    return insert(existing, numbered.drop("_part", "_mono", "_idx", "_off"), id_col,
-                  defaults=defaults, check=False)
+    into = create_empty(existing) if only_new else existing
+    if not bounded:
+        return insert(into, numbered(incoming.select(*payload), order, id_col, base), id_col, defaults=defaults, check=False)
+    row = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], *[F.col(c) for c in payload])
+    listed = incoming.agg(F.sort_array(F.collect_list(row)).alias("rows")).select(F.posexplode("rows").alias("_at", "_row"))
+    fresh = listed.select((base + F.col("_at") + 1).alias(id_col), *[F.col(f"_row.{c}").alias(c) for c in payload])
+    return insert(into, fresh, id_col, defaults=defaults, check=False)
+
+
+def create_empty(df: DataFrame) -> DataFrame:
+    """No rows, the same schema, no lineage.  The false filter lets the
+    optimizer drop all that is joined to it."""
+    return df.sparkSession.createDataFrame([], df.schema).where(F.lit(False))
 
 
 # K5 ------------------------------------------------------------------------

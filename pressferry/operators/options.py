@@ -7,9 +7,10 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pressferry.functions.serialized import decode_scalar
+from pressferry.functions.serialized import decode_scalar, replace_serialized
 from pressferry.operators.dml import update_scalar_lookup, update_where
 
+# Fixed value: the permalink structure of the target.
 PERMALINK = "/%postname%/"
 
 
@@ -55,6 +56,13 @@ def rekey_prefix(df: DataFrame, column: str, old: str, new: str) -> DataFrame:
     return update_where(df, None, {column: F.replace(F.col(column), F.lit(old), F.lit(new))})
 
 
+def replace_in_values(df: DataFrame, column: str, old: str, new: str) -> DataFrame:
+    """O17 / M27 on a column of settings: literal replace in plain and in
+    serialized values, whose lengths are mended (a plain replace would leave
+    values that can't be read back)."""
+    return update_where(df, None, {column: replace_serialized(column, old, new)})
+
+
 # The exact key renames of the sample's second option.
 META_KEY_RENAMES = {
     "wp_capabilities": "newprefix_usermeta",

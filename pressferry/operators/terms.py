@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressferry.functions.scalars import slug
@@ -14,6 +14,7 @@ from pressferry.operators.dml import (
     insert,
     insert_auto_id,
     replace_into,
+    settled,
     update_from_join,
     update_where,
     update_with_count,
@@ -78,10 +79,12 @@ def category_terms(term_data: DataFrame, categories: DataFrame, wp_terms: DataFr
 
 
 def uncategorized_term(wp_terms: DataFrame, name: str = "Uncategorized",
-                       term_slug: str = "uncategorized") -> DataFrame:
-    """M8: INSERT one literal term; its id is assigned as max + 1."""
+                       term_slug: str = "uncategorized", *, after: Column | None = None) -> DataFrame:
+    """M8: INSERT one literal term; its id is assigned as max + 1.  ``after``:
+    the largest id, where ``wp_terms`` is only a part of the table."""
     # One row: its id needs the largest id only, no ranking of a batch.
-    row = wp_terms.agg((F.coalesce(F.max("term_id"), F.lit(0)).cast("bigint") + 1).alias("term_id")).select(
+    top = F.coalesce(F.max("term_id"), F.lit(0)).cast("bigint") if after is None else F.coalesce(F.max("term_id") * 0, F.lit(0)).cast("bigint") + after
+    row = wp_terms.agg((top + 1).alias("term_id")).select(
         "term_id", F.lit(name).alias("name"), F.lit(term_slug).alias("slug"), F.lit(0).cast("bigint").alias("term_group"))
     return insert(wp_terms, row, check=False)
 
@@ -130,7 +133,7 @@ def uncategorized_taxonomy(wp_terms: DataFrame, taxonomy: DataFrame,
         F.col("term_id").alias("term_taxonomy_id"), "term_id", F.lit("category").alias("taxonomy"),
         F.col("name").alias("description"), F.lit(0).cast("bigint").alias("parent"),
         F.lit(0).cast("bigint").alias("count")).distinct()
-    return insert(taxonomy, rows, TAXONOMY_KEYS)
+    return insert(taxonomy, rows, TAXONOMY_KEYS, few=True)
 
 
 # The taxonomy chain as single passes ----------------------------------------------
@@ -189,35 +192,68 @@ def term_counts(taxonomy: DataFrame, relationships: DataFrame) -> DataFrame:
                              "count", count_col="object_id")
 
 
-def fix_taxonomy_ids(relationships: DataFrame, taxonomy: DataFrame) -> DataFrame:
+def fix_taxonomy_ids(relationships: DataFrame, taxonomy: DataFrame, steps: list[int] | None = None) -> DataFrame:
     """UPDATE IGNORE relationship.term_taxonomy_id <- taxonomy.term_taxonomy_id
     where it equals taxonomy.term_id.
 
     Where several taxonomy rows share a term_id the smallest
-    term_taxonomy_id is used.  IGNORE: a row keeps its old value if its new
-    pair is held by any row before the statement (also by one that moves away
-    itself: it may be refused), or is also the target of a row with a smaller
-    old id.  So no pair can come to stand twice.
-
-    One aggregate over old and target pairs (is it held? which changed row
-    comes first?) and one join back; no all-pairs step.
+    term_taxonomy_id is used.  The rows of an object are updated one after the
+    other, ascending by their old id.  IGNORE: a row keeps its old value if a row
+    holds its new pair at that moment, one that is still to come or one that has
+    moved there.  So no pair can come to stand twice.
+
+    One aggregate over old and target pairs tells each row whether its target
+    is held and which row comes first to it.  Of the rows that want a free pair
+    the first moves.  Of those that want a held one only the first that comes
+    after the holder can move, and does if the holder has moved away: it waits
+    for a row with a smaller id, so these waits are chains without cycles (in a
+    cycle of wishes the smallest id finds its target held, and stays).  They are
+    followed by pointer doubling, log2 of the longest chain in ``steps``.
     """
     mapped = update_from_join(
         relationships.withColumn("_old", F.col("term_taxonomy_id")),
-        taxonomy.select("term_id", "term_taxonomy_id"),
+        taxonomy.select("term_id", "term_taxonomy_id").distinct(),
         {"term_taxonomy_id": "term_id"}, {"term_taxonomy_id": "term_taxonomy_id"},
         source_order=["term_taxonomy_id"])
-    same = F.col("term_taxonomy_id").eqNullSafe(F.col("_old"))
+    mapped = mapped.select("object_id", "_old", F.col("term_taxonomy_id").alias("_new"))
+    changed = ~F.col("_new").eqNullSafe(F.col("_old"))
+    later = F.when(changed & (F.col("_old") > F.col("_new")), F.col("_old"))
     pairs = mapped.select("object_id", F.explode(F.array(
-        F.struct(F.col("_old").alias("_t_tt"), F.lit(1).alias("_h"), F.lit(None).cast("bigint").alias("_o")),
-        F.struct(F.col("term_taxonomy_id").alias("_t_tt"), F.lit(0).alias("_h"), F.when(~same, F.col("_old")).alias("_o")))).alias("p"))
+        F.struct(F.col("_old").alias("_t_tt"), F.lit(1).alias("_h"), F.lit(None).cast("bigint").alias("_o"), F.lit(None).cast("bigint").alias("_l")),
+        F.struct(F.col("_new").alias("_t_tt"), F.lit(0).alias("_h"), F.when(changed, F.col("_old")).alias("_o"), later.alias("_l")))).alias("p"))
     per_target = pairs.groupBy(F.col("object_id").alias("_t_obj"), F.col("p._t_tt").alias("_t_tt")).agg(
-        F.max("p._h").alias("_held"), F.min("p._o").alias("_first_old"))
-    on = F.col("object_id").eqNullSafe(F.col("_t_obj")) & F.col("term_taxonomy_id").eqNullSafe(F.col("_t_tt"))
-    joined = mapped.join(per_target, on, "left")
-    applied = same | ((F.col("_held") == 0) & F.col("_old").eqNullSafe(F.col("_first_old")))
-    return joined.select("object_id", F.when(applied, F.col("term_taxonomy_id"))
-                         .otherwise(F.col("_old")).alias("term_taxonomy_id"))
+        F.max("p._h").alias("_held"), F.min("p._o").alias("_first"), F.min("p._l").alias("_first_later"))
+    on = F.col("object_id").eqNullSafe(F.col("_t_obj")) & F.col("_new").eqNullSafe(F.col("_t_tt"))
+    moves = F.when(~changed, F.lit(False)).when(F.col("_held") == 0, F.col("_old").eqNullSafe(F.col("_first"))).when(
+        ~F.col("_old").eqNullSafe(F.col("_first_later")), F.lit(False))  # NULL: it waits for the holder
+    rows = settled(mapped.join(per_target, on, "left").select("object_id", "_old", "_new", moves.alias("_moves")))
+
+    waiting = rows.where("_moves IS NULL").select("object_id", "_old", F.col("_new").alias("_for"))
+    holders = rows.select("object_id", "_old", "_moves").join(
+        waiting.select(F.col("object_id").alias("_w_obj"), F.col("_for").alias("_w_for")), F.col("object_id").eqNullSafe(F.col("_w_obj")) & (F.col("_old") == F.col("_w_for")), "left_semi")
+    fixed = holders.where("_moves IS NOT NULL")
+    known = None
+    count = 0
+    waiting = settled(waiting)
+    fixed = settled(fixed)
+    while not waiting.isEmpty():
+        ends = fixed.select(F.col("object_id").alias("_e_obj"), F.col("_old").alias("_e_old"), F.col("_moves").alias("_found"), F.lit(None).cast("bigint").alias("_next")).unionByName(
+            waiting.select(F.col("object_id").alias("_e_obj"), F.col("_old").alias("_e_old"), F.lit(None).cast("boolean").alias("_found"), F.col("_for").alias("_next")))
+        met = settled(waiting.join(ends, F.col("object_id").eqNullSafe(F.col("_e_obj")) & (F.col("_for") == F.col("_e_old")))
+                       .select("object_id", "_old", "_found", "_next"))
+        solved = met.where("_found IS NOT NULL").select("object_id", "_old", F.col("_found").alias("_moves"))
+        known = solved if known is None else known.unionByName(solved)
+        # Rows that others point to may be solved now: they end chains like the fixed ones.
+        fixed = fixed.unionByName(solved)
+        waiting = met.where("_found IS NULL").select("object_id", "_old", F.col("_next").alias("_for"))
+        count += 1
+    if steps is not None:
+        steps.append(count)
+    if known is not None:
+        found = known.select(F.col("object_id").alias("_k_obj"), F.col("_old").alias("_k_old"), F.col("_moves").alias("_k_moves"))
+        rows = (rows.join(found, F.col("object_id").eqNullSafe(F.col("_k_obj")) & F.col("_old").eqNullSafe(F.col("_k_old")), "left")
+                .withColumn("_moves", F.coalesce("_moves", "_k_moves")))
+    return rows.select("object_id", F.when(F.col("_moves"), F.col("_new")).otherwise(F.col("_old")).alias("term_taxonomy_id"))
 
 
 # Optional vocabulary handling ----------------------------------------------------
@@ -269,9 +305,19 @@ def move_vocabulary(term_data: DataFrame, from_vid: int, to_vid: int) -> DataFra
 
 def vocab_terms(vocabulary: DataFrame, vids: Sequence[int], wp_terms: DataFrame) -> DataFrame:
     """Vocabularies as terms with generated ids (DISTINCT, ordered by vid, name)."""
-    rows = vocabulary.where(F.col("vid").isin(list(vids))).select(
+    return insert_auto_id(wp_terms, _vocab_rows(vocabulary, vids), "term_id", order=["term_group", "name", "slug"], bounded=True)
+
+
+def _vocab_rows(vocabulary: DataFrame, vids: Sequence[int]) -> DataFrame:
+    return vocabulary.where(F.col("vid").isin(list(vids))).select(
         "name", slug("name").alias("slug"), F.col("vid").alias("term_group")).distinct()
-    return insert_auto_id(wp_terms, rows, "term_id", order=["term_group", "name", "slug"])
+
+
+def new_vocab_ids(vocabulary: DataFrame, vids: Sequence[int], wp_terms: DataFrame) -> DataFrame:
+    """(vid -> new term id) of the terms that O9 inserts, from its new rows
+    alone: of ``wp_terms`` only the largest id is read."""
+    new = insert_auto_id(wp_terms, _vocab_rows(vocabulary, vids), "term_id", order=["term_group", "name", "slug"], bounded=True, only_new=True)
+    return new.select(F.col("term_group").alias("vid"), F.col("term_id").alias("new_id"))
 
 
 def vocab_categories(vocabulary: DataFrame, vids: Sequence[int], taxonomy: DataFrame) -> DataFrame:
@@ -280,7 +326,7 @@ def vocab_categories(vocabulary: DataFrame, vids: Sequence[int], taxonomy: DataF
     rows = vocabulary.where(F.col("vid").isin(list(vids))).select(
         F.col("vid").alias("term_id"), F.lit("category").alias("taxonomy"), "description",
         F.col("vid").alias("parent"), F.lit(0).cast("bigint").alias("count")).distinct()
-    return insert_auto_id(taxonomy, rows, "term_taxonomy_id", order=["term_id", "description"])
+    return insert_auto_id(taxonomy, rows, "term_taxonomy_id", order=["term_id", "description"], bounded=True)
 
 
 def vocab_id_map(wp_terms_after_o9: DataFrame, wp_terms_before: DataFrame) -> DataFrame:

@@ -101,3 +101,16 @@ def merge_users(wp_users: DataFrame, to_add: DataFrame, *, keyed_input: bool = T
     """INSERT IGNORE ... SELECT * (existing rows kept); ``to_add`` is a
     table keyed by ID (M35's output)."""
     return insert_ignore(wp_users, to_add, "ID", incoming_unique=keyed_input)
+
+
+def users_pass(users: DataFrame, node: DataFrame, comments: DataFrame, wp_users: DataFrame) -> DataFrame:
+    """M22, M23, M32-M36 as one plan (same table as the statements run in
+    order): the users are read once, flagged as authors and commenters by one
+    distinct list of ids each, and inserted once.  NOT IN of M35: with a NULL
+    among the ids of ``wp_users`` no commenter is added that isn't an author."""
+    ids = lambda rows, flag: rows.where(F.col("uid").isNotNull()).select(F.col("uid").alias(f"{flag}_uid")).distinct().withColumn(flag, F.lit(True))
+    flagged = users.join(ids(node, "_wrote"), F.col("uid") == F.col("_wrote_uid"), "left").join(
+        ids(comments, "_commented"), F.col("uid") == F.col("_commented_uid"), "left")
+    has_null = wp_users.agg(F.coalesce(F.bool_or(F.col("ID").isNull()), F.lit(False))).scalar()
+    chosen = flagged.where(F.col("_wrote") | (F.col("_commented") & ~has_null))
+    return insert_ignore(wp_users, user_rows(chosen), "ID", incoming_unique=True)

@@ -226,8 +226,7 @@ def prepare_steps(*, safe_repair: bool = False, null_name_stem: str | None = Non
         t["term_data"], t["url_alias"] = fixed["term_data"], fixed["url_alias"]
         return t
 
-    return [Step("prepare.archive", _set("url_alias_with_dups", lambda t: t["url_alias"])),
-            Step("prepare.run_fix", fix, cut=("term_data", "url_alias"))]
+    return [Step("prepare.run_fix", fix, cut=("term_data", "url_alias"))]
 
 
 def gate_step() -> Step:
@@ -340,6 +339,7 @@ def migrate(tables: Mapping[str, DataFrame], *, secret: str,
     With a ``run_id`` as well, every step that computes rows commits them to the
     run's ledger, and a second run of the same id, inputs and parameters goes on
     after the last such step.  (Custom steps are told apart by their names.)"""
+    tables = {**tables, "url_alias_with_dups": tables["url_alias"]}  # the original, as archived
     if run_id is not None and warehouse is None:
         raise ValueError("a run that can be resumed needs a warehouse")
     steps = prepare_steps(safe_repair=safe_repair, null_name_stem=null_name_stem)

@@ -11,16 +11,14 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from pressferry.operators.dml import insert
+from pressferry.operators.dml import create_empty, insert
 from pressferry.plans.manifest import HadoopFiles, TableLog, Transaction
 
 
 def create_like(df: DataFrame) -> DataFrame:
-    """CREATE TABLE x LIKE y (an empty table with y's schema, no lineage).
-    The false filter lets the optimizer drop all that is joined to it."""
-    return df.sparkSession.createDataFrame([], df.schema).where(F.lit(False))
+    """CREATE TABLE x LIKE y (an empty table with y's schema, no lineage)."""
+    return create_empty(df)
 
 
 def copy_append(target: DataFrame, source: DataFrame) -> DataFrame:

@@ -3,26 +3,32 @@ fixture views of one testdata directory.
 
 Transform steps are evaluated in the order of the sample migration script
 (each step's input is the state its predecessors leave), with the target
-tables' pre-existing rows kept (no truncation first), so every upsert meets
-real conflicts.  All of it is lazy: a query is one Spark plan.
+tables' pre-existing rows kept (no truncation first): half of the existing
+posts, comments and taxonomy rows hold ids that the pass writes, so every
+REPLACE meets real conflicts.  A query is one lazy Spark plan but for those
+that say so (rounds, numbering, writes).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressferry.functions.serialized import decode_array
+from pressferry.functions.scalars import slug
+from pressferry.functions.serialized import decode_array, decode_nested, encode_nested
 from pressferry.operators import audit, comments, options, posts, repair, terms, users
 from pressferry.operators.dml import (
     insert,
     insert_auto_id,
     insert_ignore,
+    insert_ignore_keys,
     not_in_flag,
     replace_into,
+    settled,
     update_with_count,
 )
 from pressferry.plans import sinks
@@ -77,7 +83,7 @@ class Run:
 
     @cached_property
     def m4(self):
-        return terms.tags_taxonomy(self.t["term_data"], self.acc_tags, self.empty("wp_term_taxonomy"))
+        return terms.tags_taxonomy(self.t["term_data"], self.acc_tags, self.t["wp_term_taxonomy"])
 
     @cached_property
     def m6(self):
@@ -85,7 +91,7 @@ class Run:
 
     @cached_property
     def m7(self):
-        return terms.taxonomy_pass(self.t["term_data"], self.acc_categories, self.empty("wp_term_taxonomy"))
+        return terms.taxonomy_pass(self.t["term_data"], self.acc_categories, self.t["wp_term_taxonomy"])
 
     @cached_property
     def m8(self):
@@ -97,17 +103,21 @@ class Run:
 
     @cached_property
     def m13(self):
-        return terms.term_relationships(self.t["term_node"], self.empty("wp_term_relationships"))
+        return terms.term_relationships(self.t["term_node"], self.t["wp_term_relationships"])
 
     @cached_property
     def m14(self):
-        return terms.term_counts(self.m9, self.m13)
+        # As in a pass: the tables that the next statements read twice are computed once.
+        wp_terms, taxonomy = settled(self.m6.where("slug = 'uncategorized'")), settled(self.m7)
+        top = self.m6.agg(F.coalesce(F.max("term_id"), F.lit(0)).cast("bigint").alias("top"))
+        new = terms.uncategorized_term(wp_terms, after=top.scalar())
+        return terms.term_counts(terms.uncategorized_taxonomy(new, taxonomy), self.m13)
 
     # posts -----------------------------------------------------------------
     @cached_property
     def m10(self):
         t = self.t
-        return posts.posts(t["node"], t["node_revisions"], self.aliases, self.empty("wp_posts"), aliases_unique=True)
+        return posts.posts(t["node"], t["node_revisions"], self.aliases, t["wp_posts"], aliases_unique=True)
 
     @cached_property
     def m12(self):
@@ -115,7 +125,7 @@ class Run:
 
     @cached_property
     def m17(self):
-        return comments.comments(self.t["comments"], self.empty("wp_comments"))
+        return comments.comments(self.t["comments"], self.t["wp_comments"])
 
     @cached_property
     def m18(self):
@@ -208,6 +218,23 @@ def _decode_system_info(r: Run) -> DataFrame:
     return r.t["system"].select("name", m["name"].alias("module_name"), m["version"].alias("version"))
 
 
+def _settings(r: Run) -> DataFrame:
+    """Settings with nested values, one for each supplier and page: paths in texts
+    of several bytes a character, a list, and a serialized value within a text."""
+    text = lambda c: F.concat(F.lit("s:"), F.octet_length(c).cast("string"), F.lit(':"'), c, F.lit('";'))
+    name = F.concat(F.lit("/files/É "), F.col("s_name"))
+    inner = F.concat(F.lit('a:1:{i:0;'), text(F.concat(F.lit("/files/"), F.col("s_suppkey").cast("string"))), F.lit("}"))
+    value = F.concat(F.lit('a:3:{s:4:"path";'), text(name), F.lit('s:4:"list";'), inner, F.lit('s:6:"packed";'), text(inner), F.lit("}"))
+    return r.t.raw("supplier").select(F.concat(F.lit("setting_"), F.col("s_suppkey").cast("string")).alias("option_name"),
+                                      F.when(F.col("s_suppkey") % 5 == 0, name).otherwise(value).alias("option_value"))
+
+
+def _f15(r: Run) -> DataFrame:
+    v = _settings(r).select("option_name", "option_value", decode_nested("option_value").alias("v"))
+    return v.select("option_name", F.variant_get("v", "$.path", "string").alias("path"), F.variant_get("v", "$.list[0]", "string").alias("first"),
+                    F.col("v").isNotNull().alias("valid"), (F.to_json(decode_nested(encode_nested("v"))) == F.to_json("v")).alias("round_trip"))
+
+
 def _x1(r: Run) -> DataFrame:
     """Statements as Spark SQL text, run in order, fail-fast."""
     from pressferry.plans import runbook
@@ -226,6 +253,25 @@ def _x1(r: Run) -> DataFrame:
     return out.tables["acc_author_meta"]
 
 
+#: M11, M12, M18 and M26 as a user would write them.
+POSTS_SCRIPT = [
+    "UPDATE wp_posts SET post_type = 'post' WHERE post_type IN ('page', 'story')",
+    "UPDATE wp_posts SET post_type = 'page' WHERE post_type NOT IN ('post')",
+    "UPDATE wp_posts SET comment_count = (SELECT count(c.comment_post_ID) FROM wp_comments c WHERE c.comment_post_ID = wp_posts.id)",
+    "UPDATE wp_posts SET post_author = 1 WHERE post_author NOT IN (SELECT ID FROM wp_users)",
+]
+
+
+def _x1b(r: Run) -> DataFrame:
+    """A script of UPDATE statements over M10's posts."""
+    from pressferry.plans import runbook, script
+
+    out = runbook.Runbook(script.statement_steps(POSTS_SCRIPT)).run({"wp_posts": r.m10, "wp_comments": r.m17, "wp_users": r.m23})
+    if not out.ok:
+        raise RuntimeError(out.error)
+    return out.tables["wp_posts"]
+
+
 #: Of each target of a pass: the key, a number and the texts that its digest covers.
 X3_DIGESTS = {
     "wp_terms": ("term_id", "term_group", ("name", "slug")),
@@ -303,8 +349,9 @@ def _m12(r: Run) -> DataFrame:
 
 
 def _o14(r: Run) -> DataFrame:
-    """O14 with taken targets and chains: half of the taxonomy ids are off by one."""
-    shifted = F.when(F.col("term_id") % 4 < 2, F.col("term_id") + 1).otherwise(F.col("term_id"))
+    """O14 with held targets and chains: three of four taxonomy ids are one less,
+    so a row waits for the one before it to move.  (Rounds of jobs.)"""
+    shifted = F.when(F.col("term_id") % 4 > 0, F.col("term_id") - 1).otherwise(F.col("term_id"))
     return terms.fix_taxonomy_ids(r.m13, r.m7.select("term_id", shifted.alias("term_taxonomy_id")))
 
 
@@ -321,7 +368,47 @@ def _s8(r: Run) -> DataFrame:
 
 
 def _id_map(r: Run) -> DataFrame:
-    return terms.vocab_id_map(r.o9, r.m6)
+    return terms.new_vocab_ids(r.t["vocabulary"], VOCAB_VIDS, r.m6)
+
+
+def _k2b(r: Run) -> DataFrame:
+    """INSERT IGNORE with three unique keys, which conflict in chains.  (Rounds of jobs.)"""
+    rows = r.t["term_data"].where(F.col("tid").isNotNull()).select(
+        F.col("tid").alias("term_id"), "name", slug("name").alias("slug"), F.floor(F.col("tid") / 3).alias("term_group"))
+    return insert_ignore_keys(r.t["wp_terms"], rows, ["term_id", "slug", "term_group"], order=["term_id"])
+
+
+def _warehouse(r: Run) -> sinks.Warehouse:
+    """A warehouse of its own in the shared folder."""
+    from pressferry.session import ensure_checkpoint_dir
+
+    return sinks.Warehouse(r.spark, f"{ensure_checkpoint_dir(r.spark).rstrip('/')}/warehouse-{uuid.uuid4().hex}")
+
+
+def _s4(r: Run) -> DataFrame:
+    """CREATE TABLE AS SELECT, read back."""
+    return _warehouse(r).write("acc_tags", r.acc_tags)
+
+
+def _s6(r: Run) -> DataFrame:
+    """S3, S6 and S7 as the state that they leave: which tables are there and
+    how many rows each has, after an append that is retried, a reset of two
+    targets and the clean-up of a working table."""
+    wh = _warehouse(r)
+    first = wh.transaction()
+    for name in ("wp_terms", "wp_term_taxonomy"):
+        first.write(name, r.t[name])
+    first.write("acc_tags", r.acc_tags)
+    first.commit()
+    for _ in range(2):
+        if not wh.append("kept", r.t["wp_users"], commit="load"):
+            raise RuntimeError(wh.last_error)
+    wh.reset_targets(["wp_terms", "wp_term_taxonomy"], [])
+    wh.cleanup_working(["acc_tags", "acc_tags"])
+    now = wh.log.snapshot()
+    names = ["wp_terms", "wp_term_taxonomy", "acc_tags", "kept"]
+    return audit.table_exists(r.spark, {n: now.read(n) for n in now.names()}, names).select(
+        "table_name", (F.col("table_count") > 0).alias("present"), "row_count")
 
 
 QUERIES: dict[str, Callable[[Run], DataFrame]] = {
@@ -329,6 +416,8 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "s1_read_table": lambda r: read_table(r.t, "node"),
     "s2_table_exists": lambda r: audit.table_exists(r.spark, r.t, REQUIRED_TABLES_V6 + [MISSING_TABLE]),
     "s1b_read_parquet_root": lambda r: read_table(r.t.sf_dir, "documents", spark=r.spark).select("doc_id", "lang", "n_chars"),
+    "s4_ctas": _s4,
+    "s6_reset_targets": _s6,
     "s8_archive_swap": _s8,
     "s9_fixed_terms_log": lambda r: sinks.fixed_terms_log(repair.uniquify_terms(r.t["term_data"])),
     "s10_copy_append": lambda r: sinks.copy_append(r.t["wp_users"], users.user_rows(r.t["users"])),
@@ -363,6 +452,8 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "r1c_uniquify_terms_ci": lambda r: repair.uniquify_terms(r.t["term_data"], collation="ci"),
     "r4c_uniquify_aliases_ci": lambda r: repair.uniquify_aliases(r.t["url_alias"], collation="ci"),
     "r5_run_fix": lambda r: r.fixed["term_data"],
+    "r5b_run_fix_safe": lambda r: repair.run_fix(r.t, safe=True, null_name_stem="term")["term_data"],
+    "r6b_residual_collisions_safe": lambda r: repair.residual_collisions(repair.run_fix(r.t, safe=True, null_name_stem="term")["term_data"]),
     "r6_residual_collisions": lambda r: repair.residual_collisions(r.fixed["term_data"]),
     # transform (active)
     "m2_tags_work": lambda r: r.acc_tags,
@@ -390,7 +481,8 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "m24_author_capabilities": lambda r: r.m24,
     "m25_author_level": lambda r: r.m25,
     "m26_reassign_orphans": lambda r: r.m26,
-    "m27_rewrite_paths": lambda r: posts.rewrite_paths(r.m26),
+    "m27_rewrite_paths": lambda r: posts.posts_pass(
+        r.t["node"], r.t["node_revisions"], r.aliases, r.t["wp_posts"], r.m17, r.m23, aliases_unique=True),
     "m28_site_name_option": lambda r: r.m28,
     "m29_site_slogan_option": lambda r: r.m29,
     "m30_site_mail_option": lambda r: r.m30,
@@ -399,7 +491,7 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "m33_commenters": lambda r: r.m33,
     "m34_commenter_users": lambda r: r.m34,
     "m35_commenters_to_add": lambda r: r.m35,
-    "m36_merge_users": lambda r: users.merge_users(r.m32, r.m35),
+    "m36_merge_users": lambda r: users.users_pass(r.t["users"], r.t["node"], r.t["comments"], r.t["wp_users"]),
     # transform (optional)
     "o1_drop_vocabularies": lambda r: terms.drop_vocabularies(r.t["vocabulary"], DROP_VOCAB_VIDS),
     "o2_drop_terms_of_vocab": lambda r: terms.drop_terms_of_vocab(r.t["term_data"], DROP_TERM_VIDS),
@@ -421,15 +513,19 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "o16_redirects": lambda r: posts.redirects(r.t["node"], r.t["node_revisions"], r.aliases),
     "o17_rekey_prefix": lambda r: options.rekey_prefix(r.t["wp_options"], "option_name", OLD_PREFIX, NEW_PREFIX),
     "o17b_rekey_usermeta": lambda r: options.rekey_prefix(r.m25, "meta_key", OLD_PREFIX, NEW_PREFIX),
+    "o17c_replace_in_settings": lambda r: options.replace_in_values(_settings(r), "option_value", "/files/", "/wp-content/uploads/"),
+    "f15_nested_values": _f15,
     "o18b_rename_options": lambda r: options.rename_keys(r.t["wp_options"], "option_name", options.OPTION_NAME_RENAMES),
     "o18_rename_keys": lambda r: options.rename_keys(r.m25, "meta_key", options.META_KEY_RENAMES),
     "o19_authors_of_types": lambda r: users.authors_with_posts(r.t["node"], r.t["users"], posts.POST_TYPES),
     # runs
     "x1_run_steps": _x1,
+    "x1b_script": _x1b,
     "x3_migrate": _x3,
     # kernel, stand-alone
     "k1_replace_into": _k1,
     "k2_insert_ignore": _k2,
+    "k2b_insert_ignore_keys": _k2b,
     "k3_insert": _k3,
     "k4_insert_auto_id": _k4,
     "k6_update_from_join": lambda r: posts.update_posts_from(r.m10, r.o12, key="vid"),

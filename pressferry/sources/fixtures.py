@@ -254,6 +254,59 @@ class Tables(Mapping):
             F.lit(0).cast("bigint").alias("term_group"),
         )
 
+    # Half of these hold ids that the pass writes, half have ids of their own.
+    def _v_wp_posts(self) -> DataFrame:
+        d = self.raw("documents")
+        doc = F.col("doc_id")
+        return d.where(doc % 3 == 0).select(
+            F.when(doc % 2 == 0, doc + 1).otherwise(doc + 1_000_000_001).cast("bigint").alias("id"),
+            (doc % 100 + 1).cast("bigint").alias("post_author"),
+            epoch_to_ts(F.lit(86400) * doc).alias("post_date"),
+            F.concat(F.lit('earlier <img src="/files/'), doc.cast("string"), F.lit('.png">')).alias("post_content"),
+            F.concat(F.lit("Earlier post "), doc.cast("string")).alias("post_title"),
+            F.lit("").alias("post_excerpt"),
+            F.concat(F.lit("earlier-"), doc.cast("string")).alias("post_name"),
+            epoch_to_ts(F.lit(86400) * (doc + 1)).alias("post_modified"),
+            F.when(doc % 4 == 0, "page").when(doc % 4 == 1, "post").otherwise("story").alias("post_type"),
+            F.when(doc % 5 == 0, "private").otherwise("publish").alias("post_status"),
+            F.lit("").alias("to_ping"), F.lit("").alias("pinged"), F.lit("").alias("post_content_filtered"),
+            (doc % 3).cast("bigint").alias("comment_count"),
+        )
+
+    def _v_wp_comments(self) -> DataFrame:
+        e = self.raw("events")
+        eid = F.col("event_id")
+        return e.where(eid % 20 == 0).select(
+            F.when(eid % 40 == 0, eid + 1).otherwise(eid + 1_000_000_001).cast("bigint").alias("comment_ID"),
+            (eid % 500 + 1).cast("bigint").alias("comment_post_ID"),
+            epoch_to_ts(eid * 60).alias("comment_date"),
+            F.concat(F.lit("earlier comment "), eid.cast("string")).alias("comment_content"),
+            F.lit(0).cast("bigint").alias("comment_parent"),
+            F.lit("earlier").alias("comment_author"),
+            F.lit("earlier@example.org").alias("comment_author_email"),
+            F.lit("").alias("comment_author_url"),
+            F.lit("1").alias("comment_approved"),
+        )
+
+    def _v_wp_term_taxonomy(self) -> DataFrame:
+        p = self.raw("part")
+        k = F.col("p_partkey")
+        return p.where(k % 10 == 0).select(
+            F.when(k % 20 == 0, k + 1).otherwise(k + 1_000_000_001).cast("bigint").alias("term_taxonomy_id"),
+            (k + 1).cast("bigint").alias("term_id"),
+            F.when(k % 30 == 0, "category").otherwise("post_tag").alias("taxonomy"),
+            F.concat(F.lit("earlier "), k.cast("string")).alias("description"),
+            F.lit(0).cast("bigint").alias("parent"),
+            F.lit(7).cast("bigint").alias("count"),
+        )
+
+    def _v_wp_term_relationships(self) -> DataFrame:
+        o = self.raw("orders")
+        return o.where(F.col("o_orderkey") % 10 == 0).select(
+            (F.col("o_orderkey") + 1).cast("bigint").alias("object_id"),
+            (F.col("o_custkey") + 1_000_000_001).cast("bigint").alias("term_taxonomy_id"),
+        )
+
     def _v_wp_options(self) -> DataFrame:
         s = self.raw("supplier")
         widgets = s.select(

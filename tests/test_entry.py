@@ -19,7 +19,7 @@ def load_entry():
 def test_entry_runs_flagship_on_smoke_data(spark):
     e = load_entry()
     df = e.entry(spark)
-    assert df.count() == 158
+    assert df.count() == 200
     assert df.columns[:3] == ["id", "post_author", "post_date"]
 
 

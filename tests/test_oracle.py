@@ -42,7 +42,7 @@ def test_generic_decode_path(spark):
 @pytest.mark.parametrize("name,expected", [
     ("d4_posts_list", 200), ("d8_dup_term_names", 47), ("d9_dup_term_members", 127),
     ("d10_terms_too_long", 4), ("d11_dup_aliases", 10), ("r4_uniquify_aliases", 40),
-    ("m10_posts", 158), ("m13_term_relationships", 5473), ("m17_comments", 1000),
+    ("m10_posts", 200), ("m13_term_relationships", 5623), ("m17_comments", 1025),
     ("m22_authors_with_posts", 67), ("m33_commenters", 9), ("m35_commenters_to_add", 3),
     ("o16_redirects", 200),
 ])

@@ -88,16 +88,18 @@ def test_fused_posts_pass_equals_statement_chain(spark):
 
     r = Run(spark, SF_SMALL)
     chain = posts.rewrite_paths(r.m26)
-    fused = posts.posts_pass(r.t["node"], r.t["node_revisions"], r.aliases, r.empty("wp_posts"),
+    fused = posts.posts_pass(r.t["node"], r.t["node_revisions"], r.aliases, r.t["wp_posts"],
                              r.m17, r.m23)
     assert fused.columns == chain.columns
-    assert fused.count() == chain.count() == 158
+    assert fused.count() == chain.count() == 200
     assert fused.exceptAll(chain).count() == 0 and chain.exceptAll(fused).count() == 0
+    t = r.t
+    chain = posts.rewrite_paths(posts.reassign_orphans(posts.comment_counts(posts.post_type_rest(posts.post_type_map(
+        posts.posts(t["node"], t["node_revisions"], r.aliases, r.empty("wp_posts")))), r.m17), r.m23))
     # With existing posts (some replaced, one kept) the two agree as well.
     kept_row = (chain.where("id = 2").withColumn("id", F.lit(-5).cast("bigint"))
                 .withColumn("post_type", F.lit("story")).withColumn("post_author", F.lit(999999).cast("bigint")))
     existing = chain.where("id % 2 = 0").withColumn("post_title", F.lit("old")).unionByName(kept_row)
-    t = r.t
     expected = posts.rewrite_paths(posts.reassign_orphans(posts.comment_counts(posts.post_type_rest(
         posts.post_type_map(posts.posts(t["node"], t["node_revisions"], r.aliases, existing))), r.m17), r.m23))
     fused2 = posts.posts_pass(t["node"], t["node_revisions"], r.aliases, existing, r.m17, r.m23)
@@ -201,3 +203,31 @@ def test_single_passes_equal_the_statement_chain(spark):
         fused = terms.taxonomy_pass(data, cats, taken, exclude)
         assert fused.exceptAll(chain).count() == 0 and chain.exceptAll(fused).count() == 0
         assert chain.where("description = 'kept'").count() == 2
+
+
+def test_users_pass_equals_the_statement_chain(spark):
+    from pressferry.operators import users
+    from pressferry.queries import Run
+
+    r = Run(spark, SF_SMALL)
+    t = r.t
+    chain = users.merge_users(r.m32, r.m35)
+    fused = users.users_pass(t["users"], t["node"], t["comments"], t["wp_users"])
+    assert fused.columns == chain.columns and fused.count() == chain.count()
+    assert fused.exceptAll(chain).count() == 0 and chain.exceptAll(fused).count() == 0
+    with_null = t["wp_users"].unionByName(t["wp_users"].limit(1).withColumn("ID", F.lit(None).cast("bigint")))
+    known = users.authors(t["users"], r.m22, with_null)
+    like = sinks.create_like(known)
+    chain = users.merge_users(known, users.commenters_to_add(users.authors(t["users"], r.m33, like), known, like))
+    fused = users.users_pass(t["users"], t["node"], t["comments"], with_null)
+    assert fused.exceptAll(chain).count() == 0 and chain.exceptAll(fused).count() == 0
+
+
+def test_new_vocabulary_ids_are_those_inserted(spark):
+    from pressferry.operators import terms
+    from pressferry.queries import VOCAB_VIDS, Run
+
+    r = Run(spark, SF_SMALL)
+    direct = terms.new_vocab_ids(r.t["vocabulary"], VOCAB_VIDS, r.m6)
+    looked_up = terms.vocab_id_map(r.o9, r.m6)
+    assert sorted(map(tuple, direct.collect())) == sorted(map(tuple, looked_up.collect()))
