@@ -109,7 +109,7 @@ class Run:
     def m14(self):
         # As in a pass: the tables that the next statements read twice are computed once.
         wp_terms, taxonomy = settled(self.m6.where("slug = 'uncategorized'")), settled(self.m7)
-        top = self.m6.agg(F.coalesce(F.max("term_id"), F.lit(0)).cast("bigint").alias("top"))
+        top = settled(self.m6.agg(F.coalesce(F.max("term_id"), F.lit(0)).cast("bigint").alias("top")))
         new = terms.uncategorized_term(wp_terms, after=top.scalar())
         return terms.term_counts(terms.uncategorized_taxonomy(new, taxonomy), self.m13)
 
@@ -482,7 +482,8 @@ QUERIES: dict[str, Callable[[Run], DataFrame]] = {
     "m25_author_level": lambda r: r.m25,
     "m26_reassign_orphans": lambda r: r.m26,
     "m27_rewrite_paths": lambda r: posts.posts_pass(
-        r.t["node"], r.t["node_revisions"], r.aliases, r.t["wp_posts"], r.m17, r.m23, aliases_unique=True),
+        r.t["node"], r.t["node_revisions"], r.aliases, r.t["wp_posts"], settled(r.m17.select("comment_post_ID")), settled(r.m23.select("ID")),
+        aliases_unique=True),
     "m28_site_name_option": lambda r: r.m28,
     "m29_site_slogan_option": lambda r: r.m29,
     "m30_site_mail_option": lambda r: r.m30,
