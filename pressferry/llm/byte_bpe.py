@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -62,17 +63,31 @@ class MergeReplay:
                 self.byte_pair[a << 8 | b] = ranks.get(bytes([a, b]), -1)
 
     def plain(self, word: bytes) -> list[int]:
-        """One word by repeated lowest-rank merge (used where the replay meets
-        a pair of a lower rank than the merge that made it)."""
+        """One word by itself, the pair of the lowest rank first, from the left
+        (used where the replay meets a pair of a lower rank than the merge that
+        made it).  Pairs wait in a heap, so a long run costs n log n."""
         if word in self.ranks:
             return [self.ranks[word]]
         ids = [int(self.byte_id[b]) for b in word]
-        while len(ids) > 1:
-            rank, at = min((self.merged.get(ids[i] << _SHIFT | ids[i + 1], 1 << 40), i) for i in range(len(ids) - 1))
-            if rank == 1 << 40:
-                break
-            ids[at:at + 2] = [rank]
-        return ids
+        n, merged = len(ids), self.merged.get
+        following, previous = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(r, i) for i in range(n - 1) if (r := merged(ids[i] << _SHIFT | ids[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, at = heapq.heappop(heap)
+            right = following[at]
+            if ids[at] < 0 or right < 0 or merged(ids[at] << _SHIFT | ids[right]) != rank:
+                continue  # one of the two was merged meanwhile
+            ids[at], ids[right] = rank, -1
+            after, before = following[right], previous[at]
+            following[at] = after
+            if after >= 0:
+                previous[after] = at
+                if (r := merged(rank << _SHIFT | ids[after])) is not None:
+                    heapq.heappush(heap, (r, at))
+            if before >= 0 and (r := merged(ids[before] << _SHIFT | rank)) is not None:
+                heapq.heappush(heap, (r, before))
+        return [i for i in ids if i >= 0]
 
     def encode(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each word; the words of one call share one replay."""
@@ -154,33 +169,66 @@ class MergeReplay:
 
 
 class TextCoder:
-    """Splits texts by ``pattern`` and encodes each match.  Keeps the ids of up
-    to ``max_words`` short words between blocks."""
+    """Splits texts by ``pattern`` and encodes each match.  The ids of short
+    words are kept between blocks, in one array.  After ``max_words`` words a new
+    array begins, which takes over what is still in use from the one before."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = 120_000):
         import regex
 
         self.replay = MergeReplay(ranks)
         self.find = regex.compile(pattern).findall
         self.max_words = max_words
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, int] = {}  # the place of a word in starts
+        self.starts, self.flat = array("q", [0]), array("i")
+        self.before: tuple = ({}, self.starts, self.flat)
+        size = max(self.replay.token) + 1
+        self.token_bytes = pa.array([self.replay.token.get(i, b"") for i in range(size)], pa.large_binary())
+        self.decimal = pa.array([f"{i} " for i in range(size)], pa.large_string())
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and the first of each text
+        with the end."""
         split = [self.find(t) for t in texts]
-        known = self.known
-        if len(known) > self.max_words:
-            known.clear()
+        if len(self.known) > self.max_words:
+            self.before = (self.known, self.starts, self.flat)
+            self.known, self.starts, self.flat = {}, array("q", [0]), array("i")
+        known, (old, old_starts, old_flat) = self.known, self.before
         new = list({w for words in split for w in words if w not in known})
-        ids = dict(zip(new, self.replay.encode([w.encode() for w in new]), strict=True))
-        known.update((w, i) for w, i in ids.items() if len(w) <= 64)
-        long = {w: i for w, i in ids.items() if len(w) > 64}
-        get = known.__getitem__ if not long else (lambda w: known[w] if w in known else long[w])
-        for words in split:
-            yield list(chain.from_iterable(map(get, words)))
+        for word in [w for w in new if w in old]:
+            known[word] = len(self.starts) - 1
+            self.flat.extend(old_flat[old_starts[old[word]]:old_starts[old[word] + 1]])
+            self.starts.append(len(self.flat))
+        new = [w for w in new if w not in known]
+        kept, size = len(self.starts), len(self.flat)
+        new.sort(key=len)  # long words last, so that they can be dropped
+        for word, ids in zip(new, self.replay.encode([w.encode() for w in new]), strict=True):
+            known[word] = len(self.starts) - 1
+            self.flat.extend(ids)
+            self.starts.append(len(self.flat))
+            if len(word) <= 64:
+                kept, size = len(self.starts), len(self.flat)
+        counts = [len(words) for words in split]
+        place = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=sum(counts))
+        starts, flat = np.array(self.starts, dtype=np.int64), np.array(self.flat, dtype=np.int32)
+        for word in new[kept - len(self.starts) or len(new):]:
+            del known[word]
+        del self.starts[kept:], self.flat[size:]
+        sizes = (starts[1:] - starts[:-1])[place]
+        ends = np.cumsum(sizes)
+        ids = flat[np.repeat(starts[place] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        return ids, np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.replay.token.__getitem__, ids))
 
+    def joined(self, ids: np.ndarray, cuts: np.ndarray, strings: pa.Array) -> tuple[memoryview, np.ndarray]:
+        """The strings of all ids, one after the other, and the first byte of
+        each text's with the end."""
+        taken = strings.take(pa.array(ids))
+        _, offsets, data = taken.buffers()
+        return memoryview(data).cast("B") if data is not None else memoryview(b""), np.frombuffer(offsets, dtype=np.int64)[cuts] if len(ids) else np.zeros(len(cuts), dtype=np.int64)
+
 
 _CODERS: dict[tuple, TextCoder] = {}
 
@@ -194,7 +242,7 @@ def coder_for(ranks: dict[bytes, int], pattern: str) -> TextCoder:
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str = "doc_id",
-           text_col: str = "text", with_ids: bool = False, block_bytes: int = 4 << 20) -> DataFrame:
+           text_col: str = "text", with_ids: bool = False, block_bytes: int = 1 << 20) -> DataFrame:
     """Encode every text and decode its ids again: id, n_tokens, ids_sha256,
     decoded_sha256, round_trip (decoded bytes equal the text's), and with
     ``with_ids`` the ids.  ``block_bytes``: text of one replay."""
@@ -204,20 +252,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = coder_for(shared.value, pattern)
-        decimal = [str(i) for i in range(max(coder.replay.token) + 1)]
         for batch in slices(batches, text_col, block_bytes):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            rows: list[tuple] = []
-            every = []
-            for text, ids in zip(texts, coder.encode(texts), strict=True):
-                decoded = coder.decode(ids)
-                rows.append((len(ids), hashlib.sha256(" ".join(map(decimal.__getitem__, ids)).encode()).hexdigest(),
-                             hashlib.sha256(decoded).hexdigest(), decoded == text.encode()))
-                if with_ids:
-                    every.append(np.array(ids, dtype=np.int32))
-            columns = [batch.column(id_col), *(pa.array(c) for c in zip(*rows, strict=True))]
+            ids, cuts = coder.encode(texts)
+            decoded, at = coder.joined(ids, cuts, coder.token_bytes)
+            written, w = coder.joined(ids, cuts, coder.decimal)
+            digest = lambda x: hashlib.sha256(x).hexdigest()
+            columns = [batch.column(id_col), pa.array(np.diff(cuts)), pa.array([digest(written[i:max(i, j - 1)]) for i, j in zip(w[:-1], w[1:], strict=True)]),
+                       pa.array([digest(decoded[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)]),
+                       pa.array([decoded[i:j] == t.encode() for i, j, t in zip(at[:-1], at[1:], texts, strict=True)])]
             if with_ids:
-                columns.append(pa.array(every, type=pa.list_(pa.int32())))
+                columns.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)))
             yield pa.RecordBatch.from_arrays(columns, names)
 
     schema = (f"`{id_col}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, round_trip boolean"
