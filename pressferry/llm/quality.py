@@ -98,7 +98,7 @@ def sign_counts(labelled: DataFrame, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(columns), WIDTH + 1))
         some = False
-        for batch in slices(batches, text_col, 4 << 20):
+        for batch in slices(batches, text_col, 1 << 20):
             some = True
             doc, place = signs(batch.column(text_col))
             for i, head in enumerate(HEADS):
@@ -143,22 +143,55 @@ def weights(counts: np.ndarray, places: np.ndarray, min_z: float = 4.0, prior: f
     return out, rates
 
 
-def fit_weights(doc: np.ndarray, place: np.ndarray, y: np.ndarray, start: float, ridge: float = 0.02,
-                rounds: int = 150) -> tuple[np.ndarray, float]:
+def fit_weights(doc: np.ndarray, place: np.ndarray, y: np.ndarray, start: float, ridge: float = 1e-6,
+                rounds: int = 40, inner: int = 40, tolerance: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights of the places and intercept of a ridge logistic regression on
-    documents given by their signs (doc, place), by Adam steps.  Documents that
-    are copies of each other share their signs, so the signs they have by
-    chance compete for the same few residuals instead of adding up."""
+    documents given by their signs (doc, place).  Documents that are copies of
+    each other share their signs, so the signs they have by chance compete for
+    the same few residuals instead of adding up.  ``ridge`` is that of the mean
+    loss, so few labels aren't shrunk more than many.  Newton steps (each solved
+    by conjugate gradients, halved until the loss falls) until the gradient is
+    ``tolerance`` of the first."""
     shown, column = np.unique(place, return_inverse=True)
-    w = np.zeros(len(shown) + 1)
+    n, k = len(y), len(shown)
+    penalty = np.append(np.full(k, max(ridge * n, 1e-4)), 0.0)
+    w = np.zeros(k + 1)
     w[-1] = start
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for i in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, w[column], len(y)) + w[-1], -30, 30)))
-        g = np.append(np.bincount(column, (p - y)[doc], len(shown)) + ridge * w[:-1], (p - y).sum())
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        rate = 0.1 * min(1.0, 2 * (rounds - i + 1) / rounds)
-        w -= rate * (m / (1 - 0.9 ** i)) / (np.sqrt(v / (1 - 0.99 ** i)) + 1e-8)
+    margin = lambda v: np.bincount(doc, v[column], n) + v[-1]
+    back = lambda r: np.append(np.bincount(column, r[doc], k), r.sum())
+    loss = lambda v, m: float((np.logaddexp(0, m) - y * m).sum() + (penalty * v * v).sum() / 2)
+    m = margin(w)
+    now, first = loss(w, m), None
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(m, -500, 500)))
+        g = back(p - y) + penalty * w
+        size = float(np.linalg.norm(g))
+        first = first or size
+        if size <= tolerance * first:
+            break
+        curve = np.maximum(p * (1 - p), 1e-10)
+        scale = np.append(np.bincount(column, curve[doc], k), curve.sum()) + penalty + 1e-8
+        step, r = np.zeros(k + 1), -g
+        z = r / scale
+        d, rz, rest = z.copy(), float(r @ z), min(0.1, np.sqrt(size / first)) * size
+        for _ in range(inner):
+            h = back(curve * margin(d)) + penalty * d + 1e-8 * d
+            a = rz / max(float(d @ h), 1e-300)
+            step, r = step + a * d, r - a * h
+            if np.linalg.norm(r) <= rest:
+                break
+            z = r / scale
+            rz, old = float(r @ z), rz
+            d = z + rz / old * d
+        far, t = margin(step), 1.0
+        while t > 1e-6 and (new := loss(w + t * step, m + t * far)) >= now:
+            t /= 2
+        if t <= 1e-6:
+            break
+        w, m = w + t * step, m + t * far
+        if now - new < 1e-7 * max(1.0, new):
+            break
+        now = new
     out = np.zeros(WIDTH, dtype=np.float32)
     out[shown] = w[:-1]
     return out, float(w[-1])
@@ -206,22 +239,26 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     side = F.broadcast(by_id) if n <= SMALL_LABELS else by_id
     text = docs.select(F.col(id_col).alias("own_id"), F.col(text_col).alias("text"))
     labelled = text.join(side, F.col("own_id") == F.col("label_id")).select("label_id", "text", *HEADS)
-    rows = sign_counts(labelled).toArrow()  # at most one row for each of WIDTH places
+    rows = sign_counts(labelled).toArrow()  # at most one row for each of WIDTH places, and the number of documents
     places = rows.column("place").to_numpy()
     counts = np.stack([rows.column(i).to_numpy() for i in range(1, rows.num_columns)], axis=1) if rows.num_rows else np.zeros((0, 4))
     classifier = Classifier(*weights(counts, places.astype(np.int64)))
     wanted = spark.sparkContext.broadcast(classifier.weights.any(axis=1))  # WIDTH flags
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             doc, place = signs(batch.column("text"))
             kept = wanted.value[place]
             cuts = np.searchsorted(doc[kept], np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(cuts), pa.array(place[kept].astype(np.int32))),
                                               *(pc.fill_null(batch.column(h), -1.0) for h in HEADS)], ["places", *HEADS])
 
-    rate = min(1.0, max_fit / max(n, 1))
-    drawn = labelled.filter(F.pmod(F.xxhash64(F.col("label_id").cast("string"), F.lit("fit")), F.lit(1 << 20)) < int(rate * (1 << 20)))
+    # Drawn by id and text, at a rate of the labelled rows: an id that many rows
+    # share is drawn in part.  Equal rows come together, so each text is taken once.
+    total = float(counts[places < 0][0].reshape(-1, 2).sum(axis=1).max()) if (places < 0).any() else 0.0
+    rate = min(1.0, max_fit / max(total, 1))
+    drawn = labelled.filter(F.pmod(F.xxhash64(F.col("label_id").cast("string"), "text", F.lit("fit")), F.lit(1 << 20)) < int(rate * (1 << 20)))
+    drawn = drawn.groupBy("label_id", F.xxhash64("text").alias("_h")).agg(*[F.first(c).alias(c) for c in ("text", *HEADS)]).drop("_h")
     seen = drawn.mapInArrow(run, "places array<int>, quality double, toxic double").toArrow().combine_chunks()
     lists = seen.column("places").to_pandas().to_list() if seen.num_rows else []
     classifier.fit([np.asarray(x, dtype=np.int64) for x in lists], np.stack([seen.column(h).to_numpy() for h in HEADS], axis=1))
@@ -254,7 +291,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, id_
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             found = shared.value.log_odds(shared.value.evidence(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "text_hash", "host", "path")), pa.array(found[:, 0]), pa.array(found[:, 1])],
                                              ["id", "text_hash", "host", "path", "text_quality", "text_toxic"])
