@@ -430,7 +430,8 @@ def train(learn: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text
     known = learn.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     total = known.count()
     rate = min(0.1, max_calibration / max(total, 1))
-    aside = (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("calibration")), F.lit(1 << 20)) < int(rate * (1 << 20)))
+    # By id and text: of the rows that share an id (or have none) a part is drawn.
+    aside = (F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.lit("calibration")), F.lit(1 << 20)) < int(rate * (1 << 20)))
     levels = [written(gram_counts(known.filter(~aside), lang_col, text_col), "grams")]
     for order in range(ORDER - 1, 0, -1):  # continuation counts, of all grams
         shorter = F.col("gram").bitwiseAND(F.lit((1 << 16 * order) - 1)).alias("gram")
@@ -460,7 +461,9 @@ def train(learn: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", text
         identifier.shards.append((model.languages, learn.sparkSession.sparkContext.broadcast(model)))
         del model
 
-    seen_aside = judged(known.filter(aside), identifier, [lang_col], text_col, "best bigint, entropy double, lead double",
+    # Rows of equal id and text are drawn together: one of them is enough.
+    drawn = (known.filter(aside).groupBy(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_h"), F.col(lang_col)).agg(F.first(text_col).alias(text_col)))
+    seen_aside = judged(drawn, identifier, [lang_col], text_col, "best bigint, entropy double, lead double",
                         lambda own, entropy, n, letters: list(own.evidence(entropy, n))).toPandas()
     identifier.calibrate(*(seen_aside[c].to_numpy() for c in ("best", "entropy", "lead")), seen_aside[lang_col].tolist())
     return identifier
