@@ -25,7 +25,7 @@ def op3_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = byte_bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    encoder = token_files.tiktoken_encoder(ranks, public_tokenizers.PATTERN)
+    encoder = token_files.rank_encoder(ranks, public_tokenizers.PATTERN)
     return token_files.token_counts(table(spark, sf_dir, "documents"), encoder, eod=50256, vocabulary=50257)
 
 

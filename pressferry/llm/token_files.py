@@ -153,13 +153,25 @@ def token_counts(docs: DataFrame, encoder: Callable[[], Callable[[list[str]], li
     return origin.select("doc_id", "source", "row").join(counts.hint("merge"), ["source", "row"]).select("doc_id", "n_tokens")
 
 
-def tiktoken_encoder(ranks: dict[bytes, int], pattern: str) -> Callable[[], Callable[[list[str]], list[list[int]]]]:
-    """An encoder for the executors from a rank table."""
-
-    def make() -> Callable[[list[str]], list[list[int]]]:
-        import tiktoken
-
-        coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        return lambda texts: [coder.encode_ordinary(t) for t in texts]
+def rank_encoder(ranks: dict[bytes, int], pattern: str, block_bytes: int = 1 << 20) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
+    """An encoder for the executors from a rank table (operator 9's coder)."""
+
+    def make() -> Callable[[list[str]], list[np.ndarray]]:
+        from pressferry.llm.byte_bpe import coder_for
+
+        coder = coder_for(ranks, pattern)
+
+        def encode(texts: list[str]) -> list[np.ndarray]:
+            out: list[np.ndarray] = []
+            while len(out) < len(texts):
+                end, size = len(out), 0
+                while end < len(texts) and (end == len(out) or size + len(texts[end]) <= block_bytes):
+                    size += len(texts[end])
+                    end += 1
+                ids, cuts = coder.encode(texts[len(out):end])
+                out += np.split(ids, cuts[1:-1])
+            return out
+
+        return encode
 
     return make
