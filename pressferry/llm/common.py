@@ -93,6 +93,19 @@ def slices(batches: Iterator[pa.RecordBatch], text_col: str, max_bytes: int) ->
             end = max(start + 1, int(np.searchsorted(total, done + max_bytes, "right")))
             yield batch.slice(start, end - start)
             start = end
+    give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker that waits for its next
+    task shouldn't hold the buffers of the last."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def whole_texts(texts: pa.Array) -> pa.Array:
