@@ -24,6 +24,12 @@ def _key(text: Column) -> Column:
     return jaccard_join.text_key(text)
 
 
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of all columns of a row."""
+    plain = lambda f: F.to_json(F.struct(f"`{f.name}`")) if any(k in f.dataType.simpleString() for k in ("map<", "variant")) else F.col(f"`{f.name}`")
+    return F.xxhash64(*[plain(f) for f in docs.schema.fields])
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier finds bad or toxic go."""
     judged = quality.classify_documents(docs, table(spark, sf_dir, "labels"))
@@ -45,10 +51,17 @@ def line_window_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by a Jaccard similarity of 0.8 of five-word
     shingles one row stays: the smallest id (null last), then the smallest text
-    hash.  Empty texts are in no group."""
+    hash; of rows with the same id and text that with the smallest hash of all its
+    columns.  Empty texts are in no group."""
     gone = jaccard_join.near_others(docs, width=5, percent=80).select(F.col("id").alias("_id"), F.col("key").alias("_key"))
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (_key(docs["text"]) == gone["_key"]), "left_anti")
-    return kept.withColumn("_text_key", _key(F.col("text"))).dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    kept = kept.withColumn("__pick_key", _key(F.col("text"))).withColumn("__pick_row", _row_key(docs))
+    again = (kept.groupBy(F.col("doc_id").alias("__pick_again"), F.col("__pick_key").alias("__pick_again_key"))  # narrow: no text is shuffled for this
+             .agg(F.count(F.lit(1)).alias("__pick_n"), F.min("__pick_row").alias("__pick_least")).filter("__pick_n > 1").drop("__pick_n"))
+    same = kept["doc_id"].eqNullSafe(F.col("__pick_again")) & (F.col("__pick_key") == F.col("__pick_again_key"))
+    single = kept.join(again, same, "left_anti")
+    chosen = kept.join(again, same & (F.col("__pick_row") == F.col("__pick_least"))).drop("__pick_again", "__pick_again_key", "__pick_least").dropDuplicates(["doc_id", "__pick_key"])
+    return single.unionByName(chosen).drop("__pick_key", "__pick_row")
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
