@@ -20,10 +20,12 @@ Scale notes
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import re
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Key = str | Sequence[str]
@@ -312,6 +314,27 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def small_tasks(spark: SparkSession, task_mb: int = 8) -> Iterator[None]:
+    """For jobs on narrow rows that run within it: adaptive execution merges
+    partitions up to ``task_mb`` (or to the session's size, if that is less), not
+    up to its usual 64 or 128 MB.  Those are compressed bytes: of rows of two ids
+    they hold ten million and more, which a hash aggregate or a sort then keeps in
+    one task.  The number of partitions before merging stays the session's."""
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key, None)
+    number, unit = re.fullmatch(r"(\d+)([a-z]?)b?", (before or "64m").strip().lower()).groups()
+    if int(number) << {"": 0, "b": 0, "k": 10, "m": 20, "g": 30, "t": 40, "p": 50}[unit] > task_mb << 20:
+        spark.conf.set(key, f"{task_mb}m")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def numbered(df: DataFrame, order: Sequence[str], name: str, base: Column | int = 0) -> DataFrame:
     """The rows with a dense number base + 1, + 2, ... in ``order``.
 

@@ -15,6 +15,7 @@ from pressferry.operators.dml import (
     insert_auto_id,
     replace_into,
     settled,
+    small_tasks,
     update_from_join,
     update_where,
     update_with_count,
@@ -202,31 +203,46 @@ def fix_taxonomy_ids(relationships: DataFrame, taxonomy: DataFrame, steps: list[
     holds its new pair at that moment, one that is still to come or one that has
     moved there.  So no pair can come to stand twice.
 
-    One aggregate over old and target pairs tells each row whether its target
-    is held and which row comes first to it.  Of the rows that want a free pair
+    One aggregate over old and target pairs tells of each target whether it is
+    held and which row comes first to it.  Of the rows that want a free pair
     the first moves.  Of those that want a held one only the first that comes
     after the holder can move, and does if the holder has moved away: it waits
     for a row with a smaller id, so these waits are chains without cycles (in a
     cycle of wishes the smallest id finds its target held, and stays).  They are
     followed by pointer doubling, log2 of the longest chain in ``steps``.
+
+    So at most one row of each target can move.  It is joined to the rows by its
+    old pair, which tells rows apart, so a target that many want meets only the
+    aggregate, which is combined map-side.  The rows are computed once for the
+    aggregate and the join, and all jobs run in :func:`small_tasks`.
     """
+    with small_tasks(relationships.sparkSession):
+        return _fixed_taxonomy_ids(relationships, taxonomy, steps)
+
+
+def _fixed_taxonomy_ids(relationships: DataFrame, taxonomy: DataFrame, steps: list[int] | None) -> DataFrame:
+    smallest = taxonomy.where(F.col("term_id").isNotNull()).groupBy("term_id").agg(F.min("term_taxonomy_id").alias("term_taxonomy_id"))
     mapped = update_from_join(
-        relationships.withColumn("_old", F.col("term_taxonomy_id")),
-        taxonomy.select("term_id", "term_taxonomy_id").distinct(),
-        {"term_taxonomy_id": "term_id"}, {"term_taxonomy_id": "term_taxonomy_id"},
-        source_order=["term_taxonomy_id"])
-    mapped = mapped.select("object_id", "_old", F.col("term_taxonomy_id").alias("_new"))
-    changed = ~F.col("_new").eqNullSafe(F.col("_old"))
-    later = F.when(changed & (F.col("_old") > F.col("_new")), F.col("_old"))
-    pairs = mapped.select("object_id", F.explode(F.array(
-        F.struct(F.col("_old").alias("_t_tt"), F.lit(1).alias("_h"), F.lit(None).cast("bigint").alias("_o"), F.lit(None).cast("bigint").alias("_l")),
-        F.struct(F.col("_new").alias("_t_tt"), F.lit(0).alias("_h"), F.when(changed, F.col("_old")).alias("_o"), later.alias("_l")))).alias("p"))
-    per_target = pairs.groupBy(F.col("object_id").alias("_t_obj"), F.col("p._t_tt").alias("_t_tt")).agg(
-        F.max("p._h").alias("_held"), F.min("p._o").alias("_first"), F.min("p._l").alias("_first_later"))
-    on = F.col("object_id").eqNullSafe(F.col("_t_obj")) & F.col("_new").eqNullSafe(F.col("_t_tt"))
-    moves = F.when(~changed, F.lit(False)).when(F.col("_held") == 0, F.col("_old").eqNullSafe(F.col("_first"))).when(
-        ~F.col("_old").eqNullSafe(F.col("_first_later")), F.lit(False))  # NULL: it waits for the holder
-    rows = settled(mapped.join(per_target, on, "left").select("object_id", "_old", "_new", moves.alias("_moves")))
+        relationships.withColumn("_old", F.col("term_taxonomy_id")), smallest,
+        {"term_taxonomy_id": "term_id"}, {"term_taxonomy_id": "term_taxonomy_id"}, source_unique=True)
+    pair = lambda obj, tt: F.struct(F.col(obj).alias("obj"), F.col(tt).alias("tt"))  # noqa: E731  (its NULLs are equal in a join)
+    mapped = mapped.select(pair("object_id", "_old").alias("_at"), F.col("term_taxonomy_id").alias("_new")).repartition("_at")
+    old, new = F.col("_at.tt"), F.col("_new")
+    changed = ~new.eqNullSafe(old)
+    none = F.lit(None).cast("bigint")
+    pairs = mapped.select(F.explode(F.array(
+        F.struct(F.col("_at").alias("t"), F.lit(1).alias("h"), none.alias("o"), none.alias("l")),
+        F.struct(pair("_at.obj", "_new").alias("t"), F.lit(0).alias("h"), F.when(changed, old).alias("o"),
+                 F.when(changed & (old > new), old).alias("l")))).alias("p"))
+    per_target = pairs.groupBy(F.col("p.t.obj").alias("_obj"), F.col("p.t.tt").alias("_tt")).agg(
+        F.max("p.h").alias("_held"), F.min("p.o").alias("_first"), F.min("p.l").alias("_first_later"))
+    movers = per_target.select("_obj", F.when(F.col("_held") == 0, F.col("_first")).otherwise(F.col("_first_later")).alias("_mover"),
+                               F.when(F.col("_held") == 0, F.lit(True)).alias("_may"))  # NULL: it waits for the holder
+    movers = movers.where(F.col("_mover").isNotNull()).select(pair("_obj", "_mover").alias("_mover_at"), "_may")
+    moves = F.when(F.col("_mover_at").isNull(), F.lit(False)).otherwise(F.col("_may"))
+    # Compressed, these rows would pass for a small table's: no broadcast.
+    rows = settled(mapped.join(movers.hint("merge"), F.col("_at") == F.col("_mover_at"), "left").select(
+        F.col("_at.obj").alias("object_id"), old.alias("_old"), "_new", moves.alias("_moves")))
 
     waiting = rows.where("_moves IS NULL").select("object_id", "_old", F.col("_new").alias("_for"))
     holders = rows.select("object_id", "_old", "_moves").join(

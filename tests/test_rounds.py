@@ -99,6 +99,21 @@ def test_update_ignore_follows_long_chains(spark):
     assert got == simulate_moves(rows, {1: 2, 2: 3, 3: 1})
 
 
+def test_update_ignore_runs_in_small_tasks(spark, monkeypatch):
+    key, seen = "spark.sql.adaptive.advisoryPartitionSizeInBytes", []
+    before = spark.conf.get(key)
+    monkeypatch.setattr(terms, "settled", lambda df: (seen.append(spark.conf.get(key)), dml.settled(df))[1])
+    rows = [(1, 4), (1, 5), (1, 9), (2, 5), (None, 4), (None, 5), (None, 8), (3, None), (3, 6)]
+    rel = spark.createDataFrame(rows, "object_id long, term_taxonomy_id long")
+    tax = spark.createDataFrame([(5, 4), (4, 3), (9, 4), (8, 8), (8, 7), (8, 7), (6, None), (None, 1)], "term_id long, term_taxonomy_id long")
+    got = [tuple(r) for r in terms.fix_taxonomy_ids(rel, tax).collect()]
+    want = [(1, 3), (1, 4), (1, 9), (2, 4), (None, 3), (None, 4), (None, 7), (3, None), (3, 6)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert seen and set(seen) == {"8m"} and spark.conf.get(key) == before
+    with dml.small_tasks(spark, 1 << 20):  # the session's size is less: it stays
+        assert spark.conf.get(key) == before
+
+
 def names(df):
     return {r["tid"]: r["name"] for r in df.collect()}
 
