@@ -22,7 +22,7 @@ import hashlib
 import heapq
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -173,7 +173,7 @@ class TextCoder:
     words are kept between blocks, in one array.  After ``max_words`` words a new
     array begins, which takes over what is still in use from the one before."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_words: int = 240_000):
         import regex
 
         self.replay = MergeReplay(ranks)
@@ -190,11 +190,16 @@ class TextCoder:
         """The ids of all texts, one after the other, and the first of each text
         with the end."""
         split = [self.find(t) for t in texts]
+        counts = [len(words) for words in split]
+        words = list(chain.from_iterable(split))
+        del split
         if len(self.known) > self.max_words:
             self.before = (self.known, self.starts, self.flat)
             self.known, self.starts, self.flat = {}, array("q", [0]), array("i")
         known, (old, old_starts, old_flat) = self.known, self.before
-        new = list({w for words in split for w in words if w not in known})
+        place = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        missing = np.flatnonzero(place < 0).tolist()
+        new = dict.fromkeys(map(words.__getitem__, missing))
         for word in [w for w in new if w in old]:
             known[word] = len(self.starts) - 1
             self.flat.extend(old_flat[old_starts[old[word]]:old_starts[old[word] + 1]])
@@ -208,8 +213,7 @@ class TextCoder:
             self.starts.append(len(self.flat))
             if len(word) <= 64:
                 kept, size = len(self.starts), len(self.flat)
-        counts = [len(words) for words in split]
-        place = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=sum(counts))
+        place[missing] = np.fromiter(map(known.__getitem__, map(words.__getitem__, missing)), dtype=np.int64, count=len(missing))
         starts, flat = np.array(self.starts, dtype=np.int64), np.array(self.flat, dtype=np.int32)
         for word in new[kept - len(self.starts) or len(new):]:
             del known[word]

@@ -124,3 +124,18 @@ def test_coder_with_few_kept_words_and_long_runs():
     assert len(coder.known) < 2000
     encode = token_files.rank_encoder(ranks, P.PATTERN, block_bytes=100)()
     assert [x.tolist() for x in encode(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
+def test_coder_replays_a_word_in_use_once():
+    import public_tokenizers as P
+
+    coder = byte_bpe.TextCoder(byte_bpe.load_ranks(P.path("byte_bpe_50k.tiktoken")), P.PATTERN)
+    replayed = []
+    coder.replay.encode = lambda words: replayed.extend(words) or [tuple(w) for w in words]
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = [" ".join(f"w{i * 40 + k}".translate(letters) for k in range(40)) for i in range(5000)]
+    for _ in range(2):  # 200,000 words, all of them met again
+        for i in range(0, len(texts), 1000):
+            ids, cuts = coder.encode(texts[i:i + 1000])
+            assert bytes(ids[cuts[7]:cuts[8]].tolist()).decode() == texts[i + 7]
+    assert len(replayed) == len(set(replayed)) and len(coder.known) <= coder.max_words + 40_000
